@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
 
-LENGTH, GRAM, HOT = 200, 32, 8192
-BATCH_BYTES = 3 << 20
+LENGTH, GRAM, HOT = 200, 32, 1024
+BATCH_BYTES = 512 << 10
 
 
 def segments(body: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -82,7 +82,7 @@ class SuffixArray:
 
     def __init__(self, body: np.ndarray, offs: np.ndarray, length: int):
         n, size = len(body), np.diff(offs)
-        self.body, self.string = body, np.repeat(np.arange(len(size)), size)
+        self.body, self.string = body, np.repeat(np.arange(len(size), dtype=np.int32), size)
         self.offs, self.rest = offs, offs[1:][self.string] - np.arange(n)
         padded = np.concatenate((body, np.zeros(8, np.uint8)))
         word = np.zeros(n, np.uint64)
@@ -93,17 +93,17 @@ class SuffixArray:
         short = (self.rest < 8)[by]
         new = np.ones(n, bool)
         new[1:] = (word[by][1:] != word[by][:-1]) | short[1:] | short[:-1]
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[by] = np.cumsum(new) - 1
         self.ranks, have, most = [(8, rank)], 8, int(size.max(initial=0))
         while have < most:
-            after = np.full(n, -1, np.int64)
+            after = np.full(n, -1, np.int32)
             after[: max(0, n - have)] = rank[have:]
             after[self.rest <= have] = -1
-            pair = rank * np.int64(n + 1) + after + 1
+            pair = rank.astype(np.int64) * (n + 1) + after + 1
             by = np.argsort(pair, kind="stable")
             new[1:] = pair[by][1:] != pair[by][:-1]
-            rank = np.empty(n, np.int64)
+            rank = np.empty(n, np.int32)
             rank[by] = np.cumsum(new) - 1
             have *= 2
             self.ranks.append((have, rank))

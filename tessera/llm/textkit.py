@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
-SLICE = 1 << 21
+SLICE = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

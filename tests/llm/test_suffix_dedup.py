@@ -66,7 +66,7 @@ def test_maximal_repeats_against_brute_force():
     assert got == maximal
 
 
-@pytest.mark.parametrize("hot", [1, 8192])
+@pytest.mark.parametrize("hot", [1, 1024])
 def test_dedup(spark, hot):
     texts = some_texts(7, b"abcdefgh ")
     rows = [(i, t.decode()) for i, t in enumerate(texts)] + [(900, None), (901, "é" * 300), (902, "x" + "é" * 300), (5, texts[5].decode())]
