@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as tk
 
 LENGTH = 2048
-CACHE = 300_000
+WORDS, PARTS = 400_000, 700_000
 
 
 class Encoder(dict):
     """Token ids of words, as little-endian 32-bit bytes; a text is encoded word by word and equals the tokenizer's own result.
 
     The tokenizer drops white space and looks at nothing beyond a word, so words can be kept. Words of characters up to
-    U+024F are further cut as the tokenizer's own pattern does, in lower case, and their parts are kept as well.
+    U+017E are further cut as the tokenizer's own pattern does, in lower case, and their parts are kept as well. Either
+    store takes new entries up to its bound and then stays as it is; what it doesn't hold is encoded each time.
     """
 
     PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -45,23 +46,21 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
         if self.PLAIN.fullmatch(word):
             low = unicodedata.normalize("NFC", word).lower()
             got = b"".join(map(self._part, self.PART.findall(low)))
         else:
             got = self.direct(word)
-        if len(word) < 64:
+        if len(word) < 40 and len(self) < WORDS:
             self[word] = got
         return got
 
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            if len(self.parts) > CACHE:
-                self.parts.clear()
-            got = self.parts[part] = self.direct(part)
+            got = self.direct(part)
+            if len(part) < 40 and len(self.parts) < PARTS:
+                self.parts[part] = got
         return got
 
     def encode(self, text: str) -> bytes:
