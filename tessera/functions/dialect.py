@@ -1,0 +1,48 @@
+"""One SQL text for two engines: what they spell differently stands in marks, as <<NAME>> or <<NAME:argument;argument>>."""
+
+import re
+
+SPARK = {
+    "VALS": "(SELECT vec_id, label, pos, CAST(v AS DOUBLE) AS v FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, v)",
+    "PCT": "percentile({0}, {1})",
+    "TOKENS": "(SELECT DISTINCT doc_id, tok FROM (SELECT doc_id, explode(split(lower(text), '[^a-z]+')) AS tok FROM {documents}) WHERE tok <> '')",
+    "BAND": "explode(sequence({0}, {1}))",
+    "WORDS": "explode(split({0}, ' '))",
+}
+DUCK = {
+    "VALS": "(SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)",
+    "PCT": "quantile_cont({0}, {1})",
+    "TOKENS": "(SELECT DISTINCT doc_id, tok FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS tok FROM documents) WHERE tok <> '')",
+    "BAND": "unnest(range({0}, {1} + 1))",
+    "WORDS": "unnest(string_split({0}, ' '))",
+}
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def spelled(text: str, words: dict[str, str]) -> str:
+    def one(m):
+        name, _, args = m[1].partition(":")
+        out = words[name]
+        for k, a in enumerate(args.split(";") if args else []):
+            out = out.replace(f"{{{k}}}", a.strip())
+        return out
+
+    return re.sub(r"<<(.*?)>>", one, text)
+
+
+def spark_query(text: str):
+    """A callable of (spark, sf_dir) that runs the text over the tables it names."""
+    sql = spelled(text, SPARK)
+    used = [t for t in TABLES if f"{{{t}}}" in sql]
+
+    def run(spark, sf_dir):
+        return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+    return run
+
+
+def duck_query(text: str) -> str:
+    out = spelled(text, DUCK)
+    for t in TABLES:
+        out = out.replace(f"{{{t}}}", t)
+    return out

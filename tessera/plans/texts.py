@@ -1,0 +1,86 @@
+"""Queries of the retrieval engine, as SQL for both engines. Scores are fixed-point integers before they are ranked."""
+
+CONS = """cons AS (SELECT label, pos, avg(v) AS m FROM <<VALS>> x GROUP BY label, pos),
+norm AS (SELECT label, sqrt(sum(m * m)) AS cn FROM cons GROUP BY label),
+qn AS (SELECT vec_id, label, sqrt(sum(v * v)) AS n FROM <<VALS>> x GROUP BY vec_id, label),
+dots AS (SELECT x.vec_id, c.label AS cand, sum(x.v * c.m) AS d FROM <<VALS>> x JOIN cons c ON x.pos = c.pos GROUP BY x.vec_id, c.label),
+scores AS (SELECT d.vec_id, q.label AS truth, d.cand, CAST(round(1e6 * d.d / (q.n * n.cn)) AS BIGINT) AS u
+  FROM dots d JOIN qn q ON d.vec_id = q.vec_id JOIN norm n ON d.cand = n.label)"""
+RANKS = CONS + """,
+ranks AS (SELECT s.vec_id, s.truth, CAST(sum(CASE WHEN s.u > t.u THEN 1 ELSE 0 END) AS BIGINT) AS rank0
+  FROM scores s JOIN (SELECT vec_id, u FROM scores WHERE cand = truth) t ON s.vec_id = t.vec_id GROUP BY s.vec_id, s.truth)"""
+FLAGS = """f AS (SELECT l_partkey AS pid, l_returnflag <> 'R' AS f1, l_linestatus = 'O' AS f2, l_discount >= 0.02 AS f3, p_name <> '' AS f4
+  FROM {lineitem} LEFT JOIN (SELECT p_partkey, min(p_name) AS p_name FROM {part} GROUP BY p_partkey) p ON l_partkey = p_partkey)"""
+HALVES = """h AS (SELECT vec_id, label, pos, v, CASE WHEN md5(concat('half', CAST(vec_id AS STRING))) < '8' THEN 0 ELSE 1 END AS half FROM <<VALS>> x),
+m AS (SELECT label, half, pos, avg(v) AS m FROM h GROUP BY label, half, pos),
+c AS (SELECT a.label, sum(a.m * b.m) / sqrt(sum(a.m * a.m) * sum(b.m * b.m)) AS c FROM m a JOIN m b ON a.label = b.label AND a.pos = b.pos WHERE a.half = 0 AND b.half = 1 GROUP BY a.label)"""
+LOO = """t AS (SELECT vec_id, label, pos, v, (sum(v) OVER (PARTITION BY label, pos) - v) / greatest(count(*) OVER (PARTITION BY label, pos) - 1, 1) AS r FROM <<VALS>> x),
+loo AS (SELECT vec_id, label, round(sum(v * r) / sqrt(sum(v * v) * sum(r * r)), 6) AS loo FROM t GROUP BY vec_id, label)"""
+CELL = "cell AS (SELECT user_id AS gene, event_type AS sample, avg(value) AS v FROM {events} GROUP BY user_id, event_type)"
+
+TEXTS = {
+    "consensus_topk": f"WITH {CONS}, r AS (SELECT vec_id, cand AS label, u, row_number() OVER (PARTITION BY vec_id ORDER BY u DESC, cand) AS rk FROM scores) SELECT vec_id, label, u AS c_micro, CAST(rk AS INT) AS rk FROM r WHERE rk <= 3",
+    "true_rank": f"WITH {RANKS} SELECT vec_id, truth, rank0 FROM ranks",
+    "micro_metrics": f"WITH {RANKS} SELECT round(avg(CASE WHEN rank0 < 1 THEN 1e0 ELSE 0e0 END), 6) AS r1, round(avg(CASE WHEN rank0 < 5 THEN 1e0 ELSE 0e0 END), 6) AS r5, round(avg(CAST(1 AS DOUBLE) / (rank0 + 1)), 6) AS mrr, count(*) AS n FROM ranks",
+    "macro_metrics": f"WITH {RANKS}, g AS (SELECT truth, avg(CASE WHEN rank0 < 1 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS h1, avg(CASE WHEN rank0 < 5 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS h5, avg(CAST(1 AS DOUBLE) / (rank0 + 1)) AS rr FROM ranks GROUP BY truth) SELECT round(avg(h1), 6) AS macro_r1, round(avg(h5), 6) AS macro_r5, round(avg(rr), 6) AS macro_mrr, count(*) AS n_compounds FROM g",
+    "per_compound_recall": f"WITH {RANKS} SELECT truth AS label, round(avg(CASE WHEN rank0 < 3 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS recall3, count(*) AS depth FROM ranks GROUP BY truth",
+    "group_hit": f"WITH {CONS}, r AS (SELECT vec_id, truth, cand, row_number() OVER (PARTITION BY vec_id ORDER BY u DESC, cand) AS rk FROM scores), h AS (SELECT vec_id, max(CASE WHEN rk <= 3 AND cand % 5 = truth % 5 AND truth <> 9 THEN 1 ELSE 0 END) AS hit, max(CASE WHEN truth = 9 THEN 1 ELSE 0 END) AS skipped FROM r GROUP BY vec_id) SELECT round(avg(CASE WHEN skipped = 0 THEN CAST(hit AS DOUBLE) END), 6) AS group_hit3, CAST(sum(skipped) AS BIGINT) AS n_skipped FROM h",
+    "csls_rank": f"WITH {CONS}, near AS (SELECT cand, u, row_number() OVER (PARTITION BY cand ORDER BY u DESC, vec_id) AS rk FROM scores), pen AS (SELECT cand, sum(u) AS p, count(*) AS n FROM near WHERE rk <= 10 GROUP BY cand), a AS (SELECT s.vec_id, s.cand AS label, CAST(2 * p.n * s.u - p.p AS BIGINT) AS csls FROM scores s JOIN pen p ON s.cand = p.cand), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY csls DESC, label) AS rk FROM a) SELECT vec_id, label, csls FROM r WHERE rk = 1",
+    "hub_occupancy": f"WITH {CONS}, r AS (SELECT vec_id, cand, row_number() OVER (PARTITION BY vec_id ORDER BY u DESC, cand) AS rk FROM scores), o AS (SELECT n.label, count(r.vec_id) AS occ FROM norm n LEFT JOIN r ON n.label = r.cand AND r.rk <= 3 GROUP BY n.label) SELECT max(occ) AS top, round(<<PCT:occ;0.99>>, 6) AS p99, round(median(occ), 6) AS med, CAST(sum(CASE WHEN occ = 0 THEN 1 ELSE 0 END) AS BIGINT) AS never FROM o",
+    "modal_label": f"WITH {CONS}, r AS (SELECT vec_id, cand % 3 AS moa, row_number() OVER (PARTITION BY vec_id ORDER BY u DESC, cand) AS rk FROM scores), c AS (SELECT vec_id, moa, count(*) AS n FROM r WHERE rk <= 5 GROUP BY vec_id, moa), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, moa) AS rk FROM c) SELECT vec_id, moa, n FROM b WHERE rk = 1",
+    "ranking_beyond_truth": f"WITH {RANKS} SELECT rank0, count(*) AS n FROM ranks GROUP BY rank0",
+    "chance_recall": "WITH p AS (SELECT count(DISTINCT label) AS p FROM {embeddings}) SELECT CAST(k AS BIGINT) AS k, round(least(k, p) / CAST(p AS DOUBLE), 6) AS chance FROM p CROSS JOIN (SELECT <<BAND:1;50>> AS k) x",
+    "filter_cascade": f"WITH {FLAGS} SELECT CAST(1 AS BIGINT) AS stage_no, 'type' AS stage, count(CASE WHEN f1 THEN 1 END) AS signatures, count(DISTINCT CASE WHEN f1 THEN pid END) AS compounds FROM f UNION ALL SELECT 2, 'exemplar', count(CASE WHEN f1 AND f2 THEN 1 END), count(DISTINCT CASE WHEN f1 AND f2 THEN pid END) FROM f UNION ALL SELECT 3, 'activity', count(CASE WHEN f1 AND f2 AND f3 THEN 1 END), count(DISTINCT CASE WHEN f1 AND f2 AND f3 THEN pid END) FROM f UNION ALL SELECT 4, 'structure', count(CASE WHEN f1 AND f2 AND f3 AND f4 THEN 1 END), count(DISTINCT CASE WHEN f1 AND f2 AND f3 AND f4 THEN pid END) FROM f",
+    "tas_sweep": "SELECT CAST(t AS BIGINT) AS percent, count(CASE WHEN l_discount >= t / CAST(100 AS DOUBLE) THEN 1 END) AS signatures, count(DISTINCT CASE WHEN l_discount >= t / CAST(100 AS DOUBLE) THEN l_partkey END) AS compounds FROM {lineitem} CROSS JOIN (SELECT <<BAND:0;10>> AS t) x GROUP BY t",
+    "min_group_size": "SELECT l_partkey, count(*) AS depth FROM {lineitem} GROUP BY l_partkey HAVING count(*) >= 30",
+    "profile_depth_stats": "WITH d AS (SELECT p_partkey, count(l_partkey) AS n FROM {part} LEFT JOIN {lineitem} ON p_partkey = l_partkey GROUP BY p_partkey) SELECT round(<<PCT:n;0.1>>, 6) AS p10, round(<<PCT:n;0.25>>, 6) AS p25, round(median(n), 6) AS p50, round(<<PCT:n;0.75>>, 6) AS p75, round(<<PCT:n;0.99>>, 6) AS p99, max(n) AS mx, count(CASE WHEN n >= 20 THEN 1 END) AS ge20, count(CASE WHEN n >= 50 THEN 1 END) AS ge50 FROM d",
+    "capped_depth": "SELECT CAST(sum(least(n, 30)) AS BIGINT) AS kept, CAST(sum(n) AS BIGINT) AS total FROM (SELECT l_partkey, count(*) AS n FROM {lineitem} GROUP BY l_partkey) d",
+    "annotation_coverage": "SELECT count(*) AS n, count(l.quality) AS annotated, round(count(l.quality) / CAST(count(*) AS DOUBLE), 6) AS fraction, count(DISTINCT l.quality) AS kinds FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id",
+    "placeholder_nulling": "SELECT p_brand, count(CASE WHEN lower(trim(p_type)) NOT IN ('restricted', 'nan', 'none', '-666', '') THEN 1 END) AS usable FROM {part} GROUP BY p_brand",
+    "alias_resolution": "WITH a AS (SELECT upper(trim(n_name)) AS alias, n_nationkey AS id, 0 AS prio FROM {nation} UNION ALL SELECT upper(trim(r_name)), r_regionkey, 1 FROM {region}), f AS (SELECT alias, id, row_number() OVER (PARTITION BY alias ORDER BY prio, id) AS rn FROM a WHERE alias NOT IN ('', '-')) SELECT c.c_custkey, CAST(f.id AS BIGINT) AS gene FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN f ON f.alias = upper(n.n_name) AND f.rn = 1",
+    "dose_parse": "WITH x AS (SELECT event_id, try_cast(regexp_extract(concat(CAST(round(value, 2) AS STRING), ' uM'), '([0-9.]+)', 1) AS DOUBLE) AS dose FROM {events}) SELECT event_id, round(log10(coalesce(dose, 0) + 0.001), 6) AS log_dose, CAST(CASE WHEN dose IS NULL THEN 0 ELSE 1 END AS INT) AS has_dose, round(pow(10, log10(coalesce(dose, 0) + 0.001)) - 0.001, 6) AS back FROM x",
+    "robust_z_pooled": "WITH m AS (SELECT event_type, median(value) AS med FROM {events} GROUP BY event_type), d AS (SELECT e.event_id, e.event_type, e.value - m.med AS d FROM {events} e JOIN m ON e.event_type = m.event_type), s AS (SELECT event_type, median(abs(d)) AS mad FROM d GROUP BY event_type) SELECT d.event_id, round(d.d / greatest(1.4826 * s.mad, 1e-9), 6) AS z FROM d JOIN s ON d.event_type = s.event_type",
+    "robust_z_per_gene": "WITH c AS (SELECT user_id, median(value) AS med FROM {events} WHERE event_type = 'view' GROUP BY user_id), s AS (SELECT e.user_id, median(abs(e.value - c.med)) AS mad FROM {events} e JOIN c ON e.user_id = c.user_id WHERE e.event_type = 'view' GROUP BY e.user_id), t AS (SELECT user_id, avg(value) AS v FROM {events} WHERE event_type = 'purchase' GROUP BY user_id) SELECT t.user_id, round((t.v - c.med) / greatest(1.4826 * s.mad, 1e-9), 4) AS z FROM t JOIN c ON t.user_id = c.user_id JOIN s ON t.user_id = s.user_id WHERE s.mad > 0",
+    "zscore_rows": f"WITH {CELL} SELECT gene, sample, round((v - avg(v) OVER (PARTITION BY sample)) / greatest(stddev_pop(v) OVER (PARTITION BY sample), 1e-6), 6) AS z FROM cell",
+    "query_profile": f"WITH {CELL} SELECT sample, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(max(abs(v)), 6) AS top, round(avg(CASE WHEN v < 0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS negative, stddev_pop(v) > 0.2 AND stddev_pop(v) < 12 AS spread_ok FROM cell GROUP BY sample",
+    "reindex_fill": f"WITH {CELL}, g AS (SELECT DISTINCT user_id AS gene FROM {{events}}), s AS (SELECT DISTINCT event_type AS sample FROM {{events}}) SELECT g.gene, s.sample, round(coalesce(c.v, 0), 6) AS v FROM g CROSS JOIN s LEFT JOIN cell c ON c.gene = g.gene AND c.sample = s.sample",
+    "coverage_guard": f"WITH {CELL}, g AS (SELECT gene, count(v) AS n FROM cell GROUP BY gene), k AS (SELECT count(DISTINCT sample) AS k FROM cell) SELECT round(avg(CASE WHEN n = k THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS present, avg(CASE WHEN n = k THEN CAST(1 AS DOUBLE) ELSE 0 END) >= 0.5 AS accepted FROM g CROSS JOIN k",
+    "contrast_log2": f"WITH {CELL}, t AS (SELECT gene, log2(v + 1) AS v FROM cell WHERE sample = 'purchase'), c AS (SELECT gene, log2(v + 1) AS v FROM cell WHERE sample = 'view') SELECT t.gene, round(t.v - c.v, 6) AS delta FROM t JOIN c ON t.gene = c.gene",
+    "spearman_by_group": "WITH r AS (SELECT l_suppkey, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0 AS a, rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_suppkey, l_extendedprice) - 1) / 2.0 AS b FROM {lineitem}) SELECT l_suppkey, round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 6) AS rho FROM r GROUP BY l_suppkey",
+    "contrast_reliability": """WITH g AS (SELECT user_id AS gene, event_type AS side, event_id % 3 AS rep, avg(value) AS v FROM {events} WHERE event_type IN ('purchase', 'view') GROUP BY user_id, event_type, event_id % 3),
+ok AS (SELECT gene FROM g GROUP BY gene HAVING count(*) = 6), x AS (SELECT g.* FROM g JOIN ok ON g.gene = ok.gene),
+d AS (SELECT t.gene, t.rep AS tr, c.rep AS cr, t.v - c.v AS v FROM x t JOIN x c ON t.gene = c.gene WHERE t.side = 'purchase' AND c.side = 'view'),
+r AS (SELECT gene, tr, cr, rank() OVER (PARTITION BY tr, cr ORDER BY v) + (count(*) OVER (PARTITION BY tr, cr, v) - 1) / 2.0 AS r FROM d),
+p AS (SELECT a.tr AS t1, a.cr AS c1, b.tr AS t2, b.cr AS c2, corr(CAST(a.r AS DOUBLE), CAST(b.r AS DOUBLE)) AS rho FROM r a JOIN r b ON a.gene = b.gene AND a.tr < b.tr AND a.cr <> b.cr GROUP BY a.tr, a.cr, b.tr, b.cr)
+SELECT count(*) AS pairings, round(avg(rho), 6) AS single, round(3 * avg(rho) / (1 + 2 * avg(rho)), 6) AS spearman_brown, CASE WHEN 3 * avg(rho) / (1 + 2 * avg(rho)) >= 0.4 THEN 'good' WHEN 3 * avg(rho) / (1 + 2 * avg(rho)) >= 0.15 THEN 'fair' ELSE 'low' END AS verdict FROM p""",
+    "exact_duplicates": "WITH g AS (SELECT text, count(*) AS n, min(doc_id) AS first FROM {documents} GROUP BY text) SELECT d.doc_id, CASE WHEN g.n > 1 THEN g.first ELSE -1 END AS dup_group FROM {documents} d JOIN g ON d.text = g.text",
+    "recall_ceiling": "WITH g AS (SELECT text, count(*) AS n FROM {documents} GROUP BY text) SELECT CAST(k AS BIGINT) AS k, round(avg(least(CAST(1 AS DOUBLE), k / CAST(g.n AS DOUBLE))), 6) AS ceiling FROM {documents} d JOIN g ON d.text = g.text CROSS JOIN (SELECT <<BAND:1;10>> AS k) x GROUP BY k",
+    "gene_set_overlap": """WITH r AS (SELECT vec_id, label, pos, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos) AS hi, row_number() OVER (PARTITION BY vec_id ORDER BY v, pos) AS lo FROM <<VALS>> x),
+s AS (SELECT vec_id, pos, CASE WHEN lo <= 10 THEN -1 ELSE 1 END AS s FROM r WHERE hi <= 10 OR lo <= 10),
+c AS (SELECT label, pos, avg(v) AS m FROM <<VALS>> x GROUP BY label, pos),
+b AS (SELECT label, pos, row_number() OVER (PARTITION BY label ORDER BY m DESC, pos) AS hi, row_number() OVER (PARTITION BY label ORDER BY m, pos) AS lo FROM c),
+t AS (SELECT label, pos, CASE WHEN lo <= 10 THEN -1 ELSE 1 END AS s FROM b WHERE hi <= 10 OR lo <= 10)
+SELECT s.vec_id, t.label, CAST(sum(s.s * t.s) AS BIGINT) AS overlap10 FROM s JOIN t ON s.pos = t.pos GROUP BY s.vec_id, t.label""",
+    "random_split": "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY md5(concat('7|', CAST(p_partkey AS STRING))), p_partkey) AS rn FROM {part}), n AS (SELECT count(*) AS n FROM {part}) SELECT p_partkey, CASE WHEN rn <= floor(0.8 * n) THEN 'train' WHEN rn <= floor(0.8 * n) + floor(0.1 * n) THEN 'valid' ELSE 'test' END AS split FROM r CROSS JOIN n",
+    "stratified_signature_split": """WITH r AS (SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS m, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS STRING)), vec_id) AS rn FROM {embeddings}),
+e AS (SELECT *, CASE WHEN m < 2 THEN 0 ELSE least(m - 1, greatest(1, CAST(floor((2 * m + 5) / 10.0) AS BIGINT))) END AS ne FROM r)
+SELECT vec_id, CASE WHEN rn > ne THEN 'train' WHEN ne = 1 AND md5(CAST(label AS STRING)) < '8' OR ne > 1 AND rn <= floor(ne / 2.0) THEN 'test' ELSE 'valid' END AS split FROM e""",
+    "new_signature_holdout": "WITH r AS (SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS m, row_number() OVER (PARTITION BY label ORDER BY md5(concat('h', CAST(vec_id AS STRING))), vec_id) AS rn FROM {embeddings}), q AS (SELECT *, floor(m / 20.0) + CASE WHEN m % 20 > 10 OR (m % 20 = 10 AND floor(m / 20.0) % 2 = 1) THEN 1 ELSE 0 END AS h FROM r) SELECT vec_id, m >= 2 AND rn <= least(greatest(h, 1), m - 1) AS held FROM q",
+    "capped_sample": "WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('s', CAST(vec_id AS STRING))), vec_id) AS rn FROM {embeddings}) SELECT label, vec_id FROM r WHERE rn <= 5",
+    "split_leak": "WITH s AS (SELECT p_partkey, p_brand, CASE WHEN md5(p_brand) < 'c' THEN 'train' ELSE 'test' END AS split FROM {part}) SELECT count(*) AS leaked FROM (SELECT p_brand FROM s WHERE split = 'train' INTERSECT SELECT p_brand FROM s WHERE split = 'test') x",
+    "group_statistics": "WITH g AS (SELECT p_name, count(*) AS n FROM {part} GROUP BY p_name) SELECT count(*) AS groups, round(avg(CASE WHEN n = 1 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS singletons, max(n) AS largest FROM g",
+    "uncovered_compounds": "SELECT p_partkey FROM {part} LEFT ANTI JOIN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 48) x ON p_partkey = l_partkey",
+    "loo_agreement": f"WITH {LOO} SELECT vec_id, label, loo FROM loo",
+    "outlier_filter": f"WITH {LOO}, q AS (SELECT <<PCT:loo;0.25>> AS cut FROM loo) SELECT label, count(*) AS kept FROM loo CROSS JOIN q WHERE loo >= cut GROUP BY label",
+    "noise_ceiling": f"WITH {HALVES} SELECT label, round(c, 6) AS self_cosine, round(2 * c / (1 + c), 6) AS reliability FROM c",
+    "matched_depth_filters": "WITH f AS (SELECT l_partkey, count(*) AS n0, count(CASE WHEN l_quantity >= 10 THEN 1 END) AS n1, count(CASE WHEN l_discount >= 0.02 THEN 1 END) AS n2 FROM {lineitem} GROUP BY l_partkey) SELECT count(*) AS eligible, CAST(sum(n0) AS BIGINT) AS s0, CAST(sum(n1) AS BIGINT) AS s1, CAST(sum(n2) AS BIGINT) AS s2 FROM f WHERE n0 >= 8 AND n1 >= 8 AND n2 >= 8",
+    "block_correlation": "WITH c AS (SELECT label, pos, avg(v) AS m FROM <<VALS>> x GROUP BY label, pos), p AS (SELECT a.label AS a, b.label AS b, CAST(floor(a.pos / 16.0) AS BIGINT) AS block, sum(a.m * b.m) / sqrt(sum(a.m * a.m) * sum(b.m * b.m)) AS c FROM c a JOIN c b ON a.pos = b.pos AND a.label < b.label GROUP BY a.label, b.label, CAST(floor(a.pos / 16.0) AS BIGINT)), w AS (SELECT a.label AS a, b.label AS b, sum(a.m * b.m) / sqrt(sum(a.m * a.m) * sum(b.m * b.m)) AS c FROM c a JOIN c b ON a.pos = b.pos AND a.label < b.label GROUP BY a.label, b.label) SELECT p.block, round(corr(p.c, w.c), 6) AS r FROM p JOIN w ON p.a = w.a AND p.b = w.b GROUP BY p.block",
+    "standard_scaler": "WITH s AS (SELECT avg(CAST(p_size AS DOUBLE)) AS m, stddev_pop(CAST(p_size AS DOUBLE)) AS sd FROM {part} WHERE md5(CAST(p_partkey AS STRING)) < 'c') SELECT p_partkey, round(greatest(least((p_size - m) / CASE WHEN sd < 1e-3 THEN 1 ELSE sd END, 10), -10), 6) AS scaled FROM {part} CROSS JOIN s",
+    "depth_breakdown": "WITH d AS (SELECT l_partkey, count(*) AS n, avg(l_discount) AS model, avg(l_tax) AS base FROM {lineitem} GROUP BY l_partkey), b AS (SELECT CASE WHEN n < 20 THEN '01-19' WHEN n < 30 THEN '20-29' WHEN n < 40 THEN '30-39' ELSE '40+' END AS bin, model, base FROM d) SELECT bin, count(*) AS n, round(avg(model), 6) AS model, round(avg(base), 6) AS base, CASE WHEN avg(base) > 0 THEN round(avg(model) / avg(base), 6) END AS ratio FROM b GROUP BY bin",
+    "similarity_breakdown": "WITH b AS (SELECT 0 AS k, 0.0 AS lo, 0.04 AS hi UNION ALL SELECT 1, 0.04, 0.07 UNION ALL SELECT 2, 0.07, 0.1) SELECT CAST(b.k AS BIGINT) AS bin, count(*) AS n, round(avg(l_extendedprice), 4) AS price FROM {lineitem} JOIN b ON l_discount >= b.lo AND (l_discount < b.hi OR (b.k = 2 AND l_discount <= b.hi)) GROUP BY b.k",
+    "dense_codes": "WITH d AS (SELECT DISTINCT p_type FROM {part}) SELECT p_type, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS BIGINT) AS code FROM d",
+    "annotation_pairs": "WITH p AS (SELECT a.p_partkey AS x, b.p_partkey AS y FROM {part} a JOIN {part} b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey UNION SELECT a.p_partkey, b.p_partkey FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey) SELECT x, count(*) AS siblings FROM p GROUP BY x",
+    "multi_value_split": "SELECT target, count(*) AS n FROM (SELECT p_partkey, <<WORDS:p_name>> AS target FROM {part}) x WHERE target <> '' GROUP BY target",
+    "learning_rate": "SELECT CAST(s AS BIGINT) AS step, round(CASE WHEN s < 20 THEN (s + 1) / 2e1 ELSE 5e-1 * (1e0 + cos(3141592653589793e-15 * least(1e0, (s - 20) / 18e1))) END, 6) AS scale FROM (SELECT <<BAND:0;199>> AS s) x",
+    "token_tanimoto_nn": "WITH t AS <<TOKENS>>, rare AS (SELECT tok FROM t GROUP BY tok HAVING count(*) BETWEEN 2 AND 6), r AS (SELECT t.doc_id, t.tok FROM t JOIN rare ON t.tok = rare.tok), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id), i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM r a JOIN r b ON a.tok = b.tok AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id), s AS (SELECT i.x, i.y, round(i.i / CAST(p.n + q.n - i.i AS DOUBLE), 6) AS s FROM i JOIN n p ON i.x = p.doc_id JOIN n q ON i.y = q.doc_id), b AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS rk FROM s) SELECT x AS doc_id, y AS donor, s AS tanimoto FROM b WHERE rk = 1",
+}
