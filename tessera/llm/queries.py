@@ -51,11 +51,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages hold no dates and there are no lists, so both follow from the tables by rule: a page is fetched on day
     page_id mod 360; every host and every parent domain of two labels is added to and removed from two lists on days that
-    its name's CRC gives."""
+    the first four digits of its name's MD5 give."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 360).cast("int").alias("day"))
     hosts = pages.select(url_filter.host(F.col("url")).alias("host")).where("host is not null").distinct()
     keys = hosts.select("host").unionByName(hosts.select(F.substring_index("host", ".", -2).alias("host"))).distinct()
-    crc = F.crc32(F.col("host").cast("binary"))
+    crc = F.conv(F.substring(F.md5(F.col("host").cast("binary")), 1, 4), 16, 10).cast("int")
     steps = [("adult", "add", crc % 120), ("adult", "remove", 120 + crc % 90), ("adult", "add", 240 + crc % 70), ("malware", "add", 60 + crc % 200), ("malware", "remove", 60 + crc % 200 + crc % 50)]
     log = F.array(*[F.struct(F.lit(a).alias("list"), F.lit(b).alias("action"), d.cast("int").alias("day")) for a, b, d in steps])
     entries = keys.select(F.col("host").alias("key"), F.explode(log).alias("e")).select("key", "e.*")
@@ -90,6 +90,24 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_token_counts, op4_decontamination, op5_minhash_near_dup, op6_best_fit_packing, op7_url_filter, op8_quality_classifier, op9_chat_formatting, op10_exact_top_k, pipeline)}
 
 ORACLES = {
+    "op7_url_filter": """
+WITH p AS (
+  SELECT page_id, url, page_id % 360 AS day, nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '') AS host FROM pages
+), h AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL),
+k AS (
+  SELECT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS c
+  FROM (SELECT host FROM h UNION SELECT regexp_extract(host, '([^.]*[.])?[^.]*$', 0) FROM h)
+), e AS (
+  SELECT host, 'adult' AS list, c % 120 AS since, 120 + c % 90 AS until FROM k
+  UNION ALL SELECT host, 'adult', 240 + c % 70, 1000000 FROM k
+  UNION ALL SELECT host, 'malware', 60 + c % 200, 60 + c % 200 + c % 50 FROM k
+), hit AS (
+  SELECT DISTINCT p.page_id, p.url, e.list FROM p JOIN e
+  ON (p.host = e.host OR ends_with(p.host, '.' || e.host)) AND p.day >= e.since AND p.day < e.until
+), l AS (SELECT page_id, url, string_agg(list, ',' ORDER BY list) AS lists FROM hit GROUP BY page_id, url)
+SELECT p.page_id, p.day, coalesce(l.lists, '') AS lists, l.lists IS NOT NULL AS blocked
+FROM p LEFT JOIN l ON p.page_id = l.page_id AND p.url = l.url
+""",
     "op10_exact_top_k": """
 WITH parts AS (
   SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 def host(url: Column) -> Column:
     """Host of a URL in lower case, without user, port and final dot; null if there is none."""
     found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
-    return F.nullif(F.rtrim(F.lit("."), found), F.lit(""))
+    return F.nullif(F.rtrim(found, F.lit(".")), F.lit(""))
 
 
 def suffixes(name: Column) -> Column:
