@@ -23,7 +23,7 @@ from tessera.llm import textkit as tk
 
 SPAN, SHORT, LEAST, AGREE = 12, 5, 13, 0.8
 # The masks, 1 where a word is looked at.
-MASKS = ("110110010111", "111010011011", "101101110101", "111100101101")
+MASKS = ("110110010111", "111010011011", "101101110101", "111100101101", "111111000000", "000000111111")
 PART, OVERLAP, BLOCK = 2000, 200, 1_000_000
 
 
