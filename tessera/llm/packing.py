@@ -10,6 +10,7 @@ Defined cases: null text is empty; an empty document is its end token alone; ids
 """
 
 import re
+import struct
 import unicodedata
 import zlib
 
@@ -22,15 +23,37 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as tk
 
 LENGTH = 2048
-WORDS, PARTS = 400_000, 700_000
+WORDS, PARTS, MET = 150_000, 200_000, 1 << 20
 
 
-class Encoder(dict):
-    """Token ids of words, as little-endian 32-bit bytes; a text is encoded word by word and equals the tokenizer's own result.
+class Store(dict):
+    """Token ids, as little-endian 32-bit bytes, of the strings met twice, up to a bound; the rest are encoded each time.
+
+    A table of MET bytes tells by hash whether a string was met before, so that strings met once take no room; the table
+    is emptied when half of it is marked.
+    """
+
+    def __init__(self, encode, most: int):
+        self.encode, self.most, self.met, self.marks = encode, most, bytearray(MET), 0
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.encode(key)
+        if len(self) < self.most and len(key) < 40:
+            k = hash(key) & (MET - 1)
+            if self.met[k]:
+                self[key] = got
+            else:
+                self.met[k], self.marks = 1, self.marks + 1
+                if self.marks > MET // 2:
+                    self.met, self.marks = bytearray(MET), 0
+        return got
+
+
+class Encoder:
+    """Encodes a text word by word; the result equals the tokenizer's own.
 
     The tokenizer drops white space and looks at nothing beyond a word, so words can be kept. Words of characters up to
-    U+017E are further cut as the tokenizer's own pattern does, in lower case, and their parts are kept as well. Either
-    store takes new entries up to its bound and then stays as it is; what it doesn't hold is encoded each time.
+    U+017E are further cut as the tokenizer's own pattern does, in lower case, and their parts are kept as well.
     """
 
     PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -40,33 +63,26 @@ class Encoder(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.parts = Store(self.word, WORDS), Store(self.direct, PARTS)
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, word: str) -> bytes:
-        if self.PLAIN.fullmatch(word):
+    def word(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            low = word.lower()
+        elif self.PLAIN.fullmatch(word):
             low = unicodedata.normalize("NFC", word).lower()
-            got = b"".join(map(self._part, self.PART.findall(low)))
         else:
-            got = self.direct(word)
-        if len(word) < 40 and len(self) < WORDS:
-            self[word] = got
-        return got
-
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            got = self.direct(part)
-            if len(part) < 40 and len(self.parts) < PARTS:
-                self.parts[part] = got
-        return got
+            return self.direct(word)
+        return self.parts[low] if low.isalpha() else b"".join(map(self.parts.__getitem__, self.PART.findall(low)))
 
     def encode(self, text: str) -> bytes:
         if self.ODD.search(text):
             return self.direct(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 _encoders: dict[str, Encoder] = {}
