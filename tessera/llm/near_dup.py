@@ -8,9 +8,10 @@ the latest slot, so long documents cost little more than one point a shingle.
 
 Texts of equal words are one node. Nodes that share a band are joined to the smallest node of the bucket; exact bags
 decide (0.8 or more), and components follow from rounds of star contraction. Members of a bucket that are then still in
-different components are compared with each other by their signatures' low bytes, blocks of a large bucket against
-blocks, and what may reach the threshold is decided by exact bags again. So no pairs within a component are listed, and
-none between components are left out.
+different components meet with their bags, blocks of a large bucket against blocks, where a block holds about BLOCK
+members or BLOCK * SHINGLES shingles. Signatures' low bytes say which may reach the threshold, bags decide at once, and
+components found to be one are joined there, so a task lists fewer links than it has members. Buckets of the same
+members are compared once. So no pairs within a component are listed, and none between components are left out.
 
 Words are runs of non-white-space in lower case. Defined cases: a text of under five words is one shingle of all its
 words; a text without words, or null, is in a class of its own; repeated rows and ids are members like others.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as tk
 
 SHINGLE, SIMILAR, ROWS, BANDS = 5, 0.8, 6, 40
-BLOCK = 2048
+BLOCK, SHINGLES = 2048, 500
 
 
 def shingles(body: np.ndarray, offs: np.ndarray, size: int = SHINGLE):
@@ -136,43 +137,63 @@ def _verify(similar: float):
     return run
 
 
-def _across(similar: float):
-    """Pairs of a bucket's blocks that lie in different components and may be similar, by size and signature."""
-
-    def pairs(rows, same):
-        node, comp, size, block = (np.array(x) for x in list(zip(*rows))[:4])
-        left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(block == 0), np.flatnonzero(block == 1))
-        if not len(left) or not len(right):
-            return
-        bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(node), -1)
-        m = bits.shape[1]
-        least = m * (similar - 4.5 * (similar * (1 - similar) / m) ** 0.5)
-        for i in left:
-            j = right[right > i] if same else right
-            j = j[(comp[j] != comp[i]) & (np.minimum(size[j], size[i]) >= similar * np.maximum(size[j], size[i]) - 1e-9)]
-            if len(j):
-                j = j[(bits[j] == bits[i]).sum(1) >= least]
-                for k in j:
-                    yield min(node[i], node[k]), max(node[i], node[k])
+def linked(node, comp, size, side, bits, bag, offs, same: bool, similar: float):
+    """Pairs at `similar` or more that join different components of one bucket's block, or of two blocks; one a join."""
+    comp = np.unique(comp, return_inverse=True)[1]
+    some, bag = np.unique(bag, return_inverse=True)
+    held, size = np.zeros(len(some), bool), size.astype(float)
+    left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    m = bits.shape[1]
+    least = m * (similar - 4.5 * (similar * (1 - similar) / m) ** 0.5)
+    for i in left:
+        j = right[right > i] if same else right
+        j = j[(comp[j] != comp[i]) & (np.minimum(size[j], size[i]) >= similar * np.maximum(size[j], size[i]) - 1e-9)]
+        if len(j):
+            j = j[(bits[j] == bits[i]).sum(1) >= least]
+        if not len(j):
+            continue
+        many = offs[j + 1] - offs[j]
+        first = np.cumsum(many) - many
+        held[bag[offs[i] : offs[i + 1]]] = True
+        both = np.add.reduceat(held[bag[np.repeat(offs[j] - first, many) + np.arange(many.sum())]].astype(np.int64), first)
+        held[bag[offs[i] : offs[i + 1]]] = False
+        j = j[both >= similar * (size[i] + size[j] - both) - 1e-9]
+        for c, at in zip(*np.unique(comp[j], return_index=True)):
+            yield node[i], node[j[at]]
+            comp[comp == c] = comp[i]
 
-    def run(batches):
-        now, rows = None, []
 
-        def close():
-            out = set(pairs(rows, now[1] == now[2])) if rows else set()
-            if out:
-                a, b = zip(*out)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _across(similar: float):
+    """Rows in order of bucket and blocks, to the links between components of each."""
 
+    def close(now, parts):
+        node, comp, size, side, bits, bag, many = (np.concatenate(x) for x in zip(*parts))
+        offs = np.concatenate(([0], np.cumsum(many)))
+        if len(node) > 1 and (out := list(linked(node, comp, size, side, bits, bag, offs, now[1] == now[2], similar))):
+            a, b = np.array(out).T
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches):
+        now, parts = None, []
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "comp", "n", "side", "sketch"))):
-                if r[:3] != now:
-                    if now:
-                        yield from close()
-                    now, rows = r[:3], []
-                rows.append(r[3:])
-        if now:
-            yield from close()
+            if not b.num_rows:
+                continue
+            bucket, i, j, node, comp, size, side = (b.column(c).to_numpy() for c in ("bucket", "i", "j", "node", "comp", "n", "side"))
+            bits = tk.flat(b.column("sketch"))[0].reshape(len(node), -1)
+            bag, many = b.column("bag").flatten().to_numpy(), np.asarray(b.column("bag").value_lengths()).astype(np.int64)
+            offs = np.concatenate(([0], np.cumsum(many)))
+            new = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(node)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                key = (bucket[lo], i[lo], j[lo])
+                if key != now:
+                    if parts:
+                        yield from close(now, parts)
+                    now, parts = key, []
+                got = (node[lo:hi], comp[lo:hi], size[lo:hi], side[lo:hi], bits[lo:hi], bag[offs[lo] : offs[hi]], many[lo:hi])
+                parts.append(tuple(x.copy() for x in got) if hi == len(node) else got)
+        if parts:
+            yield from close(now, parts)
 
     return run
 
@@ -207,32 +228,33 @@ def classes(docs: DataFrame, similar: float = SIMILAR, rows: int = ROWS, bands:
     marks = tk.written(base.mapInArrow(_marks(rows, bands), "doc_id long, tx long, w1 long, w2 long, n long, bands array<long>, sketch binary"), "marks")
     nodes = marks.where("n > 0").groupBy(F.col("w1").alias("node")).agg(F.min(F.struct("doc_id", "tx", "n", "bands", "sketch")).alias("one"))
     nodes = tk.written(nodes.select("node", "one.*"), "nodes")
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
-    bucket = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    bucket = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "leader")
     met = tk.written(member.join(bucket.hint("merge"), "bucket"), "buckets")
 
-    def verified(pairs):
-        pairs = tk.written(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        found = nodes.select("node", F.col("doc_id").alias("d"), F.col("tx").alias("t")).join(ends.hint("merge"), "node")
+    def bags(of):
+        found = nodes.select("node", F.col("doc_id").alias("d"), F.col("tx").alias("t")).join(of.distinct().hint("merge"), "node")
         texts = base.join(found.hint("merge"), base.doc_id.eqNullSafe(found.d) & (base.tx == found.t)).select("node", "text")
-        bags = tk.written(texts.mapInArrow(_bags, "node long, bag array<long>").dropDuplicates(["node"]), "bags")
-        a, b = (bags.withColumnsRenamed({"node": k, "bag": f"bag_{k}"}) for k in "ab")
-        return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_verify(similar), "a long, b long")
+        return tk.written(texts.mapInArrow(_bags, "node long, bag array<long>").dropDuplicates(["node"]), "bags")
 
-    stars = met.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = tk.written(verified(stars), "links")
+    stars = tk.written(met.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    ends = bags(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))))
+    a, b = (ends.withColumnsRenamed({"node": k, "bag": f"bag_{k}"}) for k in "ab")
+    links = tk.written(stars.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_verify(similar), "a long, b long"), "links")
     comp = tk.written(components(links), "components")
-    where = met.select("bucket", "node").join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    where = met.select("bucket", "node", "n").join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     where = tk.written(where, "members")
-    split = where.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("c") / block).cast("int").alias("k"))
-    rest = where.join(split.hint("merge"), "bucket").join(nodes.select("node", "n", "sketch").hint("merge"), "node")
+    alike = [F.count(F.lit(1)).alias("c"), F.sum("n").alias("size"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
+    split = where.groupBy("bucket").agg(*alike, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    parts = F.ceil(F.greatest(F.col("c") / block, F.col("size") / (block * SHINGLES))).cast("int")
+    split = split.groupBy("c", "size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", parts.alias("k"))
+    rest = tk.written(where.join(split.hint("merge"), "bucket"), "split")
     own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("k")).cast("int")
+    rest = rest.join(nodes.select("node", "sketch").hint("merge"), "node").join(bags(rest.select("node")).hint("merge"), "node")
     rest = rest.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rest = rest.select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "node", "comp", "n", (F.col("own") > F.col("o")).cast("int").alias("side"), "sketch")
-    dealt = rest.repartition(tk.partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    across = dealt.mapInArrow(_across(similar), "a long, b long").distinct()
-    more = tk.written(verified(across), "links")
+    rest = rest.select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "node", "comp", "n", (F.col("own") > F.col("o")).cast("int").alias("side"), "sketch", "bag")
+    dealt = rest.repartition(tk.partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = tk.written(dealt.mapInArrow(_across(similar), "a long, b long").distinct(), "links")
     if not more.isEmpty():
         comp = tk.written(components(links.unionByName(more)), "components")
     full = marks.select("doc_id", "tx", F.col("w1").alias("node"), "n").join(comp.hint("merge"), "node", "left")
