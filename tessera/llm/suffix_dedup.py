@@ -6,8 +6,8 @@ repeat within the group of one minimiser. Neighbouring strings with the same min
 segment. Groups met once in the corpus are dropped by their hash alone, equal segments are merged by a second hash, and
 only one copy of each remaining segment is read back as bytes. Each task then builds the suffix array of its segments
 with common-prefix lengths, scans it with a stack and reports the maximal repeats: intervals whose members differ in the
-byte before. A group with more different segments than HOT is too large for one task; its strings are counted by hash
-instead, which gives the same bytes.
+byte before. A group with more different segments than HOT is too large for one task; it is parted by minimisers of ever
+longer grams and its strings are counted by hash instead, which gives the same bytes.
 
 Defined cases: a null or empty text has no strings; texts under `length` bytes keep all bytes; rows that repeat an id and
 a text count as copies of each other; other columns pass through untouched.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
 
-LENGTH, GRAM, HOT = 200, 32, 1024
+LENGTH, GRAM, HOT, FEW = 200, 32, 1024, 6
 BATCH_BYTES = 512 << 10
 
 
@@ -224,25 +224,50 @@ def _cut(length: int):
     return run
 
 
-def _strings(length: int):
-    """Every string of a segment by its hash: for groups too large for one array."""
-    schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("w", pa.int64()), ("at", pa.int32())])
+PIECES = "h long, g long, at int, n int, m long, w long, bytes binary"
+
+
+def _pieces(length: int, gram: int):
+    """Segments parted by the minimisers of a longer gram: m tells groups apart, w the pieces of one; at is in the segment."""
 
     def run(batches):
         for b in batches:
             for lo, _, body, offs in tk.slices(b.column("bytes")):
-                prefix = tk.prefix_hash(body)
-                count = np.diff(offs) - length + 1
-                rows = np.repeat(np.arange(len(count)), count)
-                at = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
-                start = offs[rows] + at
-                w = tk.mix(tk.stretch_hash(prefix, start, start + length))
-                pick = pa.array(rows + lo)
-                yield pa.record_batch([b.column("h").take(pick), b.column("g").take(pick), tk.i64(w), pa.array(at.astype(np.int32))], schema=schema)
+                row, s, n, h, _, w = segments(body, offs, length, gram)
+                pick = pa.array(row + lo)
+                m = tk.mix(h ^ tk.mix(np.asarray(b.column("h").take(pick)).view(tk.U64) + tk.U64(1)))
+                data, start = body.tobytes(), offs[row] + s
+                cut = pa.array([data[x:y] for x, y in zip(start.tolist(), (start + n - 1 + length).tolist())], pa.binary())
+                at = np.asarray(b.column("at").take(pick)) + s
+                yield pa.record_batch([b.column("h").take(pick), b.column("g").take(pick), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), tk.i64(m), tk.i64(w), cut], names=["h", "g", "at", "n", "m", "w", "bytes"])
 
     return run
 
 
+def counted(hot: DataFrame, length: int, gram: int) -> DataFrame:
+    """(h, g, spans) of segments (h, g, bytes) of groups too large for one array, counted by hash.
+
+    A group is parted again and again by minimisers of half as many places. Equal pieces are covered, pieces alone in
+    their group are not, and one of each kind goes on; what is left has a few strings a piece, which are counted each.
+    """
+    left, places, found = hot.select("h", "g", F.lit(0).alias("at"), "bytes"), length - gram + 1, []
+    while places > 1 and not left.isEmpty():
+        places = (places + 1) // 2 if places > FEW else 1
+        pieces = tk.written(left.mapInArrow(_pieces(length, length - places + 1), PIECES), "repeat-pieces")
+        kinds = pieces.groupBy("m", "w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("h", "g", "at")).alias("one"))
+        groups = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"))
+        kinds = tk.written(kinds.join(groups.hint("merge"), "m").where("c > 1 or kinds > 1"), "repeat-pieces")
+        both = tk.written(pieces.join(kinds.hint("merge"), ["m", "w"]), "repeat-pieces")
+        found.append(both.where("c > 1").select("h", "g", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi")))
+        left = both.where("kinds > 1 and one.h = h and one.g = g and one.at = at").select("h", "g", "at", "bytes")
+    if not found:
+        return left.select("h", "g", F.array("at").alias("spans"))
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return every.groupBy("h", "g").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("spans"))
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of stretches that overlap or touch."""
     by = np.argsort(starts, kind="stable")
@@ -274,10 +299,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: in
     cut = tk.written(parted.mapInArrow(_cut(length), "h long, g long, hot boolean, bytes binary").dropDuplicates(["h", "g"]), "repeat-bytes")
     parts = tk.partitions(spark)
     scanned = cut.where(~F.col("hot")).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_scan(length), "h long, g long, spans array<int>")
-    strings = cut.where("hot").mapInArrow(_strings(length), "h long, g long, w long, at int")
-    twice = strings.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "w")
-    counted = strings.join(twice.hint("merge"), ["h", "w"]).groupBy("h", "g").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + length))).alias("spans"))
-    own = kinds.select("h", "g", "c").join(scanned.unionByName(counted).hint("merge"), ["h", "g"], "left")
+    large = counted(cut.where("hot"), length, gram)
+    own = kinds.select("h", "g", "c").join(scanned.unionByName(large).hint("merge"), ["h", "g"], "left")
     own = own.where("c > 1 or spans is not null").select("h", "g", F.when(F.col("c") == 1, F.col("spans")).alias("spans"))
     part = met.where("mixed").join(own.hint("merge"), ["h", "g"]).select("doc_id", "tx", "s", "n", "spans")
     all_ = whole.select("doc_id", "tx", "s", "n", F.lit(None).cast("array<int>").alias("spans")).unionByName(part)
