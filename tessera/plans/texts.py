@@ -83,4 +83,15 @@ SELECT vec_id, CASE WHEN rn > ne THEN 'train' WHEN ne = 1 AND md5(CAST(label AS
     "multi_value_split": "SELECT target, count(*) AS n FROM (SELECT p_partkey, <<WORDS:p_name>> AS target FROM {part}) x WHERE target <> '' GROUP BY target",
     "learning_rate": "SELECT CAST(s AS BIGINT) AS step, round(CASE WHEN s < 20 THEN (s + 1) / 2e1 ELSE 5e-1 * (1e0 + cos(3141592653589793e-15 * least(1e0, (s - 20) / 18e1))) END, 6) AS scale FROM (SELECT <<BAND:0;199>> AS s) x",
     "token_tanimoto_nn": "WITH t AS <<TOKENS>>, rare AS (SELECT tok FROM t GROUP BY tok HAVING count(*) BETWEEN 2 AND 6), r AS (SELECT t.doc_id, t.tok FROM t JOIN rare ON t.tok = rare.tok), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id), i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM r a JOIN r b ON a.tok = b.tok AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id), s AS (SELECT i.x, i.y, round(i.i / CAST(p.n + q.n - i.i AS DOUBLE), 6) AS s FROM i JOIN n p ON i.x = p.doc_id JOIN n q ON i.y = q.doc_id), b AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS rk FROM s) SELECT x AS doc_id, y AS donor, s AS tanimoto FROM b WHERE rk = 1",
+    "robust_z_rows": "WITH m AS (SELECT vec_id, median(v) AS med FROM <<VALS>> x GROUP BY vec_id), d AS (SELECT x.vec_id, x.pos, x.v - m.med AS d FROM <<VALS>> x JOIN m ON x.vec_id = m.vec_id), k AS (SELECT vec_id, median(abs(d)) AS mad FROM d GROUP BY vec_id) SELECT d.vec_id, CAST(d.pos AS BIGINT) AS pos, round(d.d / (1.4826e0 * k.mad + 1e-6), 6) AS z FROM d JOIN k ON d.vec_id = k.vec_id",
+    "size_estimate": "SELECT count(*) AS n, round(count(*) * 978e0 * 4e0 / 1e9, 6) AS gb FROM {lineitem}",
+    "reliability_verdict": f"WITH {HALVES} SELECT label, CASE WHEN round(c, 6) >= 0.4 THEN 'high' WHEN round(c, 6) >= 0.15 THEN 'moderate' ELSE 'low' END AS verdict FROM c",
+    "log_dose_round_trip": "WITH x AS (SELECT event_id, value IS NOT NULL AS has_dose, log10(coalesce(abs(value), 0e0) + 1e-3) AS l FROM {events}) SELECT event_id, has_dose, round(l, 6) AS log_dose, round(pow(10e0, l) - 1e-3, 4) AS dose FROM x",
+    "truthy_filter": "SELECT event_type, count(*) AS n, count(CASE WHEN CAST(event_id % 3 AS STRING) IN ('1', '1.0', 'true', 'True', 'TRUE', 't', 'y', 'yes') THEN 1 END) AS kept FROM {events} GROUP BY event_type",
+    "hit_listing": f"WITH {CONS}, r AS (SELECT vec_id, cand, u, row_number() OVER (PARTITION BY vec_id ORDER BY u DESC, cand) AS r FROM scores) SELECT vec_id, CAST(r AS BIGINT) AS rank, concat('C', CAST(cand AS STRING)) AS compound_id, u / 1e6 AS cosine, substring(n_name, 1, 11) AS target FROM r LEFT JOIN {{nation}} ON n_nationkey = cand WHERE r <= 3",
+    "restricted_bank": f"WITH {CONS}, k AS (SELECT label FROM {{embeddings}} GROUP BY label HAVING count(*) >= (SELECT count(*) / count(DISTINCT label) FROM {{embeddings}})), b AS (SELECT s.* FROM scores s JOIN k ON s.cand = k.label), t AS (SELECT vec_id, u FROM b WHERE cand = truth) SELECT b.vec_id, b.truth, CAST(sum(CASE WHEN b.u > t.u THEN 1 ELSE 0 END) AS BIGINT) AS rank0, count(*) AS bank FROM b JOIN t ON b.vec_id = t.vec_id GROUP BY b.vec_id, b.truth",
+    "annotation_similarity": f"WITH {CONS}, p AS (SELECT a.label AS x, b.label AS y, sum(a.m * b.m) AS d FROM cons a JOIN cons b ON a.pos = b.pos AND a.label < b.label GROUP BY a.label, b.label), c AS (SELECT x % 3 = y % 3 AS same, d / (nx.cn * ny.cn) AS c FROM p JOIN norm nx ON x = nx.label JOIN norm ny ON y = ny.label) SELECT same, count(*) AS n, round(avg(c), 6) AS similarity FROM c GROUP BY same",
+    "eligible_intersection": "SELECT l_partkey FROM {lineitem} WHERE l_quantity >= 10 GROUP BY l_partkey HAVING count(*) >= 4 INTERSECT SELECT l_partkey FROM {lineitem} WHERE l_discount >= 0.02 GROUP BY l_partkey HAVING count(*) >= 4",
+    "nearest_transfer": f"WITH {CONS}, p AS (SELECT a.label, b.label AS donor, sum(a.m * b.m) AS d FROM cons a JOIN cons b ON a.pos = b.pos WHERE a.label % 5 = 0 AND b.label % 5 <> 0 GROUP BY a.label, b.label), r AS (SELECT p.label, donor, CAST(round(1e6 * d / (x.cn * y.cn)) AS BIGINT) AS u FROM p JOIN norm x ON p.label = x.label JOIN norm y ON donor = y.label), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY u DESC, donor) AS n FROM r) SELECT label, donor, u FROM o WHERE n = 1",
+    "random_pair_cosine": "WITH s AS (SELECT vec_id FROM {embeddings} ORDER BY md5(CAST(vec_id AS STRING)), vec_id LIMIT 60), x AS (SELECT v.vec_id, pos, v FROM <<VALS>> v JOIN s ON v.vec_id = s.vec_id), n AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM x GROUP BY vec_id), p AS (SELECT a.vec_id AS i, b.vec_id AS j, sum(a.v * b.v) AS d FROM x a JOIN x b ON a.pos = b.pos AND a.vec_id < b.vec_id GROUP BY a.vec_id, b.vec_id) SELECT count(*) AS pairs, round(avg(d / (a.n * b.n)), 6) AS cosine FROM p JOIN n a ON i = a.vec_id JOIN n b ON j = b.vec_id",
 }
