@@ -82,7 +82,7 @@ SELECT vec_id, CASE WHEN rn > ne THEN 'train' WHEN ne = 1 AND md5(CAST(label AS
     "annotation_pairs": "WITH p AS (SELECT a.p_partkey AS x, b.p_partkey AS y FROM {part} a JOIN {part} b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey UNION SELECT a.p_partkey, b.p_partkey FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey) SELECT x, count(*) AS siblings FROM p GROUP BY x",
     "multi_value_split": "SELECT target, count(*) AS n FROM (SELECT p_partkey, <<WORDS:p_name>> AS target FROM {part}) x WHERE target <> '' GROUP BY target",
     "learning_rate": "SELECT CAST(s AS BIGINT) AS step, round(CASE WHEN s < 20 THEN (s + 1) / 2e1 ELSE 5e-1 * (1e0 + cos(3141592653589793e-15 * least(1e0, (s - 20) / 18e1))) END, 6) AS scale FROM (SELECT <<BAND:0;199>> AS s) x",
-    "token_tanimoto_nn": "WITH t AS <<TOKENS>>, rare AS (SELECT tok FROM t GROUP BY tok HAVING count(*) BETWEEN 2 AND 6), r AS (SELECT t.doc_id, t.tok FROM t JOIN rare ON t.tok = rare.tok), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id), i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM r a JOIN r b ON a.tok = b.tok AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id), s AS (SELECT i.x, i.y, round(i.i / CAST(p.n + q.n - i.i AS DOUBLE), 6) AS s FROM i JOIN n p ON i.x = p.doc_id JOIN n q ON i.y = q.doc_id), b AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS rk FROM s) SELECT x AS doc_id, y AS donor, s AS tanimoto FROM b WHERE rk = 1",
+    "token_tanimoto_nn": "WITH t AS <<TOKENS>>, n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM t a JOIN t b ON a.tok = b.tok AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id), s AS (SELECT i.x, i.y, round(i.i / CAST(p.n + q.n - i.i AS DOUBLE), 6) AS s FROM i JOIN n p ON i.x = p.doc_id JOIN n q ON i.y = q.doc_id), b AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS rk FROM s), d AS (SELECT DISTINCT doc_id FROM {documents}), lo AS (SELECT min(doc_id) AS lo FROM d), hi AS (SELECT min(doc_id) AS hi FROM d WHERE doc_id > (SELECT lo FROM lo)) SELECT d.doc_id, coalesce(b.y, CASE WHEN d.doc_id = lo THEN hi ELSE lo END) AS donor, coalesce(b.s, 0e0) AS tanimoto FROM d CROSS JOIN lo CROSS JOIN hi LEFT JOIN b ON d.doc_id = b.x AND b.rk = 1",
     "robust_z_rows": "WITH m AS (SELECT vec_id, median(v) AS med FROM <<VALS>> x GROUP BY vec_id), d AS (SELECT x.vec_id, x.pos, x.v - m.med AS d FROM <<VALS>> x JOIN m ON x.vec_id = m.vec_id), k AS (SELECT vec_id, median(abs(d)) AS mad FROM d GROUP BY vec_id) SELECT d.vec_id, CAST(d.pos AS BIGINT) AS pos, round(d.d / (1.4826e0 * k.mad + 1e-6), 6) AS z FROM d JOIN k ON d.vec_id = k.vec_id",
     "size_estimate": "SELECT count(*) AS n, round(count(*) * 978e0 * 4e0 / 1e9, 6) AS gb FROM {lineitem}",
     "reliability_verdict": f"WITH {HALVES} SELECT label, CASE WHEN round(c, 6) >= 0.4 THEN 'high' WHEN round(c, 6) >= 0.15 THEN 'moderate' ELSE 'low' END AS verdict FROM c",
