@@ -1,10 +1,11 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by counted seeds.
 
-Fixed masks of SPAN words look at some places and ignore the others, so a seed survives a changed word wherever a mask
-ignores it. The benchmark's seeds, a bounded block at a time, are broadcast to the scan of the training texts; each hit
-names an item and a shift between item and text, and along that shift the whole item is compared word by word. A text is
-contaminated if a stretch of LEAST words (or all of a shorter item) has at least AGREE of its words equal and begins and
-ends with equal ones.
+Seeds are GRAM words in a row. A changed word spoils GRAM seeds at most, so a stretch of n words with c of them changed
+keeps n - GRAM + 1 - GRAM * c, which is LIKELY or more wherever n is SPAN or more and c at most a fifth of n: no placement
+of the changed words is missed. The benchmark's seeds, a bounded block at a time, are broadcast to the scan of the training
+texts; each hit names an item and a shift between item and text, and along a shift with LIKELY hits the whole item is
+compared word by word. A text is contaminated if a stretch of LEAST words (or all of a shorter item) has at least AGREE of
+its words equal and begins and ends with equal ones.
 
 Words are runs of letters and digits in lower case; ASCII punctuation and white space part them. Blocks hold about BLOCK
 words of the benchmark; an item longer than PART words enters as overlapping parts. Defined cases: null and empty texts
@@ -22,21 +23,19 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as tk
 
 SPAN, SHORT, LEAST, AGREE = 12, 5, 13, 0.8
-# The masks, 1 where a word is looked at.
-MASKS = ("110110010111", "111010011011", "101101110101", "111100101101", "111111000000", "000000111111")
+GRAM, LIKELY = 3, 4
 PART, OVERLAP, BLOCK = 2000, 200, 1_000_000
 
 
 def places() -> list[np.ndarray]:
-    """What each mask looks at; after the spaced masks, dense ones for items of SHORT to SPAN - 1 words."""
-    return [np.flatnonzero([c == "1" for c in m]) for m in MASKS] + [np.arange(n) for n in range(SHORT, SPAN)]
+    """What each mask looks at; after the seeds' one, those of all words for items of SHORT to SPAN - 1 words."""
+    return [np.arange(GRAM)] + [np.arange(n) for n in range(SHORT, SPAN)]
 
 
 def seeds(wh: np.ndarray, mask: int) -> np.ndarray:
     """Hash of the mask at every word where it fits."""
     at = places()[mask]
-    width = SPAN if mask < len(MASKS) else len(at)
-    n = max(0, len(wh) - width + 1)
+    n = max(0, len(wh) - len(at) + 1)
     out = np.full(n, 7919 * (mask + 1), tk.U64)
     with np.errstate(over="ignore"):
         for k, p in enumerate(at.tolist()):
@@ -64,9 +63,10 @@ class Block:
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
+        self.whole = np.array([len(wh) < SPAN for _, wh in items], bool)
         seed, item, at, mask = [], [], [], []
         for k, (_, wh) in enumerate(items):
-            kinds = range(len(MASKS)) if len(wh) >= SPAN else [len(MASKS) + len(wh) - SHORT] if len(wh) >= SHORT else []
+            kinds = [0] if len(wh) >= SPAN else [1 + len(wh) - SHORT] if len(wh) >= SHORT else []
             for m in kinds:
                 h = seeds(wh, m)
                 seed.append(h), item.append(np.full(len(h), k)), at.append(np.arange(len(h))), mask.append(np.full(len(h), m))
@@ -99,7 +99,8 @@ class Block:
         own = row[word]
         shift = word - first[own] - at
         found: dict[int, dict[int, tuple[int, int]]] = {}
-        todo = np.unique(np.stack((own, item, shift), 1), axis=0)
+        todo, n = np.unique(np.stack((own, item, shift), 1), axis=0, return_counts=True)
+        todo = todo[n >= np.where(self.whole[todo[:, 1]], 1, LIKELY)]
         for r, k, s in todo.tolist():
             name, want = self.items[k]
             n = int(first[r + 1] - first[r])
