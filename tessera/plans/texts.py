@@ -73,7 +73,19 @@ SELECT vec_id, CASE WHEN rn > ne THEN 'train' WHEN ne = 1 AND md5(CAST(label AS
     "loo_agreement": f"WITH {LOO} SELECT vec_id, label, loo FROM loo",
     "outlier_filter": f"WITH {LOO}, q AS (SELECT <<PCT:loo;0.25>> AS cut FROM loo) SELECT label, count(*) AS kept FROM loo CROSS JOIN q WHERE loo >= cut GROUP BY label",
     "noise_ceiling": f"WITH {HALVES} SELECT label, round(c, 6) AS self_cosine, round(2 * c / (1 + c), 6) AS reliability FROM c",
-    "matched_depth_filters": "WITH f AS (SELECT l_partkey, count(*) AS n0, count(CASE WHEN l_quantity >= 10 THEN 1 END) AS n1, count(CASE WHEN l_discount >= 0.02 THEN 1 END) AS n2 FROM {lineitem} GROUP BY l_partkey) SELECT count(*) AS eligible, CAST(sum(n0) AS BIGINT) AS s0, CAST(sum(n1) AS BIGINT) AS s1, CAST(sum(n2) AS BIGINT) AS s2 FROM f WHERE n0 >= 8 AND n1 >= 8 AND n2 >= 8",
+    "matched_depth_filters": f"""WITH {LOO.replace('sqrt(sum(v * v) * sum(r * r))', 'greatest(sqrt(sum(v * v) * sum(r * r)), 1e-9)')},
+l AS (SELECT vec_id, round(sqrt(sum(v * v)), 6) AS l2 FROM <<VALS>> x GROUP BY vec_id), s AS (SELECT loo.vec_id, label, loo, l2 FROM loo JOIN l ON loo.vec_id = l.vec_id),
+q AS (SELECT <<PCT:l2;0.25>> AS ql2, <<PCT:loo;0.25>> AS qloo FROM s),
+a AS (SELECT 0 AS k, 'none (baseline)' AS arm UNION ALL SELECT 1, 'drop weakest 25% (L2)' UNION ALL SELECT 2, 'drop 25% outliers (LOO)' UNION ALL SELECT 3, 'LOO + L2'),
+g AS (SELECT a.k, s.vec_id, s.label, row_number() OVER (PARTITION BY a.k, s.label ORDER BY md5(concat(CAST(a.k AS STRING), '|', CAST(s.vec_id AS STRING))), s.vec_id) AS rn
+  FROM s CROSS JOIN q CROSS JOIN a WHERE (a.k IN (0, 2) OR l2 >= ql2) AND (a.k IN (0, 1) OR loo >= qloo)),
+e AS (SELECT label FROM g WHERE rn = 8 GROUP BY label HAVING count(*) = 4),
+h AS (SELECT g.k, g.label, x.pos, avg(CASE WHEN rn <= 4 THEN v END) AS m0, avg(CASE WHEN rn > 4 THEN v END) AS m1
+  FROM g JOIN e ON g.label = e.label JOIN <<VALS>> x ON g.vec_id = x.vec_id WHERE rn <= 8 GROUP BY g.k, g.label, x.pos),
+c AS (SELECT k, label, sum(m0 * m1) / nullif(sqrt(sum(m0 * m0) * sum(m1 * m1)), 0) AS c FROM h GROUP BY k, label),
+m AS (SELECT k, round(avg(c), 6) AS c, count(*) AS n FROM c GROUP BY k), p AS (SELECT k, count(*) AS n FROM g GROUP BY k), live AS (SELECT count(*) AS n FROM s)
+SELECT a.arm, round(p.n / CAST(live.n AS DOUBLE), 6) AS kept, m.c AS self_cosine, round(m.c - b.c, 6) AS delta, coalesce(m.n, 0) AS n_compounds
+FROM a CROSS JOIN live JOIN p ON a.k = p.k LEFT JOIN m ON a.k = m.k LEFT JOIN m b ON b.k = 0""",
     "block_correlation": "WITH c AS (SELECT label, pos, avg(v) AS m FROM <<VALS>> x GROUP BY label, pos), p AS (SELECT a.label AS a, b.label AS b, CAST(floor(a.pos / 16.0) AS BIGINT) AS block, sum(a.m * b.m) / sqrt(sum(a.m * a.m) * sum(b.m * b.m)) AS c FROM c a JOIN c b ON a.pos = b.pos AND a.label < b.label GROUP BY a.label, b.label, CAST(floor(a.pos / 16.0) AS BIGINT)), w AS (SELECT a.label AS a, b.label AS b, sum(a.m * b.m) / sqrt(sum(a.m * a.m) * sum(b.m * b.m)) AS c FROM c a JOIN c b ON a.pos = b.pos AND a.label < b.label GROUP BY a.label, b.label) SELECT p.block, round(corr(p.c, w.c), 6) AS r FROM p JOIN w ON p.a = w.a AND p.b = w.b GROUP BY p.block",
     "standard_scaler": "WITH s AS (SELECT avg(CAST(p_size AS DOUBLE)) AS m, stddev_pop(CAST(p_size AS DOUBLE)) AS sd FROM {part} WHERE md5(CAST(p_partkey AS STRING)) < 'c') SELECT p_partkey, round(greatest(least((p_size - m) / CASE WHEN sd < 1e-3 THEN 1 ELSE sd END, 10), -10), 6) AS scaled FROM {part} CROSS JOIN s",
     "depth_breakdown": "WITH d AS (SELECT l_partkey, count(*) AS n, avg(l_discount) AS model, avg(l_tax) AS base FROM {lineitem} GROUP BY l_partkey), b AS (SELECT CASE WHEN n < 20 THEN '01-19' WHEN n < 30 THEN '20-29' WHEN n < 40 THEN '30-39' ELSE '40+' END AS bin, model, base FROM d) SELECT bin, count(*) AS n, round(avg(model), 6) AS model, round(avg(base), 6) AS base, CASE WHEN avg(base) > 0 THEN round(avg(model) / avg(base), 6) END AS ratio FROM b GROUP BY bin",

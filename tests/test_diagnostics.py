@@ -1,0 +1,52 @@
+import hashlib
+
+import numpy as np
+import pytest
+
+from tessera.plans.catalogue import QUERIES
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    r = np.random.default_rng(5)
+    rows, at = [], 0
+    for label, n in enumerate((30, 25, 40, 12, 7, 1)):
+        middle = r.normal(size=6)
+        for _ in range(n):
+            rows.append((at, label, (middle * r.uniform(0.2, 2) + r.normal(size=6)).tolist()))
+            at += 1
+    path = tmp_path_factory.mktemp("vectors")
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
+    return str(path), np.array([x[0] for x in rows]), np.array([x[1] for x in rows]), np.array([x[2] for x in rows])
+
+
+def md5(x):
+    return hashlib.md5(x.encode()).hexdigest()
+
+
+def cosine(a, b):
+    return a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
+
+
+def test_matched_depth_filters(spark, vectors):
+    path, ids, label, v = vectors
+    norm, loo = np.linalg.norm(v, axis=1).round(6), np.zeros(len(v))
+    for k in range(len(v)):
+        rest = v[(label == label[k]) & (ids != ids[k])]
+        loo[k] = cosine(v[k], rest.mean(0)).round(6) if len(rest) else 0
+    l2, out = norm >= np.quantile(norm, 0.25), loo >= np.quantile(loo, 0.25)
+    masks = {"none (baseline)": l2 | True, "drop weakest 25% (L2)": l2, "drop 25% outliers (LOO)": out, "LOO + L2": out & l2}
+    common = [c for c in np.unique(label) if all((m & (label == c)).sum() >= 8 for m in masks.values())]
+    assert 1 < len(common) < 6
+    want, base = {}, None
+    for k, (name, m) in enumerate(masks.items()):
+        each = []
+        for c in common:
+            pick = sorted(ids[m & (label == c)].tolist(), key=lambda x: md5(f"{k}|{x}"))[:8]  # noqa: B023
+            each.append(cosine(v[pick[:4]].mean(0), v[pick[4:]].mean(0)))
+        base = np.mean(each) if base is None else base
+        want[name] = (m.mean(), np.mean(each), np.mean(each) - base, len(common))
+    got = {r.arm: (r.kept, r.self_cosine, r.delta, r.n_compounds) for r in QUERIES["matched_depth_filters"](spark, path).collect()}
+    assert got.keys() == want.keys()
+    for k, x in want.items():
+        assert got[k] == pytest.approx(x, abs=2e-6)
