@@ -105,5 +105,12 @@ FROM a CROSS JOIN live JOIN p ON a.k = p.k LEFT JOIN m ON a.k = m.k LEFT JOIN m
     "annotation_similarity": f"WITH {CONS}, p AS (SELECT a.label AS x, b.label AS y, sum(a.m * b.m) AS d FROM cons a JOIN cons b ON a.pos = b.pos AND a.label < b.label GROUP BY a.label, b.label), c AS (SELECT x % 3 = y % 3 AS same, d / (nx.cn * ny.cn) AS c FROM p JOIN norm nx ON x = nx.label JOIN norm ny ON y = ny.label) SELECT same, count(*) AS n, round(avg(c), 6) AS similarity FROM c GROUP BY same",
     "eligible_intersection": "SELECT l_partkey FROM {lineitem} WHERE l_quantity >= 10 GROUP BY l_partkey HAVING count(*) >= 4 INTERSECT SELECT l_partkey FROM {lineitem} WHERE l_discount >= 0.02 GROUP BY l_partkey HAVING count(*) >= 4",
     "nearest_transfer": f"WITH {CONS}, p AS (SELECT a.label, b.label AS donor, sum(a.m * b.m) AS d FROM cons a JOIN cons b ON a.pos = b.pos WHERE a.label % 5 = 0 AND b.label % 5 <> 0 GROUP BY a.label, b.label), r AS (SELECT p.label, donor, CAST(round(1e6 * d / (x.cn * y.cn)) AS BIGINT) AS u FROM p JOIN norm x ON p.label = x.label JOIN norm y ON donor = y.label), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY u DESC, donor) AS n FROM r) SELECT label, donor, u FROM o WHERE n = 1",
-    "random_pair_cosine": "WITH s AS (SELECT vec_id FROM {embeddings} ORDER BY md5(CAST(vec_id AS STRING)), vec_id LIMIT 60), x AS (SELECT v.vec_id, pos, v FROM <<VALS>> v JOIN s ON v.vec_id = s.vec_id), n AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM x GROUP BY vec_id), p AS (SELECT a.vec_id AS i, b.vec_id AS j, sum(a.v * b.v) AS d FROM x a JOIN x b ON a.pos = b.pos AND a.vec_id < b.vec_id GROUP BY a.vec_id, b.vec_id) SELECT count(*) AS pairs, round(avg(d / (a.n * b.n)), 6) AS cosine FROM p JOIN n a ON i = a.vec_id JOIN n b ON j = b.vec_id",
+    "random_pair_cosine": """WITH h AS (SELECT vec_id, label, pos, v, CASE WHEN md5(concat('half', CAST(vec_id AS STRING))) < '8' THEN 0 ELSE 1 END AS half FROM <<VALS>> x),
+ok AS (SELECT label FROM (SELECT label, half FROM h GROUP BY label, half HAVING count(DISTINCT vec_id) >= 2) x GROUP BY label HAVING count(*) = 2),
+s AS (SELECT label FROM ok ORDER BY md5(CAST(label AS STRING)), label LIMIT 2000),
+m AS (SELECT h.label, pos, avg(v) AS m FROM h JOIN s ON h.label = s.label WHERE half = 0 GROUP BY h.label, pos),
+n AS (SELECT label, greatest(sqrt(sum(m * m)), 1e-9) AS n FROM m GROUP BY label),
+u AS (SELECT pos, sum(m.m / n.n) AS t, sum(m.m / n.n * m.m / n.n) AS q FROM m JOIN n ON m.label = n.label GROUP BY pos),
+k AS (SELECT count(*) AS k FROM s), d AS (SELECT sum(t * t) - sum(q) AS d FROM u)
+SELECT CAST(k * (k - 1) / 2 AS BIGINT) AS pairs, round(d / nullif(k * (k - 1e0), 0), 6) AS cosine FROM k CROSS JOIN d""",
 }

@@ -50,3 +50,21 @@ def test_matched_depth_filters(spark, vectors):
     assert got.keys() == want.keys()
     for k, x in want.items():
         assert got[k] == pytest.approx(x, abs=2e-6)
+
+
+def test_random_pair_cosine(spark, tmp_path):
+    r = np.random.default_rng(6)
+    label = np.arange(900) // 9  # 100 groups, more than 60 vectors
+    v = r.normal(size=(900, 5)) + 0.5
+    rows = [(k, int(c), x.tolist()) for k, (c, x) in enumerate(zip(label, v))] + [(900, 100, [1.0] * 5)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    half = np.array([md5(f"half{k}") >= "8" for k in range(900)])
+    unit = []
+    for c in range(100):
+        a, b = v[(label == c) & ~half], v[(label == c) & half]
+        if len(a) >= 2 and len(b) >= 2:
+            unit.append(a.mean(0) / np.linalg.norm(a.mean(0)))
+    unit = np.array(unit)
+    cross = (unit @ unit.T)[np.triu_indices(len(unit), 1)]
+    got = QUERIES["random_pair_cosine"](spark, str(tmp_path)).first()
+    assert got.pairs == len(cross) and got.cosine == pytest.approx(cross.mean(), abs=2e-6)
