@@ -9,9 +9,7 @@ pieces find their places by their rank within their length, counted in two steps
 Defined cases: null text is empty; an empty document is its end token alone; ids and texts may repeat.
 """
 
-import re
 import struct
-import unicodedata
 import zlib
 
 import numpy as np
@@ -23,66 +21,122 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as tk
 
 LENGTH = 2048
-WORDS, PARTS, MET = 150_000, 200_000, 1 << 20
-
-
-class Store(dict):
-    """Token ids, as little-endian 32-bit bytes, of the strings met twice, up to a bound; the rest are encoded each time.
-
-    A table of MET bytes tells by hash whether a string was met before, so that strings met once take no room; the table
-    is emptied when half of it is marked.
-    """
-
-    def __init__(self, encode, most: int):
-        self.encode, self.most, self.met, self.marks = encode, most, bytearray(MET), 0
-
-    def __missing__(self, key: str) -> bytes:
-        got = self.encode(key)
-        if len(self) < self.most and len(key) < 40:
-            k = hash(key) & (MET - 1)
-            if self.met[k]:
-                self[key] = got
-            else:
-                self.met[k], self.marks = 1, self.marks + 1
-                if self.marks > MET // 2:
-                    self.met, self.marks = bytearray(MET), 0
-        return got
+PARTS, MET, JOIN, SLICE = 300_000, 1 << 20, 256, 4 << 20
+
+LETTER, DIGIT, SIGN = 1, 2, 3
+KIND = np.full(256, SIGN, np.uint8)  # 0 is white space, of which the tokenizer knows other characters than Python
+KIND[[9, 10, 11, 12, 13, 32]] = 0
+KIND[[c for c in range(256) if c >= 128 or chr(c).isalpha()]] = LETTER
+KIND[48:58] = DIGIT
+kind_is_space = KIND == 0
+LOW = np.arange(256, dtype=np.uint8)
+LOW[65:91] += 32
+#: Bytes that may make a word odd: signs under 32, the apostrophe, `<`, and what is no Latin letter up to U+017E.
+ODD = ((np.arange(256) < 32) & ~kind_is_space) | np.isin(np.arange(256), [ord("'"), ord("<"), 127, 0xC2]) | (np.arange(256) > 0xC5)
+ODD_PAIRS = np.zeros((256, 256), bool)
+for _pair in (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"\xc5\x89", b"\xc5\xbf"):  # signs of multiplication and division, and letters that fold to more
+    ODD[_pair[1]] = ODD_PAIRS[_pair[0], _pair[1]] = True
 
 
 class Encoder:
-    """Encodes a text word by word; the result equals the tokenizer's own.
+    """Encodes texts by their different parts; the result equals the tokenizer's own.
 
-    The tokenizer drops white space and looks at nothing beyond a word, so words can be kept. Words of characters up to
-    U+017E are further cut as the tokenizer's own pattern does, in lower case, and their parts are kept as well.
+    The tokenizer works in lower case, drops white space and looks at nothing beyond a part: a run of letters, a digit, or
+    a run of other signs. Words of other characters than ASCII and the Latin letters up to U+017E, and those with an
+    apostrophe, a control character or the beginning of a special token, go to the tokenizer whole. Ids of parts met twice
+    are kept, up to a bound; a table of MET bytes tells by hash whether a part was met before, so that parts met once take
+    no room, and is emptied when half of it is marked.
     """
 
-    PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-    ODD = re.compile("[\x1c-\x1f]|<\\|")  # white space to Python only; special tokens
-    PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž]+")
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = PARTS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = Store(self.word, WORDS), Store(self.direct, PARTS)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a part
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.met, self.marks = bytearray(MET), 0
 
     def direct(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            low = word.lower()
-        elif self.PLAIN.fullmatch(word):
-            low = unicodedata.normalize("NFC", word).lower()
-        else:
-            return self.direct(word)
-        return self.parts[low] if low.isalpha() else b"".join(map(self.parts.__getitem__, self.PART.findall(low)))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _together(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of parts, JOIN of them to a call; the tokens that end parts tell them apart."""
+        out = []
+        for lo in range(0, len(parts), JOIN):
+            some = parts[lo : lo + JOIN]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(some) or cut[-1] != len(ids):
+                raise ValueError("parts and tokens that end parts do not agree")
+            raw, cut = ids.tobytes(), (cut * 4).tolist()
+            out += [raw[x:y] for x, y in zip([0, *cut], cut)]
+        return out
+
+    def _ids(self, keys: list[bytes], whole: bool) -> list[bytes]:
+        """Ids of different parts, or of whole words."""
+        got = list(map(self.known.get, keys))
+        new = [k for k, x in enumerate(got) if x is None]
+        some = [keys[k] for k in new]
+        for k, x in zip(new, [self.direct(w.decode("utf-8", "replace")) for w in some] if whole else self._together(some)):
+            got[k], key = x, keys[k]
+            if len(self.known) < self.most and len(key) < 40:
+                h = hash(key) & (MET - 1)
+                if self.met[h]:
+                    self.known[key] = x
+                else:
+                    self.met[h], self.marks = 1, self.marks + 1
+                    if self.marks > MET // 2:
+                        self.met, self.marks = bytearray(MET), 0
+        return got
 
-    def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self.direct(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+    def encode(self, body: np.ndarray, offs: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after another, the token `end` behind each, and where each row begins.
+
+        Arrow finds the different parts of the rows; each is looked up once, and the ids are gathered from there.
+        """
+        start, odd = parts(body, offs)
+        row = np.searchsorted(start, offs)  # the first part of each row
+        codes, each = np.zeros(len(start), np.int32), []
+        for pick, text, whole in ((np.flatnonzero(~odd), LOW[body], False), (np.flatnonzero(odd), np.ascontiguousarray(body), True)):
+            if len(pick):
+                at = pa.array(np.append(start, len(body)), pa.int32())
+                values = pa.Array.from_buffers(pa.binary(), len(start), [None, at.buffers()[1], pa.py_buffer(text)])
+                found = (values if len(pick) == len(start) else values.take(pa.array(pick))).dictionary_encode()
+                codes[pick] = np.asarray(found.indices) + len(each)
+                each += self._ids(list(map(bytes.rstrip, found.dictionary.to_pylist())), whole)
+        size = np.array([*map(len, each), 4], np.int32) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(np.frombuffer(b"".join(each) + struct.pack("<I", end), "<u4")))
+        codes = np.insert(codes, row[1:], len(each))
+        begins = np.concatenate(([0], np.cumsum(size[codes])))[row + np.arange(len(row))]
+        return lists.take(pa.array(codes)).flatten().to_numpy(), begins
+
+
+def parts(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each part of the rows begins, and whether it is a whole word that only the tokenizer can read."""
+    n = len(body)
+    kind = KIND[body]
+    first = np.zeros(n + 1, bool)
+    first[offs[:-1]] = True
+    begin = (kind > 0) & (first[:n] | (kind == DIGIT))
+    begin[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0)
+    at = np.flatnonzero(ODD[body])
+    after, before = body[np.minimum(at + 1, n - 1)], body[np.maximum(at - 1, 0)]
+    sign = body[at]
+    at = at[np.where(sign == ord("<"), after == ord("|"), np.where((sign >= 0x80) & (sign < 0xC0), ODD_PAIRS[before, sign], True))]
+    if not len(at):
+        start = np.flatnonzero(begin)
+        return start, np.zeros(len(start), bool)
+    word, stop, _ = tk.words(body, offs, kind_is_space)
+    which = np.unique(np.searchsorted(word, at, "right") - 1)
+    step = np.zeros(n + 1, np.int8)
+    step[word[which]] = 1
+    np.add.at(step, stop[which], -1)
+    inside = np.cumsum(step[:n]).astype(bool)
+    begin &= ~inside
+    begin[word[which]] = True
+    start = np.flatnonzero(begin)
+    return start, inside[start]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -102,18 +156,25 @@ def _pieces(path: str, length: int, with_ids: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, met = encoder(path), TaskContext.get().partitionId(), {}
+        enc, part, met = encoder(path), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for b in batches:
-            out = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = (enc.encode(text.as_py()) if text.is_valid else b"") + b"\0\0\0\0"
-                for k, lo in enumerate(range(0, len(ids), 4 * length)):
-                    one = ids[lo : lo + 4 * length]
-                    n = len(one) // 4
-                    nth = met[n] = met.get(n, -1) + 1
-                    out.append((doc_id, k, lo // 4, n, zlib.crc32(one), part, nth, np.frombuffer(one, "<u4").astype(np.int64) if with_ids else None))
-            cols = list(zip(*out)) if out else [[]] * 8
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, PIECES)][: 8 if with_ids else 7], schema=PIECES if with_ids else pa.schema(list(PIECES)[:7]))
+            for lo, hi, body, offs in tk.slices(b.column("text"), SLICE, SLICE):
+                ids, begins = enc.encode(body, offs)
+                size = np.diff(begins)
+                count = -(-size // length)
+                row = np.repeat(np.arange(hi - lo), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = begins[row] + piece * length
+                n = np.minimum(length, begins[row + 1] - at)
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * x : 4 * (x + m)]) for x, m in zip(at.tolist(), n.tolist())]
+                by = np.argsort(n, kind="stable")  # the place of each piece among those of its length in this task
+                first, end = tk.runs(n[by])
+                nth = np.empty(len(n), np.int64)
+                nth[by] = np.arange(len(n)) - np.repeat(first, end - first) + met[n[by]]
+                met += np.bincount(n, minlength=length + 1)
+                cols = [b.column("doc_id").slice(lo, hi - lo).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * length), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(nth)]
+                yield pa.record_batch([*cols, *([tk.lists(n, pa.array(ids.astype(np.int64)))] if with_ids else [])], schema=PIECES if with_ids else pa.schema(list(PIECES)[:7]))
 
     return run
 
