@@ -1,0 +1,74 @@
+"""Tables in the folder that driver and executors share, and columns of any name carried through an operator."""
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_tables: list[str] = []
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/tessera-{os.getuid()}"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def _files(spark, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors.
+
+    The table goes when it is released or the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+    _tables.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A mark for release: tables written from now on."""
+    return len(_tables)
+
+
+def release(spark, since: int, keep: int = 0) -> None:
+    """Deletes the tables written since the mark, but for the newest ones to keep."""
+    gone = _tables[since : len(_tables) - keep]
+    del _tables[since : len(_tables) - keep]
+    for path in gone:
+        where, files = _files(spark, path)
+        files.delete(where, True)
+
+
+def named(name: str) -> Column:
+    """The column of that very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame) -> Column:
+    """All columns of docs as one, `row`, so that none can clash with those an operator adds."""
+    return F.struct(*[named(c).alias(c) for c in docs.columns]).alias("row")
+
+
+def unboxed(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of docs, out of `row`, some of them replaced."""
+    return [new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+
+
+def partitions(spark, least: int = 1) -> int:
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -4,13 +4,12 @@ A batch is handled as one byte array with document offsets, in slices of a few m
 stay small however many rows Spark puts in a batch. A document longer than a slice forms a slice of its own.
 """
 
-import os
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm.storage import boxed, named, partitions, unboxed, written  # noqa: F401
+
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
@@ -141,23 +140,3 @@ def lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
 
 def i64(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64) if values.dtype == U64 else values.astype(np.int64), pa.int64())
-
-
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/tessera-{os.getuid()}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def written(df, name: str):
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
