@@ -6,17 +6,21 @@ width as its rate; a point falls on a random slot, and counts if its place in th
 A slot keeps its earliest point. Processes are run lazily, a shingle's next points only while they can still come before
 the latest slot, so long documents cost little more than one point a shingle.
 
-Texts of equal words are one node. Nodes that share a band are joined to the smallest node of the bucket; exact bags
-decide (0.8 or more), and components follow from rounds of star contraction. Members of a bucket that are then still in
-different components meet with their bags, blocks of a large bucket against blocks, where a block holds about BLOCK
-members or BLOCK * SHINGLES shingles. Signatures' low bytes say which may reach the threshold, bags decide at once, and
-components found to be one are joined there, so a task lists fewer links than it has members. Buckets of the same
-members are compared once. So no pairs within a component are listed, and none between components are left out.
+Texts of equal words, told by 128 bits of a cryptographic hash, are one node. Nodes that share a band are joined to the
+smallest node of the bucket; exact bags decide (0.8 or more), and components follow from rounds of star contraction.
+Members of a bucket that are then still in different components meet with their bags, in blocks of about BLOCK members or
+BLOCK * SHINGLES shingles (see blocks). Signatures' low bytes say which may reach the threshold (DEVIATIONS standard
+deviations below it), bags decide at once, and components found to be one are joined there, so a task lists fewer links
+than it has members. Buckets of the same members are compared once. So no pairs within a component are listed, and none
+between components are left out.
 
 Words are runs of non-white-space in lower case. Defined cases: a text of under five words is one shingle of all its
-words; a text without words, or null, is in a class of its own; repeated rows and ids are members like others.
+words; a text without words, or null, is in a class of its own; repeated rows and ids are members like others; an empty
+table has no classes; columns other than doc_id and text are not read, whatever their names.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,19 +29,17 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as tk
 
 SHINGLE, SIMILAR, ROWS, BANDS = 5, 0.8, 6, 40
-BLOCK, SHINGLES = 2048, 500
+BLOCK, SHINGLES, DEVIATIONS = 2048, 500, 6
 
 
 def shingles(body: np.ndarray, offs: np.ndarray, size: int = SHINGLE):
-    """Row, hash and count of each different shingle, sorted by row; and two hashes of each row's words, and their number."""
+    """Row, hash and count of each different shingle, sorted by row; and the number of each row's words."""
     n = len(offs) - 1
     start, end, row = tk.words(body, offs)
     wh = tk.word_hashes(body, start, end)
     many = np.bincount(row, minlength=n)
     first = np.cumsum(many) - many
     prefix = tk.prefix_hash(wh)
-    whole = tk.stretch_hash(prefix, first, first + many)
-    w1, w2 = tk.mix(whole + many.astype(tk.U64)), tk.mix(whole ^ tk.U64(0xA5A5A5A5A5A5A5A5))
     take = np.where(many >= size, many - size + 1, np.minimum(many, 1))
     own = np.repeat(np.arange(n), take)
     at = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(take) - take, take)
@@ -48,7 +50,7 @@ def shingles(body: np.ndarray, offs: np.ndarray, size: int = SHINGLE):
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
     at = np.flatnonzero(new)
-    return own[at], h[at], np.diff(np.concatenate((at, [len(h)]))), w1, w2, many
+    return own[at], h[at], np.diff(np.concatenate((at, [len(h)]))), many
 
 
 def signatures(own: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, slots: int) -> np.ndarray:
@@ -83,13 +85,21 @@ def signatures(own: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, slots:
     return sig.reshape(n, slots)
 
 
+PLAIN = bytes(32 if tk.SPACE[c] else c for c in range(256))
+
+
+def same_words(data: bytes) -> bytes:
+    """128 bits of a cryptographic hash of the words: texts of other words have other bits."""
+    return hashlib.blake2b(b" ".join(data.translate(PLAIN).split()), digest_size=16).digest()
+
+
 def _marks(rows: int, bands: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("tx", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tx", pa.int64()), ("w", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
         for b in batches:
             for lo, hi, body, offs in tk.slices(tk.lower(b.column("text"))):
-                own, h, count, w1, w2, many = shingles(body, offs)
+                own, h, count, many = shingles(body, offs)
                 sig = signatures(own, h, count, hi - lo, rows * bands)
                 raw = tk.mix(sig.view(tk.U64).ravel()).reshape(sig.shape)
                 band = np.zeros((hi - lo, bands), tk.U64)
@@ -101,7 +111,9 @@ def _marks(rows: int, bands: int):
                 lists = tk.lists(np.where(some, bands, 0), tk.i64(band[some].ravel()))
                 sketch = (raw & tk.U64(255)).astype(np.uint8)
                 ids = b.slice(lo, hi - lo)
-                yield pa.record_batch([ids.column("doc_id"), ids.column("tx"), tk.i64(w1), tk.i64(w2), pa.array(size), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], schema=schema)
+                data, ends = body.tobytes(), offs.tolist()
+                same = pa.array([same_words(data[x:y]) for x, y in zip(ends, ends[1:])], pa.binary())
+                yield pa.record_batch([ids.column("doc_id"), ids.column("tx"), same, pa.array(size), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], schema=schema)
 
     return run
 
@@ -110,7 +122,7 @@ def _bags(batches):
     """Shingles of each text as sorted 64-bit numbers, the c-th copy of one as a number of its own."""
     for b in batches:
         for lo, hi, body, offs in tk.slices(tk.lower(b.column("text"))):
-            own, h, count, *_ = shingles(body, offs)
+            own, h, count, _ = shingles(body, offs)
             at = np.repeat(np.arange(len(h)), count)
             nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
             every = np.where(nth > 0, tk.mix(h[at] + nth.astype(tk.U64)), h[at]).view(np.int64)
@@ -144,7 +156,7 @@ def linked(node, comp, size, side, bits, bag, offs, same: bool, similar: float):
     held, size = np.zeros(len(some), bool), size.astype(float)
     left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     m = bits.shape[1]
-    least = m * (similar - 4.5 * (similar * (1 - similar) / m) ** 0.5)
+    least = m * (similar - DEVIATIONS * (similar * (1 - similar) / m) ** 0.5)
     for i in left:
         j = right[right > i] if same else right
         j = j[(comp[j] != comp[i]) & (np.minimum(size[j], size[i]) >= similar * np.maximum(size[j], size[i]) - 1e-9)]
@@ -199,7 +211,10 @@ def _across(similar: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of the edges (a, b): comp is the component's smallest node. Alternating star contraction."""
+    """(node, comp) of every node of the edges (a, b): comp is the component's smallest node. Alternating star contraction.
+
+    Smallest neighbours are written before they are joined, so that a node of many edges can be split between tasks.
+    """
     e = tk.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
     def total(x):
@@ -208,9 +223,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = total(e)
     while before.c:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = tk.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "smallest")
         large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = tk.written(large, "edges")
+        low = tk.written(large.groupBy("u").agg(F.min("v").alias("m")), "smallest")
         small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = tk.written(small, "edges")
         now = total(e)
@@ -221,15 +237,39 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
+def blocks(where: DataFrame, block: int) -> DataFrame:
+    """Rows (bucket, i, j, node, comp, n, side) of what must meet: members of a bucket that lie in different components.
+
+    A bucket of over `block` members is dealt in two lots: its largest component, whose members need not meet each other,
+    and the rest. Blocks of the rest meet all blocks, so a few strays cost one reading of a large component.
+    """
+    sizes = where.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("size"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("c").alias("c"), F.sum("size").alias("size"), F.max(F.struct("c", "size", "comp")).alias("top"))
+    many = lambda c, size: F.ceil(F.greatest(c / block, size / (block * SHINGLES))).cast("int")
+    split = many(F.col("c"), F.col("size")) > 1
+    large = F.when(split, many(F.col("top.c"), F.col("top.size"))).otherwise(0)
+    rest = F.when(split, many(F.col("c") - F.col("top.c"), F.col("size") - F.col("top.size"))).otherwise(1)
+    plan = tk.written(sizes.select("bucket", F.when(split, F.col("top.comp")).alias("top"), large.alias("large"), rest.alias("rest")), "split")
+    rows = where.join(plan.hint("merge"), "bucket")
+    inside = F.coalesce(F.col("comp") == F.col("top"), F.lit(False))
+    deal = F.xxhash64("node", F.lit("block"))
+    own = F.when(inside, F.pmod(deal, F.greatest("large", F.lit(1)))).otherwise(F.col("large") + F.pmod(deal, F.col("rest"))).cast("int")
+    meets = F.sequence(F.when(inside, F.col("large")).otherwise(0), F.col("large") + F.col("rest") - 1)
+    rows = rows.withColumn("own", own).withColumn("o", F.explode(meets))
+    return rows.select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "node", "comp", "n", (F.col("own") > F.col("o")).cast("int").alias("side"))
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
     """doc_id, tx (a hash of the text), key, which tells classes apart, and class_id, the class's smallest doc_id, of every row."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tx", F.xxhash64("text"))
-    marks = tk.written(base.mapInArrow(_marks(rows, bands), "doc_id long, tx long, w1 long, w2 long, n long, bands array<long>, sketch binary"), "marks")
-    nodes = marks.where("n > 0").groupBy(F.col("w1").alias("node")).agg(F.min(F.struct("doc_id", "tx", "n", "bands", "sketch")).alias("one"))
-    nodes = tk.written(nodes.select("node", "one.*"), "nodes")
+    marks = tk.written(base.mapInArrow(_marks(rows, bands), "doc_id long, tx long, w binary, n long, bands array<long>, sketch binary"), "marks")
+    nodes = marks.where("n > 0").groupBy("w").agg(F.min(F.struct("doc_id", "tx", "n", "bands", "sketch")).alias("one"), F.min("doc_id").alias("low"))
+    nodes = tk.written(nodes.select(F.monotonically_increasing_id().alias("node"), "w", "low", "one.*"), "nodes")
     member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    bucket = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "leader")
+    first = F.min(F.struct("node", "n"))
+    bucket = member.groupBy("bucket").agg(first.alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", F.col("first.node").alias("leader"), F.col("first.n").alias("size"))
+    bucket = tk.written(bucket, "leaders")
     met = tk.written(member.join(bucket.hint("merge"), "bucket"), "buckets")
 
     def bags(of):
@@ -237,38 +277,45 @@ def classes(docs: DataFrame, similar: float = SIMILAR, rows: int = ROWS, bands:
         texts = base.join(found.hint("merge"), base.doc_id.eqNullSafe(found.d) & (base.tx == found.t)).select("node", "text")
         return tk.written(texts.mapInArrow(_bags, "node long, bag array<long>").dropDuplicates(["node"]), "bags")
 
-    stars = tk.written(met.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    near = F.least("n", "size") >= similar * F.greatest("n", "size") - 1e-9  # no others can be alike enough
+    stars = tk.written(met.where((F.col("node") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     ends = bags(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))))
     a, b = (ends.withColumnsRenamed({"node": k, "bag": f"bag_{k}"}) for k in "ab")
-    links = tk.written(stars.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_verify(similar), "a long, b long"), "links")
+    links = tk.written(stars.join(b.hint("merge"), "b").join(a.hint("merge"), "a").mapInArrow(_verify(similar), "a long, b long"), "links")
     comp = tk.written(components(links), "components")
     where = met.select("bucket", "node", "n").join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     where = tk.written(where, "members")
     alike = [F.count(F.lit(1)).alias("c"), F.sum("n").alias("size"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
     split = where.groupBy("bucket").agg(*alike, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    parts = F.ceil(F.greatest(F.col("c") / block, F.col("size") / (block * SHINGLES))).cast("int")
-    split = split.groupBy("c", "size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", parts.alias("k"))
+    split = tk.written(split.groupBy("c", "size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket"), "split")
     rest = tk.written(where.join(split.hint("merge"), "bucket"), "split")
-    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("k")).cast("int")
-    rest = rest.join(nodes.select("node", "sketch").hint("merge"), "node").join(bags(rest.select("node")).hint("merge"), "node")
-    rest = rest.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rest = rest.select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "node", "comp", "n", (F.col("own") > F.col("o")).cast("int").alias("side"), "sketch", "bag")
-    dealt = rest.repartition(tk.partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = tk.written(dealt.mapInArrow(_across(similar), "a long, b long").distinct(), "links")
+    meets = blocks(rest, block)
+    meets = meets.join(nodes.select("node", "sketch").hint("merge"), "node").join(bags(rest.select("node")).hint("merge"), "node")
+    dealt = meets.repartition(tk.partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = tk.written(dealt.select("bucket", "i", "j", "node", "comp", "n", "side", "sketch", "bag").mapInArrow(_across(similar), "a long, b long").distinct(), "links")
     if not more.isEmpty():
         comp = tk.written(components(links.unionByName(more)), "components")
-    full = marks.select("doc_id", "tx", F.col("w1").alias("node"), "n").join(comp.hint("merge"), "node", "left")
-    key = F.when(F.col("n") == 0, F.struct(F.lit(1).alias("e"), F.coalesce("doc_id", F.lit(-1)).alias("k"))).otherwise(F.struct(F.lit(0).alias("e"), F.coalesce("comp", "node").alias("k")))
-    full = full.select("doc_id", "tx", "n", key.alias("key"))
-    ids = full.groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    return full.join(ids.hint("merge"), "key").select("doc_id", "tx", "key", "class_id")
+    named = nodes.select("node", "w", "low").join(comp.hint("merge"), "node", "left").select("w", "low", F.coalesce("comp", "node").alias("comp"))
+    ids = tk.written(named.groupBy("comp").agg(F.min("low").alias("class_id")), "class-ids")
+    named = tk.written(named.join(ids.hint("merge"), "comp").select("w", "comp", "class_id"), "classes")
+    key = lambda e, k: F.struct(F.lit(e).alias("e"), k.alias("k")).alias("key")
+    some = marks.where("n > 0").select("doc_id", "tx", "w").join(named.hint("merge"), "w").select("doc_id", "tx", key(0, F.col("comp")), "class_id")
+    none = marks.where("n = 0").select("doc_id", "tx", key(1, F.coalesce("doc_id", F.lit(-1))), F.col("doc_id").alias("class_id"))
+    return some.unionByName(none)
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: of the smallest id, and of its rows the one with the smallest text hash."""
+    """docs with one row of each class, whole and under the columns they came with.
+
+    It is the row of the smallest id (a null id only where the class has no other), of the smallest text hash among its
+    rows, and of the smallest hash of the other columns among rows alike in both. A row without words is a class of its
+    own, but rows of one id without words are one; an empty table stays empty; columns may have any names.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = classes(docs).groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("one"))
-    keep = found.select(F.col("one.doc_id").alias("_id"), F.col("one.tx").alias("_tx"))
-    rows = docs.withColumn("_t", F.xxhash64(text))
-    kept = rows.join(keep.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tx")))
-    return kept.drop("_id", "_tx", "_t").dropDuplicates(["doc_id", "text"])
+    keep = found.select("one.doc_id", "one.tx")
+    rest = [c for c in docs.columns if c != "text"]
+    order = F.xxhash64(F.to_json(F.struct(*[tk.named(c).alias(f"c{k}") for k, c in enumerate(rest)])))
+    rows = docs.select(tk.boxed(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), order.alias("order"))
+    kept = rows.join(keep.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("tx")))
+    return kept.groupBy("id", "hash").agg(F.min_by("row", "order").alias("row")).select(*tk.unboxed(docs))
