@@ -7,10 +7,12 @@ segment. Groups met once in the corpus are dropped by their hash alone, equal se
 only one copy of each remaining segment is read back as bytes. Each task then builds the suffix array of its segments
 with common-prefix lengths, scans it with a stack and reports the maximal repeats: intervals whose members differ in the
 byte before. A group with more different segments than HOT is too large for one task; it is parted by minimisers of ever
-longer grams and its strings are counted by hash instead, which gives the same bytes.
+longer grams, until each part is small enough to be scanned in the same way. Grams of `length` bytes are the end of that:
+a part is then one string.
 
 Defined cases: a null or empty text has no strings; texts under `length` bytes keep all bytes; rows that repeat an id and
-a text count as copies of each other; other columns pass through untouched.
+a text count as copies of each other; an empty table gives an empty result; other columns pass through untouched, whatever
+their names.
 """
 
 import hashlib
@@ -172,37 +174,48 @@ def covered(body: np.ndarray, offs: np.ndarray, length: int):
     return string, at - offs[string], at - offs[string] + reach[at]
 
 
-SPANS = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("spans", pa.list_(pa.int32()))])
+def _scan(length: int, key: str, carried: list[str]):
+    """Bytes of segments, in order of their group's key, to the covered stretches of each, beside the columns carried.
 
+    A group is never parted between two arrays.
+    """
 
-def _scan(length: int):
-    """Bytes of segments, in order of h, to the covered stretches of each; a group is never parted between two arrays."""
-
-    def done(hs, gs, texts):
+    def done(rows, texts):
         body = np.frombuffer(b"".join(texts), np.uint8)
         offs = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         string, lo, hi = covered(body, offs, length)
         counts = np.bincount(string, minlength=len(texts)) * 2
         keep = np.flatnonzero(counts)
-        flat = np.stack((lo, hi), 1).ravel().astype(np.int32)
         if len(keep):
-            yield pa.record_batch([pa.array(np.array(hs)[keep]), pa.array(np.array(gs)[keep]), tk.lists(counts[keep], pa.array(flat))], schema=SPANS)
+            flat = np.stack((lo, hi), 1).ravel().astype(np.int32)
+            own = pa.Table.from_batches(rows).combine_chunks().take(pa.array(keep)).to_batches()[0]
+            yield pa.record_batch([*own.columns, tk.lists(counts[keep], pa.array(flat))], names=[*carried, "spans"])
 
     def run(batches):
-        hs, gs, texts, size = [], [], [], 0
+        rows, texts, size, last = [], [], 0, None
         for b in batches:
-            for h, g, t in zip(b.column("h").to_pylist(), b.column("g").to_pylist(), b.column("bytes").to_pylist()):
-                if size > BATCH_BYTES and h != hs[-1]:
-                    yield from done(hs, gs, texts)
-                    hs, gs, texts, size = [], [], [], 0
-                hs.append(h), gs.append(g), texts.append(t)
-                size += len(t)
-        if hs:
-            yield from done(hs, gs, texts)
+            keys, some, at = b.column(key).to_pylist(), b.column("bytes").to_pylist(), 0
+            part = b.select(carried)
+            for k, t in enumerate(some):
+                if size > BATCH_BYTES and keys[k] != last:
+                    yield from done([*rows, *([part.slice(at, k - at)] if k > at else [])], texts)
+                    rows, texts, size, at = [], [], 0, k
+                texts.append(t)
+                size, last = size + len(t), keys[k]
+            if at < len(some):
+                rows.append(part.slice(at))
+        if texts:
+            yield from done(rows, texts)
 
     return run
 
 
+def scanned(groups: DataFrame, length: int, key: str, carried: dict[str, str]) -> DataFrame:
+    """groups (key, bytes and the columns carried, by name and type), each whole group in one task, to spans."""
+    dealt = groups.repartition(tk.partitions(groups.sparkSession), key).sortWithinPartitions(key).select(*dict.fromkeys([key, *carried]), "bytes")
+    return dealt.mapInArrow(_scan(length, key, [*carried]), ", ".join(f"{c} {t}" for c, t in carried.items()) + ", spans array<int>")
+
+
 def _cut(length: int):
     schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("hot", pa.bool_()), ("bytes", pa.binary())])
 
@@ -244,28 +257,30 @@ def _pieces(length: int, gram: int):
     return run
 
 
-def counted(hot: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, g, spans) of segments (h, g, bytes) of groups too large for one array, counted by hash.
+def parted(hot: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+    """(h, g, spans) of segments (h, g, bytes) of groups too large for one array.
 
     A group is parted again and again by minimisers of half as many places. Equal pieces are covered, pieces alone in
-    their group are not, and one of each kind goes on; what is left has a few strings a piece, which are counted each.
+    their group are not, and one of each kind goes on: into an array where its group has `most` kinds or fewer, else into
+    the next round. Grams of `length` bytes leave one kind a group, so the rounds end.
     """
     left, places, found = hot.select("h", "g", F.lit(0).alias("at"), "bytes"), length - gram + 1, []
     while places > 1 and not left.isEmpty():
         places = (places + 1) // 2 if places > FEW else 1
         pieces = tk.written(left.mapInArrow(_pieces(length, length - places + 1), PIECES), "repeat-pieces")
-        kinds = pieces.groupBy("m", "w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("h", "g", "at")).alias("one"))
-        groups = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"))
-        kinds = tk.written(kinds.join(groups.hint("merge"), "m").where("c > 1 or kinds > 1"), "repeat-pieces")
+        kinds = tk.written(pieces.groupBy("m", "w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("h", "g", "at")).alias("one")), "repeat-kinds")
+        groups = tk.written(kinds.groupBy("m").agg(F.count(F.lit(1)).alias("kinds")), "repeat-groups")
+        kinds = tk.written(kinds.join(groups.hint("merge"), "m").where("c > 1 or kinds > 1"), "repeat-kinds")
         both = tk.written(pieces.join(kinds.hint("merge"), ["m", "w"]), "repeat-pieces")
-        found.append(both.where("c > 1").select("h", "g", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi")))
-        left = both.where("kinds > 1 and one.h = h and one.g = g and one.at = at").select("h", "g", "at", "bytes")
-    if not found:
-        return left.select("h", "g", F.array("at").alias("spans"))
-    every = found[0]
+        found.append(both.where("c > 1").select("h", "g", F.array("at", F.col("at") + F.col("n") - 1 + length).alias("spans")))
+        on = both.where("kinds > 1 and one.h = h and one.g = g and one.at = at")
+        small = scanned(on.where(F.col("kinds") <= most), length, "m", {"h": "long", "g": "long", "at": "int"})
+        found.append(small.select("h", "g", F.transform("spans", lambda x: x + F.col("at")).alias("spans")))
+        left = on.where(F.col("kinds") > most).select("h", "g", "at", "bytes")
+    every = left.select("h", "g", F.array("at").alias("spans")).limit(0) if not found else found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    return every.groupBy("h", "g").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("spans"))
+    return every.groupBy("h", "g").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,28 +294,27 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text as bytes, and tx, which tells rows apart that share an id."""
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tx", F.xxhash64("text"))
 
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int = GRAM) -> DataFrame:
     """(doc_id, tx, spans): the bytes of each document that a repeated string covers, as start and end in turn, unmerged."""
-    spark = docs.sparkSession
     base = keyed(docs)
     segs = base.where(F.length("text") >= length).mapInArrow(_segment_rows(length, gram), "doc_id long, tx long, h long, g long, s long, n int")
-    often = segs.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("c > 1").select("h", (F.col("g0") != F.col("g1")).alias("mixed"))
+    often = segs.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("c > 1")
+    often = tk.written(often.select("h", (F.col("g0") != F.col("g1")).alias("mixed")), "repeat-often")  # tables on both sides let a common h be split
     met = tk.written(segs.join(often.hint("merge"), "h"), "repeat-segments")
     whole = met.where(~F.col("mixed"))
-    kinds = met.where("mixed").groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "tx", "s", "n")).alias("one"))
-    groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = tk.written(kinds.join(groups.hint("merge"), "h").select("h", "g", "c", (F.col("kinds") > hot).alias("hot"), "one.*"), "repeat-kinds")
+    kinds = tk.written(met.where("mixed").groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "tx", "s", "n")).alias("one")), "repeat-kinds")
+    groups = tk.written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).select("h", (F.col("kinds") > hot).alias("hot")), "repeat-groups")
+    kinds = tk.written(kinds.join(groups.hint("merge"), "h").select("h", "g", "c", "hot", "one.*"), "repeat-kinds")
     asked = kinds.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("h", "g", "hot", "s", "n")).alias("asked"))
-    parted = base.join(asked.hint("merge"), (base.doc_id.eqNullSafe(asked.doc_id)) & (base.tx == asked.tx)).select("text", "asked")
-    cut = tk.written(parted.mapInArrow(_cut(length), "h long, g long, hot boolean, bytes binary").dropDuplicates(["h", "g"]), "repeat-bytes")
-    parts = tk.partitions(spark)
-    scanned = cut.where(~F.col("hot")).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_scan(length), "h long, g long, spans array<int>")
-    large = counted(cut.where("hot"), length, gram)
-    own = kinds.select("h", "g", "c").join(scanned.unionByName(large).hint("merge"), ["h", "g"], "left")
+    owners = base.join(asked.hint("merge"), (base.doc_id.eqNullSafe(asked.doc_id)) & (base.tx == asked.tx)).select("text", "asked")
+    cut = tk.written(owners.mapInArrow(_cut(length), "h long, g long, hot boolean, bytes binary").dropDuplicates(["h", "g"]), "repeat-bytes")
+    small = scanned(cut.where(~F.col("hot")), length, "h", {"h": "long", "g": "long"})
+    large = parted(cut.where("hot"), length, gram, hot)
+    own = kinds.select("h", "g", "c").join(small.unionByName(large).hint("merge"), ["h", "g"], "left")
     own = own.where("c > 1 or spans is not null").select("h", "g", F.when(F.col("c") == 1, F.col("spans")).alias("spans"))
     part = met.where("mixed").join(own.hint("merge"), ["h", "g"]).select("doc_id", "tx", "s", "n", "spans")
     all_ = whole.select("doc_id", "tx", "s", "n", F.lit(None).cast("array<int>").alias("spans")).unionByName(part)
@@ -339,23 +353,27 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int = GRA
     return full.mapInArrow(_removed, "doc_id long, tx long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>, kept binary")
 
 
+def _kept_text(text, spans):
+    def one(t, s):
+        if t is None or s is None or not len(s):
+            return t
+        data, pairs = t.encode(), np.asarray(s).reshape(-1, 2)
+        lo, hi = merged(pairs[:, 0], pairs[:, 1])
+        ends = [0, *hi.tolist()]
+        return b"".join(data[a:c] for a, c in zip(ends, [*lo.tolist(), len(data)])).decode("utf-8", "ignore")
+
+    return text.combine(spans, one)
+
+
 def stage(docs: DataFrame) -> DataFrame:
-    """docs with every repeated string of LENGTH bytes taken out of text; a character that a cut halves goes with it."""
-    base = docs.withColumn("_tx", F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    spans = repeat_spans(docs).withColumnsRenamed({"doc_id": "_id", "tx": "_t"})
-    full = base.join(spans.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_tx") == F.col("_t")), "left").drop("_id", "_t", "_tx")
-
-    @F.pandas_udf("string")
-    def keep(text, spans):
-        def one(t, s):
-            if t is None or s is None or not len(s):
-                return t
-            data, pairs = t.encode(), np.asarray(s).reshape(-1, 2)
-            lo, hi = merged(pairs[:, 0], pairs[:, 1])
-            ends = [0, *hi.tolist()]
-            return b"".join(data[a:c] for a, c in zip(ends, [*lo.tolist(), len(data)])).decode("utf-8", "ignore")
-
-        return text.combine(spans, one)
-
-    kept = full.withColumn("text", keep("text", "spans")).drop("spans")
-    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+    """docs with every repeated string of LENGTH bytes taken out of text; a character that a cut halves goes with it.
+
+    All rows stay, also those left without text; null stays null; n_chars, where there is such a column, follows the text;
+    rows of one id and text lose the same bytes; other columns pass through, whatever their names.
+    """
+    rows = docs.select(tk.boxed(docs), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("body"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("hash"))
+    spans = repeat_spans(docs)
+    full = rows.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("tx")), "left")
+    full = full.select("row", F.pandas_udf(_kept_text, "string")("body", "spans").alias("left"))
+    new = {"text": F.col("left")} | ({"n_chars": F.length("left").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return full.select(*tk.unboxed(docs, **new))

@@ -66,13 +66,16 @@ def test_maximal_repeats_against_brute_force():
     assert got == maximal
 
 
-@pytest.mark.parametrize("hot", [1, 1024])
-def test_dedup(spark, hot):
+@pytest.mark.parametrize("hot", [1, 3, 1024])
+def test_dedup(spark, hot, monkeypatch):
+    rounds, scanned = [], sd.scanned
+    monkeypatch.setattr(sd, "scanned", lambda groups, *a: rounds.append(groups.isEmpty()) or scanned(groups, *a))
     texts = some_texts(7, b"abcdefgh ")
     rows = [(i, t.decode()) for i, t in enumerate(texts)] + [(900, None), (901, "é" * 300), (902, "x" + "é" * 300), (5, texts[5].decode())]
     got = sd.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     want = brute([(t or "").encode() for _, t in rows], 200)
     assert sorted(map(tuple, got)) == sorted((i, *w) for (i, _), w in zip(rows, want))
+    assert hot > 3 or len(rounds) > 1 and (hot == 1 or not all(rounds[1:]))  # large groups, too, end in the tree
 
 
 def test_empty_and_clashing_columns(spark):
