@@ -315,7 +315,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: in
     small = scanned(cut.where(~F.col("hot")), length, "h", {"h": "long", "g": "long"})
     large = parted(cut.where("hot"), length, gram, hot)
     own = kinds.select("h", "g", "c").join(small.unionByName(large).hint("merge"), ["h", "g"], "left")
-    own = own.where("c > 1 or spans is not null").select("h", "g", F.when(F.col("c") == 1, F.col("spans")).alias("spans"))
+    own = tk.written(own.where("c > 1 or spans is not null").select("h", "g", F.when(F.col("c") == 1, F.col("spans")).alias("spans")), "repeat-spans")
     part = met.where("mixed").join(own.hint("merge"), ["h", "g"]).select("doc_id", "tx", "s", "n", "spans")
     all_ = whole.select("doc_id", "tx", "s", "n", F.lit(None).cast("array<int>").alias("spans")).unionByName(part)
     stretch = F.coalesce(F.col("spans"), F.array(F.lit(0), F.col("n") - 1 + length))
