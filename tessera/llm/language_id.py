@@ -5,10 +5,13 @@ softmax. Training is plain numpy on the driver, on a bounded sample of windows o
 all its windows: the mean of their log-probabilities, weighted by their bytes. For scoring, embedding and filters are
 folded into tables over pairs of bytes, so a response is two look-ups and a sum.
 
-Bounded by parameters: SAMPLE documents in all, spread evenly over at most LANGUAGES labels by a hash of the id, PER_DOC
-windows of each, and READ characters from whose start on windows are drawn. Only training is bounded; texts are scored whole.
+Bounded by parameters: SAMPLE documents in all, shared out evenly over all labels by a hash of the id, one of each label
+at least, and PER_DOC windows of each. Only training is bounded; every label that has a text is learned, and texts are
+scored whole, in slices of bounded memory.
 
-Defined cases: null texts and texts without a letter are `und` with score 1; without any labelled text all are `und`.
+Defined cases: null texts and texts without a letter are `und` with score 1; without any labelled text all are `und`;
+repeated rows are predicted alike, and equally likely languages go to the first in alphabetical order; an empty table has
+no predictions; columns other than doc_id, text and lang are not read, whatever their names.
 """
 
 import numpy as np
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as tk
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 6, 8, (2, 3, 4)
-SAMPLE, LANGUAGES, PER_DOC = 3000, 200, 4
+SAMPLE, PER_DOC = 3000, 4
 UNKNOWN = "und"
 
 
@@ -129,17 +132,19 @@ def _draw(batches):
 
 def learn(docs: DataFrame, fold, sample: int = SAMPLE, text: str = "text", label: str = "lang") -> ByteConvNet | None:
     """A network trained on rows of docs that fold, a condition, admits and that have a label."""
-    rows = docs.where(fold & F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col("doc_id"), F.lit("lang")).alias("hash"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(LANGUAGES).collect()
+    told = docs.where(fold & F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.length(text) > 0))
+    rows = told.select(F.col(label).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col("doc_id"), F.lit("lang")).alias("hash"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c"), F.min("hash").alias("first")).collect()  # labels, which the network holds as well
     if not counts:
         return None
     quota = max(1, sample // len(counts))
-    share = {r.lang: min(1.0, quota / r.c) for r in counts}
-    shares = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
-    admit = (F.pmod("hash", F.lit(1 << 20)) / (1 << 20)) < shares[F.col("lang")]
-    drawn = rows.where(F.col("lang").isin(list(share)) & admit).orderBy("hash").limit(2 * sample).mapInArrow(_draw, "lang string, window binary").collect()
+    shares = [(r.lang, r.first, (1 << 63) - 1 if quota >= r.c else (quota << 64) // r.c - (1 << 63)) for r in counts]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, first long, share long"))
+    drawn = rows.join(shares, "lang").where((F.col("hash") == F.col("first")) | (F.col("hash") <= F.col("share")))
+    drawn = drawn.groupBy("lang", "hash").agg(F.min("text").alias("text"))  # a repeated id is drawn once
+    drawn = drawn.select("lang", "text").mapInArrow(_draw, "lang string, window binary").collect()  # about PER_DOC * sample windows
     if not drawn:
-        drawn = rows.orderBy("hash").limit(sample).mapInArrow(_draw, "lang string, window binary").collect()
+        return None
     drawn.sort(key=lambda r: (r.lang, r.window))
     labels = sorted({r.lang for r in drawn})
     net = ByteConvNet(labels)

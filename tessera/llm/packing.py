@@ -6,11 +6,15 @@ fits how often to repeat each by non-negative least squares against the histogra
 counts best fit first, longest length first. The result says for the r-th piece of each length where it goes, so the
 pieces find their places by their rank within their length, counted in two steps: within a task, then over the tasks.
 
-Defined cases: null text is empty; an empty document is its end token alone; ids and texts may repeat.
+Defined cases: null text is empty; an empty document is its end token alone; ids, null ids among them, and texts may
+repeat; texts may be of any length; an empty table gives no pieces; columns other than doc_id and text are not read,
+whatever their names.
 """
 
+import hashlib
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +52,10 @@ class Encoder:
     no room, and is emptied when half of it is marked.
     """
 
-    def __init__(self, path: str, most: int = PARTS):
+    def __init__(self, tokenizer: bytes, most: int = PARTS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most = Tokenizer.from_buffer(tokenizer), most
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a part
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
@@ -142,21 +146,22 @@ def parts(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(tokenizer: bytes) -> Encoder:
     """One for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = hashlib.sha256(tokenizer).hexdigest()
+    if key not in _encoders:
+        _encoders[key] = Encoder(tokenizer)
+    return _encoders[key]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
 
-def _pieces(path: str, length: int, with_ids: bool):
+def _pieces(tokenizer, length: int, with_ids: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, met = encoder(path), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
+        enc, part, met = encoder(tokenizer.value), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for b in batches:
             for lo, hi, body, offs in tk.slices(b.column("text"), SLICE, SLICE):
                 ids, begins = enc.encode(body, offs)
@@ -299,11 +304,15 @@ def _placed(table):
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids themselves if asked for."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids themselves if asked for.
+
+    tokenizer: a file that the driver reads and sends to the workers.
+    """
     spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())  # as large as the vocabulary
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + (", ids array<long>" if with_ids else "")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = tk.written(source.mapInArrow(_pieces(tokenizer, length, with_ids), schema), "pieces")
+    pieces = tk.written(source.mapInArrow(_pieces(model, length, with_ids), schema), "pieces")
     each = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("c"))
     before = F.sum("c").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     each = each.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))

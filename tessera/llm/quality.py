@@ -6,13 +6,16 @@ documents have labels; attention, encoder and score are learned together, in num
 labelled documents (SAMPLE documents, BAG passages of each, spread evenly over it). Every passage is scored in prediction.
 
 Defined cases: a null or empty text is a bag of one empty passage; without labels the score is 0.5; a document with
-several labels counts as often as it has them; null labels are left out.
+several labels counts as often as it has them; null labels are left out, as are labels of null ids; repeated rows score
+alike; a text of any length is scored by all its passages, in slices of bounded memory; an empty table has no scores;
+columns other than doc_id and text pass through, whatever their names.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import textkit as tk
 
@@ -135,23 +138,29 @@ def _score(model, names: list[str]):
         for b in batches:
             out = np.full(b.num_rows, 0.5)
             if net:
-                for lo, hi, body, offs in tk.slices(b.column("_bytes"), 1 << 20):
+                for lo, hi, body, offs in tk.slices(b.column("text")):
                     x, row = passages(body, offs)
                     out[lo:hi] = net.score(x, row)
-            yield pa.record_batch([*(b.column(c) for c in names), pa.array(out)], names=[*names, "_score"])
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(out)], names=[*names, "score"])
 
     return run
 
 
-def scored(docs: DataFrame, model: AttentionBag | None, columns: list[str]) -> DataFrame:
-    """The columns asked for, and _score: the likelihood that the label is 1."""
+def scored(docs: DataFrame, model: AttentionBag | None, with_text: bool = False) -> DataFrame:
+    """row, a struct of the other columns, text, if asked for, and score: the likelihood that the label is 1."""
     net = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on the parameters alone
-    rows = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_bytes"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_score(net, columns), f"{schema}, _score double")
+    rows = docs.select(tk.boxed(docs.drop("text")), F.col("text").cast("string").alias("text"))
+    names = ["row", "text"] if with_text else ["row"]
+    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_score(net, names), schema)
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score under one half."""
+    """docs without those that score under one half; the others as they came, under whatever names their columns have.
+
+    The model learns from all labels of the documents at hand. Without labels all documents score one half and stay; null
+    and empty texts are scored as one empty passage; repeated rows score alike and stay or go together.
+    """
     model = learn(docs, labels, F.lit(True))
-    return scored(docs, model, docs.columns).where("_score >= 0.5").drop("_score")
+    kept = scored(docs, model, with_text=True).where("score >= 0.5")
+    return kept.select(*tk.unboxed(docs, text=F.col("text")))

@@ -3,13 +3,17 @@
 The vocabulary forms a trie over bytes; pieces that begin with a space start a word, others go on in it. Every node has
 a failure link: when no further byte fits, the longest piece and those that must follow are popped, in a number known
 beforehand, and the link leads to the node that holds what is left. So each byte is read once, and greedy longest-match
-lengths come without building a piece. All words of a batch run through the automaton side by side, byte by byte.
+lengths come without building a piece. All words of a batch run through the automaton side by side, byte by byte; what is
+left of the few words longer than LONG bytes runs through it alone.
 
 A word is a run of bytes without ASCII white space, with one space before it. Defined cases: null and empty texts have
-no tokens; bytes that no piece starts with count as one token each.
+no tokens; bytes that no piece starts with count as one token each; words and texts may be of any length; repeated rows are
+counted alike; an empty table has no counts; columns other than doc_id and text are not read, whatever their names.
 """
 
 import base64
+import hashlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
 
+LONG = 2048
+
 
 class Automaton:
     """Trie as a table of edges, with failure links and popped counts.
@@ -91,6 +97,20 @@ class Automaton:
         for k, s in enumerate(inner, 1):
             self.to[k, list(kids[s])] = list(kids[s].values())
 
+    def alone(self, data: bytes, total: int, state: int) -> tuple[int, int]:
+        """Tokens popped and the state after more bytes of one word."""
+        rows: dict[int, tuple[list[int], int, int]] = {}
+        for c in data:
+            while True:
+                if state not in rows:
+                    rows[state] = self.to[self.row[state]].tolist(), int(self.pops[state]), int(self.fail[state])
+                to, pops, fail = rows[state]
+                if to[c] >= 0:
+                    state = to[c]
+                    break
+                total, state = total + pops, fail
+        return total, state
+
     def count(self, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of each word body[start:end], a space before it."""
         words = len(start)
@@ -104,6 +124,10 @@ class Automaton:
             live = int(np.searchsorted(-size, -k, "left"))
             if not live:
                 break
+            if k >= LONG:
+                for w in range(live):
+                    total[w], state[w] = self.alone(body[start[w] + k : start[w] + size[w]].tobytes(), int(total[w]), int(state[w]))
+                break
             c = body[start[:live] + k].astype(np.int32)
             s = state[:live]
             s_next = self.to[self.row[s], c]
@@ -125,16 +149,17 @@ class Automaton:
 _automata: dict[str, Automaton] = {}
 
 
-def automaton(path: str) -> Automaton:
-    """Of a file of base64 pieces and ranks; one for each Python worker."""
-    if path not in _automata:
-        _automata[path] = Automaton([base64.b64decode(line.split()[0]) for line in open(path, "rb") if line.strip()])
-    return _automata[path]
+def automaton(vocabulary: bytes) -> Automaton:
+    """Of lines of base64 pieces and ranks; one for each Python worker."""
+    key = hashlib.sha256(vocabulary).hexdigest()
+    if key not in _automata:
+        _automata[key] = Automaton([base64.b64decode(line.split()[0]) for line in vocabulary.splitlines() if line.strip()])
+    return _automata[key]
 
 
-def _count(path: str):
+def _count(vocabulary):
     def run(batches):
-        auto = automaton(path)
+        auto = automaton(vocabulary.value)
         for b in batches:
             tokens, many = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for lo, hi, body, offs in tk.slices(b.column("text")):
@@ -148,6 +173,7 @@ def _count(path: str):
 
 
 def counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_words, n_tokens of every row of docs."""
+    """doc_id, n_words, n_tokens of every row of docs. vocabulary: a file that the driver reads and sends to the workers."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(_count(vocabulary), "doc_id long, n_words long, n_tokens long")
+    pieces = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # as large as the vocabulary
+    return rows.mapInArrow(_count(pieces), "doc_id long, n_words long, n_tokens long")

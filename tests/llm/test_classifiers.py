@@ -70,9 +70,9 @@ def test_quality(spark):
     docs = spark.createDataFrame([*rows, (900, None), (901, ""), (None, "the river")], "doc_id long, text string").withColumn("y", q.F.lit("clash"))
     labels = spark.createDataFrame([(i, int(i % 3 > 0), None) for i in range(400)] + [(3, None, 1), (None, 1, 1)], "doc_id long, quality int, y int")
     model = q.learn(docs, labels, q.F.col("doc_id") % 2 == 0)
-    got = {x.doc_id: x._score for x in q.scored(docs, model, ["doc_id"]).collect()}
+    got = {x.row.doc_id: x.score for x in q.scored(docs, model).collect()}
     assert len(got) == 403 and all(0 <= s <= 1 for s in got.values())
     assert np.mean([(got[i] >= 0.5) == (i % 3 > 0) for i in range(1, 400, 2)]) > 0.97
     kept = q.stage(docs, labels)
     assert kept.columns == docs.columns
-    assert q.learn(docs, labels.limit(0), q.F.lit(True)) is None and q.scored(docs.limit(0), model, ["doc_id"]).count() == 0
+    assert q.learn(docs, labels.limit(0), q.F.lit(True)) is None and q.scored(docs.limit(0), model).count() == 0

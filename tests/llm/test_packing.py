@@ -10,12 +10,13 @@ from tessera.llm import packing as pk
 
 public = pytest.importorskip("public_tokenizers")
 PATH = public.path("word_bpe_49k.json")
+DATA = open(PATH, "rb").read()
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.text("aAéÉß'sS.!_9 \ńİΣσ<|end\x1c\x85  ªµ", max_size=40))
 def test_encoder_equals_tokenizer(text):
-    enc = pk.encoder(PATH)
+    enc = pk.encoder(DATA)
     body = text.encode("utf-8", "ignore")
     text, offs = body.decode(), np.array([0, 0, len(body), len(body) * 2])
     ids, begins = enc.encode(np.frombuffer(body * 2, np.uint8), offs)
@@ -43,7 +44,7 @@ def test_pack(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rank", pk.F.lit("x")).repartition(3)
     got = pk.pack(docs, PATH).toPandas()
-    enc = pk.encoder(PATH)
+    enc = pk.encoder(DATA)
     ids = {i: np.frombuffer(enc.direct(t or ""), "<u4").tolist() + [0] for i, t in rows}
     for r in got.itertuples():
         want = ids[None if r.doc_id != r.doc_id else int(r.doc_id)][r.start : r.start + 2048]

@@ -36,6 +36,9 @@ def test_small_vocabulary():
         body, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
         got = auto.count(body, ends - [len(w) for w in words], ends)
         assert got.tolist() == [greedy(w, vocab) for w in words]
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(tc, "LONG", 3)
+            assert auto.count(body, ends - [len(w) for w in words], ends).tolist() == got.tolist()
 
 
 def test_counts(spark, pieces):

@@ -11,6 +11,9 @@ def test_judged(spark):
     log = spark.createDataFrame(entries, "list string, key string, action string, day int")
     got = sorted((r.page_id, r.lists) for r in uf.judged(df, log).collect())
     assert got == [(1, []), (2, ["a", "b"]), (3, []), (4, ["a"]), (5, []), (6, []), (7, []), (8, []), (9, []), (9, [])]
+    clash = df.withColumns({c: uf.F.lit(c) for c in ("host", "salt", "row", "lists", "found", "list", "since")})
+    out = uf.judged(clash, log).collect()
+    assert all(r[c] == c for r in out for c in ("host", "salt", "row", "lists", "found", "list", "since")) and sorted((r.page_id, r.lists_) for r in out) == got
     assert uf.judged(df.limit(0), log).count() == 0 and uf.judged(df, log.limit(0)).where("size(lists) > 0").count() == 0
 
 
