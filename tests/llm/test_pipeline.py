@@ -24,14 +24,14 @@ def test_stages_against_brute_force(spark):
     rows = lambda df: {r.doc_id: r for r in df.collect()}
     stages, columns = dict(cp.STAGES), docs.columns
 
-    before, now = rows(docs), cp.tk.written(stages["quality"](spark, docs, DIR), "t")
+    before, now = rows(docs), cp.storage.written(stages["quality"](spark, docs, DIR), "t")
     kept = rows(now)
     assert now.columns == columns and 0 < len(kept) < len(before) and all(before[k] == v for k, v in kept.items())
     known = {r.doc_id: r.quality for r in labels.collect()}
     right = [(k in kept) == (q == 1) for k, q in known.items() if k in before]
     assert sum(right) >= 0.8 * len(right)
 
-    before, now = kept, cp.tk.written(stages["near_dup"](spark, now, DIR), "t")
+    before, now = kept, cp.storage.written(stages["near_dup"](spark, now, DIR), "t")
     kept, bags = rows(now), {k: bag(r.text) for k, r in before.items()}
     assert now.columns == columns and all(before[k] == v for k, v in kept.items())
     group = {k: k for k in before}
@@ -48,13 +48,13 @@ def test_stages_against_brute_force(spark):
                 group[y] = x
     assert set(kept) == {top(k) for k in before}
 
-    before, now = kept, cp.tk.written(stages["suffix_dedup"](spark, now, DIR), "t")
+    before, now = kept, cp.storage.written(stages["suffix_dedup"](spark, now, DIR), "t")
     kept, ids = rows(now), sorted(before)
     assert now.columns == columns and set(kept) == set(ids)
     for k, want in zip(ids, removed([(before[k].text or "").encode() for k in ids], 200)):
         assert (kept[k].text or "") == want.decode("utf-8", "ignore")
 
-    before, now = kept, cp.tk.written(stages["decontaminate"](spark, now, DIR), "t")
+    before, now = kept, cp.storage.written(stages["decontaminate"](spark, now, DIR), "t")
     kept = rows(now)
     assert now.columns == columns and all(before[k] == v for k, v in kept.items())
     grams = {tuple(w[i : i + 13]) for r in marks.collect() for w in [(r.text or "").lower().split()] for i in range(len(w) - 12)}
