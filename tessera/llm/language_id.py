@@ -58,35 +58,38 @@ class ByteConvNet:
         at = resp.argmax(1)
         return np.take_along_axis(resp, at[:, None], 1)[:, 0] + self.bias, at
 
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted cross-entropy; they run only through the pooled places."""
+        n = np.arange(len(x))
+        pooled, at = self._pooled(x)
+        h = np.maximum(pooled, 0)
+        logit = h @ self.out + self.out_bias
+        d = np.exp(logit - logit.max(1, keepdims=True))
+        d /= d.sum(1, keepdims=True)
+        d[n, y] -= 1
+        d *= (weight / len(x))[:, None]
+        g = {"out": h.T @ d, "out_bias": d.sum(0)}
+        dh = (d @ self.out.T) * (pooled > 0)
+        g["bias"] = dh.sum(0)
+        g["filters"], g["embed"] = np.zeros_like(self.filters), np.zeros_like(self.embed)
+        for k in range(len(self.filters)):
+            seen = x[n[:, None], at + k]
+            g["filters"][k] = np.einsum("bfe,bf->ef", self.embed[seen], dh)
+            np.add.at(g["embed"], seen.ravel(), (dh[:, :, None] * self.filters[k].T).reshape(-1, EMBED))
+        g["filters"] *= self.mask
+        return g
+
     def train(self, x: np.ndarray, y: np.ndarray, steps: int = 1200, batch: int = 64, rate: float = 0.01, seed: int = 11) -> None:
-        """Adam on the cross-entropy, classes weighted alike; gradients run only through the pooled places."""
+        """Adam on the cross-entropy, classes weighted alike."""
         r = np.random.default_rng(seed)
         weight = 1 / np.maximum(np.bincount(y, minlength=len(self.labels)), 1)
         weight = weight / weight[y].mean()
         names = ("embed", "filters", "bias", "out", "out_bias")
         m = {k: np.zeros_like(getattr(self, k)) for k in names}
         v = {k: np.zeros_like(getattr(self, k)) for k in names}
-        cols = np.arange(self.filters.shape[2])
         for step in range(1, steps + 1):
             pick = r.integers(0, len(x), batch)
-            xb, yb = x[pick], y[pick]
-            pooled, at = self._pooled(xb)
-            h = np.maximum(pooled, 0)
-            logit = h @ self.out + self.out_bias
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            d = p
-            d[np.arange(batch), yb] -= 1
-            d *= (weight[yb] / batch)[:, None]
-            g = {"out": h.T @ d, "out_bias": d.sum(0)}
-            dh = (d @ self.out.T) * (pooled > 0)
-            g["bias"] = dh.sum(0)
-            g["filters"], g["embed"] = np.zeros_like(self.filters), np.zeros_like(self.embed)
-            for k in range(len(self.filters)):
-                seen = xb[np.arange(batch)[:, None], at + k]
-                g["filters"][k] = np.einsum("bfe,bf->ef", self.embed[seen], dh)
-                np.add.at(g["embed"], seen.ravel(), (dh[:, :, None] * self.filters[k].T[cols]).reshape(-1, EMBED))
-            g["filters"] *= self.mask
+            g = self.gradients(x[pick], y[pick], weight[y[pick]])
             for k in names:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2

@@ -64,6 +64,19 @@ class AttentionBag:
         z = np.add.reduceat(h * att[:, None], first, 0)
         return h, t, g, att, z, 1 / (1 + np.exp(-(z @ self.s + self.c)))
 
+    def gradients(self, x: np.ndarray, first: np.ndarray, own: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of the bags, through score, attention and encoder."""
+        h, t, g, att, z, p = self.forward(x, first, own)
+        d = (p - y) / len(y)
+        dz = d[:, None] * self.s
+        dh = att[:, None] * dz[own]
+        da = (h * dz[own]).sum(1)
+        de = att * (da - np.add.reduceat(att * da, first)[own])
+        dt, dg = de[:, None] * self.a * g * (1 - t * t), de[:, None] * self.a * t * g * (1 - g)
+        dh += dt @ self.v.T + dg @ self.u.T
+        dx = dh * (1 - h * h)
+        return {"w": x.T @ dx, "b": dx.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ de, "s": z.T @ d, "c": d.sum(keepdims=True)}
+
     def train(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 3) -> None:
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
@@ -76,17 +89,7 @@ class AttentionBag:
                 some = deal[lo : lo + batch]
                 x = np.concatenate([bags[k] for k in some])
                 size = np.array([len(bags[k]) for k in some])
-                first, own = np.cumsum(size) - size, np.repeat(np.arange(len(some)), size)
-                h, t, g, att, z, p = self.forward(x, first, own)
-                d = (p - y[some]) / len(some)
-                dz = d[:, None] * self.s
-                dh = att[:, None] * dz[own]
-                da = (h * dz[own]).sum(1)
-                de = att * (da - np.add.reduceat(att * da, first)[own])
-                dt, dg = de[:, None] * self.a * g * (1 - t * t), de[:, None] * self.a * t * g * (1 - g)
-                dh += dt @ self.v.T + dg @ self.u.T
-                dx = dh * (1 - h * h)
-                grad = {"w": x.T @ dx, "b": dx.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ de, "s": z.T @ d, "c": d.sum(keepdims=True)}
+                grad = self.gradients(x, np.cumsum(size) - size, np.repeat(np.arange(len(some)), size), y[some])
                 for k in self.NAMES:
                     gk = grad[k] + 1e-5 * getattr(self, k)
                     m[k] = 0.9 * m[k] + 0.1 * gk

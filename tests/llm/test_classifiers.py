@@ -48,19 +48,55 @@ def test_language(spark):
 def test_attention_gradient():
     model = q.AttentionBag()
     r = np.random.default_rng(4)
-    bags = [r.random((n, q.WIDTH)) * 0.05 for n in (1, 3, 2)]
-    y = np.array([1.0, 0.0, 1.0])
-    x, size = np.concatenate(bags), np.array([1, 3, 2])
+    x, size, y = r.random((6, q.WIDTH)) * 0.05, np.array([1, 3, 2]), np.array([1.0, 0.0, 1.0])
     first, own = np.cumsum(size) - size, np.repeat(np.arange(3), size)
     loss = lambda: float(-np.mean(y * np.log(p := model.forward(x, first, own)[-1]) + (1 - y) * np.log(1 - p)))
-    want = {k: numeric(loss, getattr(model, k)) for k in ("v", "u", "a", "s", "c")}
-    h, t, g, att, z, p = model.forward(x, first, own)
-    d = (p - y) / 3
-    dz = d[:, None] * model.s
-    da = (h * dz[own]).sum(1)
-    de = att * (da - np.add.reduceat(att * da, first)[own])
-    assert np.allclose((t * g).T @ de, want["a"], atol=1e-6) and np.allclose(z.T @ d, want["s"], atol=1e-6) and np.allclose(d.sum(keepdims=True), want["c"], atol=1e-6)
-    assert np.allclose(h.T @ (de[:, None] * model.a * g * (1 - t * t)), want["v"], atol=1e-6) and np.allclose(h.T @ (de[:, None] * model.a * t * g * (1 - g)), want["u"], atol=1e-6)
+    got = model.gradients(x, first, own, y)
+    for k in ("b", "v", "u", "a", "s", "c"):
+        assert np.allclose(got[k], numeric(loss, getattr(model, k)), atol=1e-6), k
+    some = model.w[:7]  # a view: its first rows stand for all
+    assert np.allclose(got["w"][:7], numeric(loss, some), atol=1e-6)
+
+
+def test_convolution_gradient():
+    net = li.ByteConvNet(["a", "b", "c"])
+    r = np.random.default_rng(3)
+    x, y, weight = r.integers(97, 105, (5, 40)).astype(np.uint8), np.array([0, 1, 2, 1, 0]), np.array([1.0, 2.0, 0.5, 2.0, 1.0])
+
+    def loss():
+        logit = np.maximum(net._pooled(x)[0], 0) @ net.out + net.out_bias
+        logp = logit - np.log(np.exp(logit).sum(1, keepdims=True))
+        return float(-(weight * logp[np.arange(5), y]).mean())
+
+    got = net.gradients(x, y, weight)
+    for k in ("out", "out_bias", "bias"):
+        assert np.allclose(got[k], numeric(loss, getattr(net, k)), atol=1e-6), k
+    assert np.allclose(got["embed"][97:105], numeric(loss, net.embed[97:105]), atol=1e-5)
+    assert np.allclose(got["filters"], numeric(loss, net.filters) * net.mask, atol=1e-5)
+
+
+def test_held_out_quality_and_language(spark):
+    """The queries themselves: what they learned from the other folds holds on the rows held out."""
+    from tessera.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.lang for r in queries.table(spark, sf, "documents").select("doc_id", "lang").collect()}
+    got = [(r.lang_pred, docs[r.doc_id]) for r in queries.op2_language_id(spark, sf).where("held_out and lang_pred <> 'und'").collect()]
+    assert len(got) > 150 and np.mean([a == b for a, b in got if b]) >= 0.97
+    label = {r.doc_id: r.quality for r in queries.table(spark, sf, "labels").where("quality is not null").collect()}
+    told = [(r.score, label[r.doc_id]) for r in queries.op8_quality_classifier(spark, sf).where("held_out").collect() if r.doc_id in label]
+    good, bad = (np.array([s for s, y in told if y == k]) for k in (1, 0))
+    assert len(told) > 80 and (good[:, None] > bad).mean() >= 0.97 and np.mean([(s >= 0.5) == y for s, y in told]) >= 0.93
+
+
+def test_ties_and_repeated_rows(spark):
+    rows = [(1, "same words here", "b"), (1, "same words here", "a"), (2, "same words here", "a"), (2, "same words here", "b")] * 5 + [(None, "same words here", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = li.learn(docs, li.F.lit(True))
+    assert net.labels == ["a", "b"] and len({(r.lang_pred, r.score) for r in li.predict(docs, net).collect()}) == 1
+    model = q.learn(docs, docs.selectExpr("doc_id", "int(lang = 'a') as quality"), li.F.lit(True))
+    got = q.scored(docs, model).collect()
+    assert len(got) == len(rows) and len({r.score for r in got}) == 1
 
 
 def test_quality(spark):

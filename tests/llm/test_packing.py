@@ -39,6 +39,38 @@ def test_plan_holds_everything():
         assert sum(k for _, k in got) <= best * 1.01 + 2
 
 
+def fewest(left, length):
+    """Sequences that hold these pieces, by trying every place for the longest."""
+    best = [len(left)]
+
+    def go(k, room):
+        if len(room) >= best[0]:
+            return
+        if k == len(left):
+            best[0] = len(room)
+            return
+        for free in {f for f in room if f >= left[k]}:
+            at = room.index(free)
+            go(k + 1, [*room[:at], free - left[k], *room[at + 1 :]])
+        go(k + 1, [*room, length - left[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_plan_against_every_packing():
+    r = np.random.default_rng(9)
+    over = 0
+    for _ in range(60):
+        length = int(r.integers(8, 33))
+        left = sorted(r.integers(1, length + 1, r.integers(1, 10)).tolist(), reverse=True)
+        got = sum(k for _, k in pk.plan(np.bincount(left, minlength=length + 1), length))
+        least = fewest(left, length)
+        assert least <= got <= least + 1
+        over += got > least
+    assert over <= 6
+
+
 def test_pack(spark):
     texts = ["word " * k for k in (0, 1, 5, 3000, 700, 700, 700, 4096)] + [None, "x" * 50, "", "Σ. é'S"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, "a")]
