@@ -177,7 +177,7 @@ def _cells(work):
     return run
 
 
-def _ranked(k: int):
+def _ranked(k: int, measure: str):
     """Of each query and cell: the k best candidates, and one row with the number above the truth's score."""
 
     def work(queries, bank):
@@ -188,6 +188,8 @@ def _ranked(k: int):
         above, best = np.zeros(len(v), np.int64), None
         for b in bank:
             score = v @ b["vec"].T
+            if measure == "tanimoto":
+                score /= np.maximum(v.sum(1)[:, None] + b["vec"].sum(1) - score, 1)
             if "penalty" in b:
                 score = 2 * score - b["penalty"].to_numpy(zero_copy_only=False)
             u = np.rint(score * UNIT)
@@ -229,23 +231,28 @@ class Ranking:
         self.topk, self.ranks, self.n_bank = topk, ranks, n_bank
 
 
-def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = False) -> Ranking:
+def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = False, measure: str = "cosine") -> Ranking:
     """Ranks bank (cand, vec; and penalty, if asked for) for queries (query, truth, vec) by the cosine.
 
-    rank0 counts the candidates whose score is above the truth's, which the bank may not hold: then all of it is above.
+    By the measure tanimoto, vec holds bits, 0 or 1; two empty sets score 0. rank0 counts the candidates whose score is above the truth's, which the bank may not hold: then all of it is above.
     With a penalty, the score is twice the cosine less the candidate's penalty. No queries, or an empty bank, give empty
     tables; k may exceed the bank.
     """
-    bank = storage.written(bank.where("cand is not null and vec is not null").select("cand", unit("vec").alias("vec"), *(["penalty"] if penalty else [])), "bank")
-    asks = queries.where("query is not null and vec is not null").select("query", F.col("truth").cast(bank.schema["cand"].dataType).alias("truth"), unit("vec").alias("vec"))
+    if measure not in ("cosine", "tanimoto"):
+        raise ValueError(f"unknown measure {measure!r}")
+    ready = unit("vec") if measure == "cosine" else F.col("vec").cast("array<double>")
+    bank = storage.written(bank.where("cand is not null and vec is not null").select("cand", ready.alias("vec"), *(["penalty"] if penalty else [])), "bank")
+    asks = queries.where("query is not null and vec is not null").select("query", F.col("truth").cast(bank.schema["cand"].dataType).alias("truth"), ready.alias("vec"))
     known = bank.select(F.col("cand").alias("truth"), F.col("vec").alias("theirs"), *(["penalty"] if penalty else []))
     score = dot(F.col("vec"), F.col("theirs"))
+    if measure == "tanimoto":
+        score = score / F.greatest(dot(F.col("vec"), F.col("vec")) + dot(F.col("theirs"), F.col("theirs")) - score, F.lit(1e0))
     score = 2 * score - F.col("penalty") if penalty else score
     asks = storage.written(asks.join(known, "truth", "left").select(F.col("query").alias("id"), "truth", F.rint(score * UNIT).alias("own"), "vec"), "queries")
     n_bank, n_asks = bank.count(), asks.count()
     kind = bank.schema["cand"].dataType
     schema = T.StructType([T.StructField("query", asks.schema["id"].dataType), T.StructField("cand", kind), T.StructField("u", T.LongType()), T.StructField("above", T.LongType())])
-    got = storage.written(grid(asks, bank.withColumnRenamed("cand", "id"), _ranked(k), schema, n_asks, n_bank), "ranking")
+    got = storage.written(grid(asks, bank.withColumnRenamed("cand", "id"), _ranked(k, measure), schema, n_asks, n_bank), "ranking")
     r = F.row_number().over(W.partitionBy("query").orderBy(F.desc("u"), "cand"))
     topk = got.where("above is null").withColumn("r", r).where(F.col("r") <= k).select("query", "r", "cand", "u")
     ranks = got.where("above is not null").groupBy("query").agg(F.sum("above").alias("rank0"))
