@@ -67,7 +67,7 @@ def prepare(signatures: DataFrame, compounds: DataFrame, genes: DataFrame, matri
     cells = storage.written(splits.codes(kept, "cell").withColumnRenamed("code", "cell_index"), "cells")
     vec = selected(matrix, kept.select("sig_id"), genes, robust)
     got = kept.join(places, "pert_id").join(cells, "cell", "left").join(vec, "sig_id")
-    bank = places.join(compounds, "pert_id").select("pos", F.col("pert_id").alias("compound_id"), "smiles", ms.valued("moa").alias("moa"), F.coalesce(F.transform(ms.many("target"), F.trim), F.array().cast("array<string>")).alias("targets"))
+    bank = places.join(compounds, "pert_id").select("pos", F.col("pert_id").alias("compound_id"), "smiles", ms.valued("moa").alias("moa"), F.coalesce(F.transform(ms.many("target"), lambda x: F.trim(x)), F.array().cast("array<string>")).alias("targets"))
     known = lambda t: F.filter(t, lambda x: ~F.lower(F.trim(x)).isin(ms.PLACEHOLDERS))
     return {
         "bank": bank.withColumn("targets", known(F.col("targets"))),

@@ -361,6 +361,42 @@ sc AS (SELECT ok.g, ok.n, round(sum(a.m / la * b.m / lb), 6) AS c FROM ok JOIN h
 BINS = lambda edges, src, value, one: src + ", edge(bin, label, lo, hi, last) AS (VALUES " + ", ".join(f"({k}::BIGINT, '{a:g}-{b:g}', {a}::DOUBLE, {b}::DOUBLE, {str(k == len(edges) - 2).lower()})" for k, (a, b) in enumerate(zip(edges, edges[1:]))) + f") SELECT e.bin, e.label, count({value}) AS n, round(avg(model), 10) AS model, round(avg(baseline), 10) AS baseline, CASE WHEN avg(baseline) > 0 THEN round(avg(model) / avg(baseline), 10) WHEN avg(model) > 0 THEN 'inf'::DOUBLE WHEN count({value}) > 0 THEN 'nan'::DOUBLE END AS ratio FROM edge e LEFT JOIN {one} z ON z.{value} >= e.lo AND (z.{value} < e.hi OR e.last AND z.{value} <= e.hi) GROUP BY e.bin, e.label"
 DOSES = "CASE WHEN vec_id % 13 > 0 THEN vec_id % 13 END AS dose, 6 * (vec_id % 5 + 1) AS time"
 
+
+
+def _matched(g: str, arms: list[str], k: int) -> str:
+    """CTEs hv (arm, g, p, a, b), fv (arm, g, p, x) and sim (arm, g, half), of groups with 2 k rows under all arms."""
+    loo = LOO.replace("CAST(label AS BIGINT) * 10 + vec_id % 10", g)
+    flags = " UNION ALL ".join(f"SELECT {n} AS arm, vec_id, g FROM e, qs WHERE {c}" for n, c in enumerate(arms))
+    return f"""{loo}, e AS (SELECT l.*, {DOSES} FROM l), qs AS (SELECT quantile_cont(norm, 0.25) AS qn, quantile_cont(loo, 0.25) AS ql FROM e), k AS ({flags}),
+r AS (SELECT *, row_number() OVER (PARTITION BY arm, g ORDER BY md5(arm || '|' || vec_id), vec_id) AS rn FROM k), ok AS (SELECT g FROM r WHERE rn = {2 * k} GROUP BY g HAVING count(*) = {len(arms)}),
+hv AS (SELECT r.arm, r.g, v.p, avg(x) FILTER (rn <= {k}) AS a, avg(x) FILTER (rn > {k}) AS b FROM r JOIN ok ON r.g = ok.g JOIN v ON v.vec_id = r.vec_id WHERE rn <= {2 * k} GROUP BY r.arm, r.g, v.p),
+sim AS (SELECT arm, g, sum(a * b) / ((sqrt(sum(a * a)) + 1e-9) * (sqrt(sum(b * b)) + 1e-9)) AS half, sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0) AS c, sqrt(sum((a + b) / 2 * (a + b) / 2)) + 1e-9 AS n FROM hv GROUP BY arm, g),
+fv AS (SELECT hv.arm, hv.g, p, (a + b) / 2 / n AS x FROM hv JOIN sim ON hv.arm = sim.arm AND hv.g = sim.g),
+bio AS (SELECT i.arm, i.g AS i, j.g AS j, sum(i.x * j.x) AS bio FROM fv i JOIN fv j ON i.arm = j.arm AND i.p = j.p AND i.g < j.g GROUP BY ALL),
+bit AS (SELECT g, p, CASE WHEN arg_min(x, vec_id) > 0 THEN 1 ELSE 0 END AS b FROM v GROUP BY g, p), nb AS (SELECT g, sum(b) AS n FROM bit GROUP BY g),
+chem AS (SELECT i.g AS i, j.g AS j, sum(i.b * j.b) / greatest(any_value(ni.n) + any_value(nj.n) - sum(i.b * j.b), 1)::DOUBLE AS chem FROM bit i JOIN bit j ON i.p = j.p AND i.g < j.g JOIN nb ni ON ni.g = i.g JOIN nb nj ON nj.g = j.g GROUP BY i.g, j.g)"""
+
+
+ARMS = ["true", "dose >= 1", "dose >= 10", "time >= 24", "dose >= 1 AND time >= 24", "norm >= qn", "loo >= ql", "loo >= ql AND dose >= 1 AND time >= 24"]
+BY_3 = "CAST(label AS BIGINT) * 3 + vec_id % 3"
+BY_10 = "CAST(label AS BIGINT) * 10 + vec_id % 10"
+
+
+def _greedy(group: str) -> str:
+    """The sequential rule as a recursion over groups in order: the splits' members and weight go from row to row."""
+    cost = lambda i, f: f"greatest((n{i} + o.n) / ({f} * o.all_n), (w{i} + o.w) / ({f} * o.all_w))"
+    c = [cost(0, 0.8), cost(1, 0.1), cost(2, "(1.0::DOUBLE - 0.8 - 0.1)")]
+    pick = f"CASE WHEN {c[0]} <= {c[1]} AND {c[0]} <= {c[2]} THEN 0 WHEN {c[1]} <= {c[2]} THEN 1 ELSE 2 END"
+    return f"""WITH RECURSIVE x AS (SELECT p_partkey, {group} AS grp, coalesce(lines, 0)::DOUBLE AS w FROM part LEFT JOIN (SELECT l_partkey, count(*) AS lines FROM lineitem GROUP BY l_partkey) ON p_partkey = l_partkey),
+sums AS (SELECT grp, count(*)::DOUBLE AS n, sum(w) AS w, min(p_partkey) AS first FROM x WHERE grp IS NOT NULL GROUP BY grp),
+o AS (SELECT *, row_number() OVER (ORDER BY w DESC, n DESC, first) AS k, sum(n) OVER () AS all_n, sum(w) OVER () AS all_w FROM sums),
+walk AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS grp, -1 AS at, 0::DOUBLE AS n0, 0::DOUBLE AS n1, 0::DOUBLE AS n2, 0::DOUBLE AS w0, 0::DOUBLE AS w1, 0::DOUBLE AS w2
+  UNION ALL SELECT z.k, z.grp, z.at, n0 + CASE WHEN z.at = 0 THEN z.n ELSE 0 END, n1 + CASE WHEN z.at = 1 THEN z.n ELSE 0 END, n2 + CASE WHEN z.at = 2 THEN z.n ELSE 0 END,
+    w0 + CASE WHEN z.at = 0 THEN z.w ELSE 0 END, w1 + CASE WHEN z.at = 1 THEN z.w ELSE 0 END, w2 + CASE WHEN z.at = 2 THEN z.w ELSE 0 END
+  FROM (SELECT o.k, o.grp, o.n, o.w, n0, n1, n2, w0, w1, w2, {pick} AS at FROM walk JOIN o ON o.k = walk.k + 1) z)
+SELECT x.p_partkey, CASE walk.at WHEN 1 THEN 'valid' WHEN 2 THEN 'test' ELSE 'train' END AS split FROM x LEFT JOIN walk ON x.grp = walk.grp"""
+
+
 ORACLES = {
     "consensus_topk": f"WITH {SCORE}{RANK} SELECT vec_id, cand AS compound, u AS c_micro, r AS rk FROM topk WHERE r <= 3",
     "true_rank": f"WITH {SCORE}{RANK} SELECT vec_id, truth, rank0 FROM ranks",
@@ -405,4 +441,15 @@ SELECT CAST(a AS BIGINT) AS vec_id, CASE WHEN count(*) > 1 THEN CAST(min(b) AS B
     "new_signature_holdout": "WITH r AS (SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS m, row_number() OVER (PARTITION BY label ORDER BY md5('h' || vec_id), vec_id) AS rn FROM embeddings) SELECT vec_id, m >= 2 AND rn <= least(greatest(round_even(m / 20.0, 0), 1), m - 1) AS held FROM r",
     "capped_sample": "SELECT vec_id, label FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('s' || vec_id), vec_id) <= 5",
     "train_probe": "SELECT CAST(vec_id AS BIGINT) AS vec_id FROM embeddings WHERE md5('split|' || vec_id) >= '3' ORDER BY md5('probe|' || vec_id), vec_id LIMIT 50",
+    "matched_depth_filters": f"WITH {_matched('CAST(label AS BIGINT)', ARMS, 4)}, n(arm, name) AS (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in enumerate(signal.masks()))}), s AS (SELECT arm, count(*) AS kept FROM k GROUP BY arm), m AS (SELECT arm, round(avg(c), 6) AS c, count(*) AS n FROM sim GROUP BY arm) SELECT s.arm::BIGINT AS arm, n.name, round(s.kept / (SELECT kept FROM s WHERE arm = 0)::DOUBLE, 6) AS kept, m.c AS self_cosine, round(m.c - (SELECT c FROM m WHERE arm = 0), 6) AS delta, coalesce(m.n, 0) AS n_groups FROM s JOIN n ON s.arm = n.arm LEFT JOIN m ON m.arm = s.arm",
+    "pair_correlation": f"WITH {_matched(BY_3, [ARMS[0], ARMS[1], ARMS[3]], 2)}, m AS (SELECT arm, avg(half) AS h, count(*) AS n FROM sim GROUP BY arm), c AS (SELECT arm, corr(chem, bio) AS r FROM bio JOIN chem ON bio.i = chem.i AND bio.j = chem.j GROUP BY arm) SELECT m.arm::BIGINT AS arm, round(2 * h / (1 + h), 6) AS reliability, round(r, 6) AS corr, round(r / sqrt(greatest(2 * h / (1 + h), 1e-9)), 6) AS disattenuated, n AS n_groups FROM m JOIN c ON m.arm = c.arm",
+    "annotation_similarity": f"""WITH {_matched(BY_10, ["true"], 2).replace("GROUP BY g HAVING count(*) = 1)", "AND g % 7 <> 6 AND (g % 5 < 4 OR g % 11 < 4 OR g % 11 = 10) GROUP BY g HAVING count(*) = 1)")},
+t AS (SELECT g, CAST(g % 5 AS VARCHAR) AS t FROM ok WHERE g % 5 < 4 UNION SELECT g, CAST(g % 11 AS VARCHAR) FROM ok WHERE CAST(g % 11 AS VARCHAR) < '4'),
+z AS (SELECT bio, chem, bio.i % 7 = bio.j % 7 AS moa, EXISTS (SELECT 1 FROM t a JOIN t b ON a.t = b.t WHERE a.g = bio.i AND b.g = bio.j) AS target FROM bio JOIN chem ON bio.i = chem.i AND bio.j = chem.j),
+kinds AS (SELECT 'unrelated (baseline)' AS name, bio FROM z WHERE NOT moa AND NOT target AND chem < 0.4 UNION ALL SELECT 'Tanimoto >= 0.7', bio FROM z WHERE chem >= 0.7 UNION ALL SELECT 'same target', bio FROM z WHERE target UNION ALL SELECT 'same MOA', bio FROM z WHERE moa UNION ALL SELECT 'same target, Tanimoto < 0.4', bio FROM z WHERE target AND chem < 0.4),
+b AS (SELECT avg(bio) AS b FROM kinds WHERE name = 'unrelated (baseline)'), top AS (SELECT avg(half) AS top FROM sim)
+SELECT name, count(*) AS n_pairs, round(avg(bio), 6) AS cosine, round((avg(bio) - any_value(b)) / greatest(any_value(top) - any_value(b), 1e-9), 6) AS fraction FROM kinds, b, top GROUP BY name HAVING count(*) >= 20""",
+    "block_correlation": f"WITH {_matched(BY_10, ['true'], 2)}, d AS (SELECT g, (p - 1) // 16 AS block, p, arg_min(x, vec_id) AS x FROM v WHERE g IN (SELECT g FROM ok) GROUP BY g, p), dn AS (SELECT g, block, greatest(sqrt(sum(x * x)), 1e-9) AS n FROM d GROUP BY g, block), dc AS (SELECT i.block, i.g AS i, j.g AS j, sum(i.x / ni.n * j.x / nj.n) AS c FROM d i JOIN d j ON i.p = j.p AND i.g < j.g JOIN dn ni ON ni.g = i.g AND ni.block = i.block JOIN dn nj ON nj.g = j.g AND nj.block = j.block GROUP BY i.block, i.g, j.g), hh AS (SELECT avg(half) AS h FROM sim), rr AS (SELECT block, corr(c, bio) AS r, corr(c, bio) / sqrt(greatest(any_value(2 * h / (1 + h)), 1e-9)) AS dis FROM dc JOIN bio ON dc.i = bio.i AND dc.j = bio.j, hh GROUP BY block), m AS (SELECT a.block, median(abs(b.dis)) AS rest FROM rr a JOIN rr b ON a.block <> b.block GROUP BY a.block) SELECT row_number() OVER (ORDER BY abs(dis) DESC, r.block) AS place, r.block::BIGINT AS block, round(r, 6) AS corr, round(dis, 6) AS disattenuated, abs(dis) > 3 * rest AS circular FROM rr r JOIN m ON r.block = m.block",
+    "group_split": _greedy("p_brand"),
+    "moa_split": _greedy("CASE WHEN p_type <> 'STANDARD' THEN p_brand END"),
 }
