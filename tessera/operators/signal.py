@@ -18,6 +18,8 @@ from tessera.operators.vectors import dot, norm
 
 #: Depths, as first and one past the last.
 DEPTHS = ((4, 6), (6, 10), (10, 20), (20, 60), (60, None))
+#: The arms' names, which hold their thresholds.
+ARMS = ("none (baseline)", "dose >= 1 uM", "dose >= 10 uM", "time >= 24 h", "dose>=1 & time>=24", "drop weakest 25% (L2)", "drop 25% outliers (LOO)", "LOO + dose>=1 + t>=24")
 PLACES = 6
 
 
@@ -58,20 +60,11 @@ def quality_filter(rows: DataFrame, min_depth: int | None = None, min_dose: floa
     return known.withColumn("keep", keep | ~F.col("eligible"))
 
 
-def masks(quantile: float = 0.25) -> dict[str, Column]:
+def masks() -> dict[str, Column]:
     """The named filters, as conditions on dose, time, norm, loo and the quantiles q_norm and q_loo."""
     dose, time, loo = (lambda x: F.col("dose") >= x), F.col("time") >= 24, F.col("loo") >= F.col("q_loo")
-    # The arms' names and thresholds.
-    return {
-        "none (baseline)": F.lit(True),
-        "dose >= 1 uM": dose(1),
-        "dose >= 10 uM": dose(10),
-        "time >= 24 h": time,
-        "dose>=1 & time>=24": dose(1) & time,
-        "drop weakest 25% (L2)": F.col("norm") >= F.col("q_norm"),
-        "drop 25% outliers (LOO)": loo,
-        "LOO + dose>=1 + t>=24": loo & dose(1) & time,
-    }
+    conditions = [F.lit(True), dose(1), dose(10), time, dose(1) & time, F.col("norm") >= F.col("q_norm"), loo, loo & dose(1) & time]
+    return dict(zip(ARMS, conditions))
 
 
 def arms(rows: DataFrame, names: list[str] | None = None, quantile: float = 0.25) -> DataFrame:
@@ -79,7 +72,7 @@ def arms(rows: DataFrame, names: list[str] | None = None, quantile: float = 0.25
     known = storage.written(quality(rows), "quality")
     cuts = known.agg(F.percentile("norm", F.lit(quantile)).alias("q_norm"), F.percentile(F.expr("nullif(loo, double('NaN'))"), F.lit(quantile)).alias("q_loo"))
     full = known.crossJoin(F.broadcast(cuts))  # one row
-    kinds = [(n, c) for n, c in masks(quantile).items() if names is None or n in names]
+    kinds = [(n, c) for n, c in masks().items() if names is None or n in names]
     flags = F.array(*[F.when(c, F.struct(F.lit(k).alias("arm"), F.lit(n).alias("name"))) for k, (n, c) in enumerate(kinds)])
     return full.select("key", "group", "vec", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("a")).select("a.arm", "a.name", "key", "group", "vec")
 

@@ -441,7 +441,7 @@ SELECT CAST(a AS BIGINT) AS vec_id, CASE WHEN count(*) > 1 THEN CAST(min(b) AS B
     "new_signature_holdout": "WITH r AS (SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS m, row_number() OVER (PARTITION BY label ORDER BY md5('h' || vec_id), vec_id) AS rn FROM embeddings) SELECT vec_id, m >= 2 AND rn <= least(greatest(round_even(m / 20.0, 0), 1), m - 1) AS held FROM r",
     "capped_sample": "SELECT vec_id, label FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('s' || vec_id), vec_id) <= 5",
     "train_probe": "SELECT CAST(vec_id AS BIGINT) AS vec_id FROM embeddings WHERE md5('split|' || vec_id) >= '3' ORDER BY md5('probe|' || vec_id), vec_id LIMIT 50",
-    "matched_depth_filters": f"WITH {_matched('CAST(label AS BIGINT)', ARMS, 4)}, n(arm, name) AS (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in enumerate(signal.masks()))}), s AS (SELECT arm, count(*) AS kept FROM k GROUP BY arm), m AS (SELECT arm, round(avg(c), 6) AS c, count(*) AS n FROM sim GROUP BY arm) SELECT s.arm::BIGINT AS arm, n.name, round(s.kept / (SELECT kept FROM s WHERE arm = 0)::DOUBLE, 6) AS kept, m.c AS self_cosine, round(m.c - (SELECT c FROM m WHERE arm = 0), 6) AS delta, coalesce(m.n, 0) AS n_groups FROM s JOIN n ON s.arm = n.arm LEFT JOIN m ON m.arm = s.arm",
+    "matched_depth_filters": f"WITH {_matched('CAST(label AS BIGINT)', ARMS, 4)}, n(arm, name) AS (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in enumerate(signal.ARMS))}), s AS (SELECT arm, count(*) AS kept FROM k GROUP BY arm), m AS (SELECT arm, round(avg(c), 6) AS c, count(*) AS n FROM sim GROUP BY arm) SELECT s.arm::BIGINT AS arm, n.name, round(s.kept / (SELECT kept FROM s WHERE arm = 0)::DOUBLE, 6) AS kept, m.c AS self_cosine, round(m.c - (SELECT c FROM m WHERE arm = 0), 6) AS delta, coalesce(m.n, 0) AS n_groups FROM s JOIN n ON s.arm = n.arm LEFT JOIN m ON m.arm = s.arm",
     "pair_correlation": f"WITH {_matched(BY_3, [ARMS[0], ARMS[1], ARMS[3]], 2)}, m AS (SELECT arm, avg(half) AS h, count(*) AS n FROM sim GROUP BY arm), c AS (SELECT arm, corr(chem, bio) AS r FROM bio JOIN chem ON bio.i = chem.i AND bio.j = chem.j GROUP BY arm) SELECT m.arm::BIGINT AS arm, round(2 * h / (1 + h), 6) AS reliability, round(r, 6) AS corr, round(r / sqrt(greatest(2 * h / (1 + h), 1e-9)), 6) AS disattenuated, n AS n_groups FROM m JOIN c ON m.arm = c.arm",
     "annotation_similarity": f"""WITH {_matched(BY_10, ["true"], 2).replace("GROUP BY g HAVING count(*) = 1)", "AND g % 7 <> 6 AND (g % 5 < 4 OR g % 11 < 4 OR g % 11 = 10) GROUP BY g HAVING count(*) = 1)")},
 t AS (SELECT g, CAST(g % 5 AS VARCHAR) AS t FROM ok WHERE g % 5 < 4 UNION SELECT g, CAST(g % 11 AS VARCHAR) FROM ok WHERE CAST(g % 11 AS VARCHAR) < '4'),
