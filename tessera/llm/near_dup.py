@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
+from tessera.operators.graph import components
 
 SHINGLE, SIMILAR, ROWS, BANDS = 5, 0.8, 6, 40
 BLOCK, SHINGLES, DEVIATIONS = 2048, 500, 6
@@ -210,33 +211,6 @@ def _across(similar: float):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of the edges (a, b): comp is the component's smallest node. Alternating star contraction.
-
-    Smallest neighbours are written before they are joined, so that a node of many edges can be split between tasks.
-    """
-    e = tk.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-
-    def total(x):
-        return x.agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-
-    before = total(e)
-    while before.c:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = tk.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "smallest")
-        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = tk.written(large, "edges")
-        low = tk.written(large.groupBy("u").agg(F.min("v").alias("m")), "smallest")
-        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = tk.written(small, "edges")
-        now = total(e)
-        if (now.c, now.s) == (before.c, before.s):
-            break
-        before = now
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
-
-
 def blocks(where: DataFrame, block: int) -> DataFrame:
     """Rows (bucket, i, j, node, comp, n, side) of what must meet: members of a bucket that lie in different components.
 

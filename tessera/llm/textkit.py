@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tessera.llm.storage import boxed, named, partitions, unboxed, written  # noqa: F401
+from tessera.storage import boxed, named, partitions, unboxed, written  # noqa: F401
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import boxed, unboxed
+from tessera.storage import boxed, unboxed
 
 SALT = 16
 
