@@ -4,9 +4,10 @@ The suffixes of a large corpus are dealt out before they are sorted. Every strin
 hash among its 32-byte grams, its minimiser; equal strings have equal minimisers at equal places, so strings can only
 repeat within the group of one minimiser. Neighbouring strings with the same minimiser occurrence travel together as one
 segment. Groups met once in the corpus are dropped by their hash alone, equal segments are merged by a second hash, and
-only one copy of each remaining segment is read back as bytes. Each task then builds the suffix array of its segments
-with common-prefix lengths, scans it with a stack and reports the maximal repeats: intervals whose members differ in the
-byte before. A group with more different segments than HOT is too large for one task; it is parted by minimisers of ever
+only one copy of each remaining segment is read back as bytes. Each task leaves out segments of which no string's hash
+occurs twice, builds the suffix array of the others with common-prefix lengths, scans it with a stack and reports the
+maximal repeats: intervals whose members differ in the byte before. A group with more different segments than HOT is too
+large for one task; it is parted by minimisers of ever
 longer grams, until each part is small enough to be scanned in the same way. Grams of `length` bytes are the end of that:
 a part is then one string.
 
@@ -174,16 +175,32 @@ def covered(body: np.ndarray, offs: np.ndarray, length: int):
     return string, at - offs[string], at - offs[string] + reach[at]
 
 
+def repeating(body: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
+    """The strings of which a stretch of `length` bytes may occur twice: of all others no hash does, so none can."""
+    at = np.flatnonzero(np.repeat(offs[1:], np.diff(offs)) - np.arange(len(body)) >= length)
+    hashes = tk.stretch_hash(tk.prefix_hash(body), at, at + length)
+    by = np.argsort(hashes)
+    same = hashes[by][1:] == hashes[by][:-1]
+    twice = np.zeros(len(at), bool)
+    twice[by[1:][same]] = twice[by[:-1][same]] = True
+    return np.unique(np.searchsorted(offs, at[twice], "right") - 1)
+
+
 def _scan(length: int, key: str, carried: list[str]):
     """Bytes of segments, in order of their group's key, to the covered stretches of each, beside the columns carried.
 
     A group is never parted between two arrays.
     """
 
+    def joined(texts):
+        return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+
     def done(rows, texts):
-        body = np.frombuffer(b"".join(texts), np.uint8)
-        offs = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        string, lo, hi = covered(body, offs, length)
+        some = repeating(*joined(texts), length)
+        if not len(some):
+            return
+        string, lo, hi = covered(*joined([texts[k] for k in some.tolist()]), length)
+        string = some[string]
         counts = np.bincount(string, minlength=len(texts)) * 2
         keep = np.flatnonzero(counts)
         if len(keep):
