@@ -7,9 +7,8 @@ segment. Groups met once in the corpus are dropped by their hash alone, equal se
 only one copy of each remaining segment is read back as bytes. Each task leaves out segments of which no string's hash
 occurs twice, builds the suffix array of the others with common-prefix lengths, scans it with a stack and reports the
 maximal repeats: intervals whose members differ in the byte before. A group with more different segments than HOT is too
-large for one task; it is parted by minimisers of ever
-longer grams, until each part is small enough to be scanned in the same way. Grams of `length` bytes are the end of that:
-a part is then one string.
+large for one task; it is parted by minimisers of ever longer grams, until each part is small enough to be scanned in the
+same way. Grams of `length` bytes are the end of that: a part is then one string.
 
 Defined cases: a null or empty text has no strings; texts under `length` bytes keep all bytes; rows that repeat an id and
 a text count as copies of each other; an empty table gives an empty result; other columns pass through untouched, whatever
