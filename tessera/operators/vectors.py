@@ -1,7 +1,8 @@
 """Vectors by group and against each other: consensus, unit vectors, and a ranking of a bank for every query.
 
 A ranking deals blocks of queries and blocks of the bank to tasks as rows of a grid: every query meets every candidate as
-two matrices in numpy, neither side is broadcast, and a task keeps a query's k best of the blocks it has seen. Scores are
+two matrices in numpy, and a task keeps a query's k best of the blocks it has seen. Only a bank whose size, once written
+and measured, is SMALL bytes or less is broadcast instead. Scores are
 whole millionths, so equal scores tie on every engine; ties go to the smaller candidate.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from tessera import storage
 
 BLOCK, HELD, KEYS, UNIT = 1024, 65536, 20_000, 1e6
+SMALL = 32 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -183,7 +185,7 @@ def _ranked(k: int, measure: str):
     def work(queries, bank):
         ids = pa.concat_arrays([q["id"] for q in queries])
         truth = pa.concat_arrays([q["truth"] for q in queries])
-        own = np.concatenate([q["own"].to_numpy(zero_copy_only=False) for q in queries]).astype(float)
+        own = np.concatenate([q["own"].to_numpy(zero_copy_only=False) for q in queries]).astype(float) if "own" in queries[0] else None
         v = np.concatenate([q["vec"] for q in queries])
         above, best = np.zeros(len(v), np.int64), None
         for b in bank:
@@ -193,10 +195,13 @@ def _ranked(k: int, measure: str):
             if "penalty" in b:
                 score = 2 * score - b["penalty"].to_numpy(zero_copy_only=False)
             u = np.rint(score * UNIT)
-            at = pa.compute.index_in(truth, value_set=b["id"]).to_numpy(zero_copy_only=False)
+            at = pa.compute.index_in(truth, value_set=b["id"]).to_numpy(zero_copy_only=False).astype(float)
+            hit = np.flatnonzero(~np.isnan(at))
+            if own is None:  # the block is the whole bank
+                own = np.full(len(v), np.nan)
+                own[hit] = u[hit, at[hit].astype(int)]
             known = ~np.isnan(own)
             more = (u > np.where(known, own, -np.inf)[:, None]).sum(1)
-            hit = np.flatnonzero(~np.isnan(at.astype(float)))
             more[hit] -= u[hit, at[hit].astype(int)] > np.where(known, own, -np.inf)[hit]
             above += more
             order = np.asarray(pa.compute.sort_indices(b["id"]))
@@ -224,6 +229,18 @@ def _best(rows: pa.Table, k: int) -> pa.Table:
     return rows.filter(pa.array(np.arange(len(row)) - first < k))
 
 
+def _whole(bank, work):
+    """Every query against a bank that fits a task."""
+
+    def run(rows):
+        for b in rows:
+            for lo in range(0, b.num_rows, BLOCK):
+                part = b.slice(lo, BLOCK)
+                yield from work([{"id": part.column("id"), "truth": part.column("truth"), "vec": matrix(part.column("vec"))}], [bank.value])
+
+    return run
+
+
 class Ranking:
     """topk (query, r from 1, cand, u) and ranks (query, truth, rank0) of a set of queries against a bank."""
 
@@ -235,7 +252,7 @@ def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = Fal
     """Ranks bank (cand, vec; and penalty, if asked for) for queries (query, truth, vec) by the cosine.
 
     By the measure tanimoto, vec holds bits, 0 or 1; two empty sets score 0. rank0 counts the candidates whose score is above the truth's, which the bank may not hold: then all of it is above.
-    With a penalty, the score is twice the cosine less the candidate's penalty. No queries, or an empty bank, give empty
+    Queries have an id of their own each. With a penalty, the score is twice the cosine less the candidate's penalty. No queries, or an empty bank, give empty
     tables; k may exceed the bank.
     """
     if measure not in ("cosine", "tanimoto"):
@@ -243,20 +260,27 @@ def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = Fal
     ready = unit("vec") if measure == "cosine" else F.col("vec").cast("array<double>")
     bank = storage.written(bank.where("cand is not null and vec is not null").select("cand", ready.alias("vec"), *(["penalty"] if penalty else [])), "bank")
     asks = queries.where("query is not null and vec is not null").select("query", F.col("truth").cast(bank.schema["cand"].dataType).alias("truth"), ready.alias("vec"))
-    known = bank.select(F.col("cand").alias("truth"), F.col("vec").alias("theirs"), *(["penalty"] if penalty else []))
-    score = dot(F.col("vec"), F.col("theirs"))
-    if measure == "tanimoto":
-        score = score / F.greatest(dot(F.col("vec"), F.col("vec")) + dot(F.col("theirs"), F.col("theirs")) - score, F.lit(1e0))
-    score = 2 * score - F.col("penalty") if penalty else score
-    asks = storage.written(asks.join(known, "truth", "left").select(F.col("query").alias("id"), "truth", F.rint(score * UNIT).alias("own"), "vec"), "queries")
-    n_bank, n_asks = bank.count(), asks.count()
-    kind = bank.schema["cand"].dataType
-    schema = T.StructType([T.StructField("query", asks.schema["id"].dataType), T.StructField("cand", kind), T.StructField("u", T.LongType()), T.StructField("above", T.LongType())])
-    got = storage.written(grid(asks, bank.withColumnRenamed("cand", "id"), _ranked(k, measure), schema, n_asks, n_bank), "ranking")
+    kind, name = bank.schema["cand"].dataType, asks.schema["query"].dataType
+    schema = T.StructType([T.StructField("query", name), T.StructField("cand", kind), T.StructField("u", T.LongType()), T.StructField("above", T.LongType())])
+    n_bank, width = bank.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    asks = asks.withColumnRenamed("query", "id")
+    if n_bank and n_bank * width * 8 <= SMALL:  # its size is checked; a larger bank is dealt in blocks
+        table = bank.toArrow()
+        whole = {"id": table["cand"].combine_chunks(), "vec": matrix(table["vec"].combine_chunks())} | ({"penalty": table["penalty"].combine_chunks()} if penalty else {})
+        got = asks.mapInArrow(_whole(queries.sparkSession.sparkContext.broadcast(whole), _ranked(k, measure)), schema)
+    else:
+        known = bank.select(F.col("cand").alias("truth"), F.col("vec").alias("theirs"), *(["penalty"] if penalty else []))
+        score = dot(F.col("vec"), F.col("theirs"))
+        if measure == "tanimoto":
+            score = score / F.greatest(dot(F.col("vec"), F.col("vec")) + dot(F.col("theirs"), F.col("theirs")) - score, F.lit(1e0))
+        score = 2 * score - F.col("penalty") if penalty else score
+        asks = storage.written(asks.join(known, "truth", "left").select("id", "truth", F.rint(score * UNIT).alias("own"), "vec"), "queries")
+        got = grid(asks, bank.withColumnRenamed("cand", "id"), _ranked(k, measure), schema, asks.count(), n_bank)
+    got = storage.written(got, "ranking")
     r = F.row_number().over(W.partitionBy("query").orderBy(F.desc("u"), "cand"))
     topk = got.where("above is null").withColumn("r", r).where(F.col("r") <= k).select("query", "r", "cand", "u")
     ranks = got.where("above is not null").groupBy("query").agg(F.sum("above").alias("rank0"))
-    ranks = asks.select(F.col("id").alias("query"), "truth").join(ranks, "query").select("query", "truth", "rank0")
+    ranks = queries.where("query is not null").select("query", F.col("truth").cast(kind).alias("truth")).join(ranks, "query").select("query", "truth", "rank0")
     return Ranking(topk, ranks, n_bank)
 
 

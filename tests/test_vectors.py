@@ -20,8 +20,9 @@ def test_consensus(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("penalty", [False, True])
-@pytest.mark.parametrize("block,held", [(1024, 65536), (7, 20)])
-def test_ranked(spark, monkeypatch, penalty, block, held):
+@pytest.mark.parametrize("block,held,small", [(1024, 65536, 32 << 20), (7, 20, 32 << 20), (1024, 65536, 0), (7, 20, 0)])
+def test_ranked(spark, monkeypatch, penalty, block, held, small):
+    monkeypatch.setattr(ve, "SMALL", small)
     monkeypatch.setattr(ve, "BLOCK", block)
     monkeypatch.setattr(ve, "HELD", held)
     q, b = some(60, 45, 6, 2)
