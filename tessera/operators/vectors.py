@@ -286,6 +286,7 @@ def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = Fal
 
 def hub_penalty(queries: DataFrame, bank: DataFrame, r: int = 10) -> DataFrame:
     """bank with penalty: each candidate's mean cosine, in whole millionths before the mean, to its r nearest queries."""
+    bank = storage.written(bank.select("cand", "vec"), "bank")  # read as queries and again with the penalty: aggregated once
     asked = bank.select(F.col("cand").alias("query"), F.lit(None).cast(queries.schema["query"].dataType).alias("truth"), "vec")
     near = ranked(asked, queries.select(F.col("query").alias("cand"), "vec"), r).topk
     mean = near.groupBy(F.col("query").alias("cand")).agg((F.sum("u") / F.count("u") / UNIT).alias("penalty"))

@@ -8,6 +8,7 @@ signs of its first vector. A vector's dose is vec_id mod 13 (none for 0) and its
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.operators import graph, metrics, scorers, signal, splits, vectors
 
 
@@ -31,17 +32,22 @@ def bank(spark, sf_dir) -> DataFrame:
     return scorers.cosine_consensus(rows(spark, sf_dir).where("not asked"))
 
 
+def written_bank(spark, sf_dir) -> DataFrame:
+    """The bank as a table, for queries that read it more than once: the training rows are scanned and summed once."""
+    return storage.written(bank(spark, sf_dir), "bank")
+
+
 def notes(bank_: DataFrame, divisor: int, none: int) -> DataFrame:
     return bank_.select("cand", F.when(F.col("cand") % divisor != none, (F.col("cand") % divisor).cast("string")).alias("label"))
 
 
-def ranking(spark, sf_dir, k: int = 50) -> vectors.Ranking:
-    return vectors.ranked(asks(spark, sf_dir), bank(spark, sf_dir), k)
+def ranking(spark, sf_dir, k: int = 50, known: DataFrame | None = None) -> vectors.Ranking:
+    return vectors.ranked(asks(spark, sf_dir), known or bank(spark, sf_dir), k)
 
 
-def csls(spark, sf_dir, k: int = 50) -> vectors.Ranking:
+def csls(spark, sf_dir, k: int = 50, known: DataFrame | None = None) -> vectors.Ranking:
     q = asks(spark, sf_dir)
-    return vectors.ranked(q, vectors.hub_penalty(q, bank(spark, sf_dir), 10), k, penalty=True)
+    return vectors.ranked(q, vectors.hub_penalty(q, known or bank(spark, sf_dir), 10), k, penalty=True)
 
 
 def bits(spark, sf_dir) -> DataFrame:
@@ -81,19 +87,21 @@ def per_compound_recall(spark, sf_dir):
 
 
 def group_hit(spark, sf_dir):
-    got = ranking(spark, sf_dir)
-    return metrics.group_hit(got.topk, got.ranks, notes(bank(spark, sf_dir), 7, 6), prefix="moa")
+    b = written_bank(spark, sf_dir)
+    got = ranking(spark, sf_dir, known=b)
+    return metrics.group_hit(got.topk, got.ranks, notes(b, 7, 6), prefix="moa")
 
 
 def metric_bundle(spark, sf_dir):
-    b = bank(spark, sf_dir)
-    return metrics.bundle(ranking(spark, sf_dir), notes(b, 7, 6), notes(b, 5, 4), prefix="test_")
+    b = written_bank(spark, sf_dir)
+    return metrics.bundle(ranking(spark, sf_dir, known=b), notes(b, 7, 6), notes(b, 5, 4), prefix="test_")
 
 
 def comparison_table(spark, sf_dir):
-    n = bank(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    b = written_bank(spark, sf_dir)
+    n = b.agg(F.count(F.lit(1)).alias("n"))
     wide = metrics.chance(n).agg(*[F.max(F.when(F.col("k") == k, F.col("recall"))).alias(f"macro_recall_{k}") for k in metrics.KS])
-    got = {"cosine consensus": ranking(spark, sf_dir, 1), "hub penalty": csls(spark, sf_dir, 1), "gene sets": overlap(spark, sf_dir, k=1)}
+    got = {"cosine consensus": ranking(spark, sf_dir, 1, b), "hub penalty": csls(spark, sf_dir, 1, b), "gene sets": overlap(spark, sf_dir, k=1)}
     return metrics.comparison({n: metrics.macro_recall(r.ranks) for n, r in got.items()} | {"chance": wide, "no macro metric": wide.select(F.lit(1).alias("recall_1"))})
 
 
@@ -102,21 +110,23 @@ def csls_rank(spark, sf_dir):
 
 
 def hub_occupancy(spark, sf_dir):
-    return metrics.hubness(ranking(spark, sf_dir, 10).topk, bank(spark, sf_dir), 10)
+    b = written_bank(spark, sf_dir)
+    return metrics.hubness(ranking(spark, sf_dir, 10, b).topk, b, 10)
 
 
 def hubness_report(spark, sf_dir):
     """The counts and the macro recall at 10, with the penalty and without."""
-    out = None
-    for arm, got in (("cosine", ranking(spark, sf_dir, 10)), ("csls", csls(spark, sf_dir, 10))):
-        one = metrics.hubness(got.topk, bank(spark, sf_dir), 10).crossJoin(metrics.macro_recall(got.ranks, (10,)).select("macro_recall_10"))
+    out, b = None, written_bank(spark, sf_dir)
+    for arm, got in (("cosine", ranking(spark, sf_dir, 10, b)), ("csls", csls(spark, sf_dir, 10, b))):
+        one = metrics.hubness(got.topk, b, 10).crossJoin(metrics.macro_recall(got.ranks, (10,)).select("macro_recall_10"))
         one = one.select(F.lit(arm).alias("arm"), *one.columns)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def modal_label(spark, sf_dir):
-    got = metrics.modal_label(ranking(spark, sf_dir, 10).topk, notes(bank(spark, sf_dir), 7, 6))
+    b = written_bank(spark, sf_dir)
+    got = metrics.modal_label(ranking(spark, sf_dir, 10, b).topk, notes(b, 7, 6))
     return got.select(F.col("query").alias("vec_id"), F.col("label").alias("moa"), "n")
 
 
@@ -129,9 +139,9 @@ def chance_recall(spark, sf_dir):
 
 
 def hit_listing(spark, sf_dir):
-    b = bank(spark, sf_dir)
+    b = written_bank(spark, sf_dir)
     named = notes(b, 7, 6).select("cand", F.concat(F.lit("mechanism of action number "), F.col("label"), F.lit(" of seven")).alias("moa"))
-    got = ranking(spark, sf_dir, 3).topk.join(named, "cand", "left")
+    got = ranking(spark, sf_dir, 3, b).topk.join(named, "cand", "left")
     return got.select(F.col("query").alias("vec_id"), F.col("r").cast("long").alias("rank"), F.concat(F.lit("C"), F.col("cand")).alias("compound_id"), (F.col("u") / 1e6).alias("cosine"), F.substring("moa", 1, 33).alias("moa"))
 
 
@@ -155,11 +165,11 @@ def nearest_transfer(spark, sf_dir):
     return transfer(spark, sf_dir).where("donor is not null").select(F.col("cand").alias("compound"), "donor", "similarity")
 
 
-def transfer_ranks(spark, sf_dir):
+def transfer_ranks(spark, sf_dir, lent: DataFrame | None = None):
     """Vectors of compounds without training rows, ranked against a bank that borrows their vectors."""
     held = splits.hashed("group", "c") < "4"
     q = rows(spark, sf_dir).where(held).select(F.col("key").alias("query"), F.col("group").alias("truth"), "vec")
-    return vectors.ranked(q, transfer(spark, sf_dir), 1).ranks.select(F.col("query").alias("vec_id"), "truth", "rank0")
+    return vectors.ranked(q, lent or transfer(spark, sf_dir), 1).ranks.select(F.col("query").alias("vec_id"), "truth", "rank0")
 
 
 def transfer_weighted(spark, sf_dir):
@@ -169,16 +179,18 @@ def transfer_weighted(spark, sf_dir):
 
 def similarity_breakdown(spark, sf_dir):
     """Recall at 10 of borrowed vectors against chance, by the donor's similarity."""
-    ranks = metrics.per_truth(transfer_ranks(spark, sf_dir), (10,))
-    got = transfer(spark, sf_dir).where("donor is not null").join(ranks.withColumnRenamed("truth", "cand"), "cand").select("similarity", F.col("recall_10").alias("model"), F.lit(0.1).alias("baseline"))
+    lent = storage.written(transfer(spark, sf_dir), "transfer")
+    ranks = metrics.per_truth(transfer_ranks(spark, sf_dir, lent), (10,))
+    got = lent.where("donor is not null").join(ranks.withColumnRenamed("truth", "cand"), "cand").select("similarity", F.col("recall_10").alias("model"), F.lit(0.1).alias("baseline"))
     # The bins' edges.
     return metrics.breakdown(got, "similarity", [0, 0.4, 0.5, 0.6, 0.7, 0.8, 1])
 
 
 def depth_breakdown(spark, sf_dir):
     """Recall at 10 with the hub penalty against that without it, by the compound's training vectors."""
+    known = written_bank(spark, sf_dir)
     depth = rows(spark, sf_dir).where("not asked").groupBy(F.col("group").alias("truth")).agg(F.count(F.lit(1)).alias("n"))
-    a, b = (metrics.per_truth(f(spark, sf_dir, 1).ranks, (10,)).select("truth", F.col("recall_10").alias(n)) for f, n in ((csls, "model"), (ranking, "baseline")))
+    a, b = (metrics.per_truth(f(spark, sf_dir, 1, known).ranks, (10,)).select("truth", F.col("recall_10").alias(n)) for f, n in ((csls, "model"), (ranking, "baseline")))
     # The bins' edges.
     return metrics.breakdown(depth.join(a, "truth").join(b, "truth"), "n", [1, 2, 4, 8, 20, 60, 1_000_000])
 
