@@ -127,5 +127,33 @@ WITH parts AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+    "op12_importance_resampling": r"""
+WITH rest AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) AS r FROM range(256) t(i)
+), held AS (SELECT list(r ORDER BY i) AS rs FROM rest),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+dw AS (SELECT k, w, count(*) AS n FROM (SELECT k, unnest(w) AS w FROM d) GROUP BY k, w),
+words AS (SELECT w FROM dw UNION SELECT w FROM b),
+cells AS (
+  SELECT w, (4294967295 - list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, CAST(length(h) / 2 AS BIGINT) + 1), lambda j: CAST('0x' || substr(h, 2 * j - 1, 2) AS BIGINT))),
+         lambda c, x: xor(c >> 8, rs[(xor(c, x) & 255) + 1]))) % 10000 AS bucket
+  FROM (SELECT w, hex(encode(w)) AS h FROM words), held
+), s AS (SELECT bucket, sum(n) AS s FROM dw JOIN cells USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN cells USING (w) GROUP BY bucket),
+g AS (
+  SELECT s.bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), weighed AS (SELECT k, sum(n * gain) AS weight FROM dw JOIN cells USING (w) JOIN g USING (bucket) GROUP BY k),
+scored AS (
+  SELECT k, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weighed USING (k)
+), drawn AS (
+  SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+  QUALIFY rank <= 10 * count(*) OVER () // 100
+)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (k)
 """,
 }
