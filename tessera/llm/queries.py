@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language_id, near_dup, packing, quality, resample, suffix_dedup, token_counts, url_filter, vector_search
+from tessera.llm import chat, decontaminate, language_id, near_dup, packing, quality, repair, resample, suffix_dedup, token_counts, url_filter, vector_search
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -82,6 +82,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations")
+    return repair.report(chats, repair.damaged(chats))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -92,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_token_counts, op4_decontamination, op5_minhash_near_dup, op6_best_fit_packing, op7_url_filter, op8_quality_classifier, op9_chat_formatting, op10_exact_top_k, op12_importance_resampling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_token_counts, op4_decontamination, op5_minhash_near_dup, op6_best_fit_packing, op7_url_filter, op8_quality_classifier, op9_chat_formatting, op10_exact_top_k, op11_conversation_repair, op12_importance_resampling, pipeline)}
 
 ORACLES = {
     "op7_url_filter": """

@@ -63,13 +63,3 @@ def test_query(spark):
     target = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = sorted((tuple(r) for r in queries.QUERIES["op12_importance_resampling"](spark, sf).collect()), key=str)
     assert got == brute(docs, target) and sum(r[4] is not None for r in got) > 5
-
-
-def test_sql(spark):
-    import duckdb
-
-    sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for name in ("documents", "benchmark"):
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
-    want = sorted(con.sql(queries.ORACLES["op12_importance_resampling"]).fetchall(), key=str)
-    assert sorted((tuple(r) for r in queries.QUERIES["op12_importance_resampling"](spark, sf).collect()), key=str) == want
