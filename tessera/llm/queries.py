@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language_id, near_dup, packing, quality, repair, resample, suffix_dedup, token_counts, url_filter, vector_search
+from tessera.llm import chat, decontaminate, language_id, near_dup, packing, private, quality, repair, resample, suffix_dedup, token_counts, url_filter, vector_search
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -91,13 +91,17 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_token_counts, op4_decontamination, op5_minhash_near_dup, op6_best_fit_packing, op7_url_filter, op8_quality_classifier, op9_chat_formatting, op10_exact_top_k, op11_conversation_repair, op12_importance_resampling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_token_counts, op4_decontamination, op5_minhash_near_dup, op6_best_fit_packing, op7_url_filter, op8_quality_classifier, op9_chat_formatting, op10_exact_top_k, op11_conversation_repair, op12_importance_resampling, op13_personal_data, pipeline)}
 
 ORACLES = {
     "op7_url_filter": """
