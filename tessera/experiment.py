@@ -87,9 +87,9 @@ def run(signatures: DataFrame, bank: DataFrame, path: str, c: tt.Config, kind: s
         if encoder is not None and not part(name).isEmpty():
             results |= {k: v for k, v in evaluate(model, part(name), ready, f"{name}_").first().asDict().items()}
     cand = bank.select(F.col("pos").alias("cand"))
-    fitted = {"cosine consensus": (scorers.cosine_consensus(part("train"), "pos"), asks(part("test"))), "gene sets": (scorers.gene_set_overlap(part("train"), "pos", gene_set), asks(part("test")).withColumn("vec", scorers.signed("vec", gene_set)))}
+    fitted = {"cosine consensus": (scorers.cosine_consensus(part("train"), "pos"), asks(part("test"))), "gene sets": (scorers.gene_set_overlap(part("train"), "pos", gene_set), scorers.signed(asks(part("test")), gene_set))}
     table = {"model": spark.createDataFrame([{k.removeprefix("test_"): v for k, v in results.items() if k.startswith("test_macro_recall")}])} if any(k.startswith("test_macro_recall") for k in results) else {}
-    table |= {n: metrics.macro_recall(vectors.ranked(q, b, 1).ranks) for n, (b, q) in fitted.items()}
+    table |= {n: metrics.macro_recall(vectors.ranked(q, b, 1, once=True).ranks) for n, (b, q) in fitted.items()}
     one = metrics.chance(cand.agg(F.count(F.lit(1)).alias("n")))
     table["chance"] = one.agg(*[F.max(F.when(F.col("k") == k, F.col("recall"))).alias(f"macro_recall_{k}") for k in metrics.KS])
     top = metrics.ceiling(ready.select(F.sha2(F.to_json("features"), 256).alias("group")))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera import storage
-from tessera.operators.vectors import matrix
+from tessera.operators.vectors import listed, matrix
 
 # What stands for no value, what stands for true, and the factor that makes a MAD a standard deviation.
 PLACEHOLDERS = ["restricted", "nan", "", "none", "-666"]
@@ -141,8 +141,7 @@ def _robust(names: list[str], vec: str):
             v = matrix(b.column(vec))
             off = v - np.median(v, 1, keepdims=True) if v.size else v
             z = off / (MAD * np.median(np.abs(off), 1, keepdims=True) + 1e-6) if v.size else v
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel()))
-            yield pa.record_batch([flat if c == vec else b.column(c) for c in names], names=names)
+            yield pa.record_batch([listed(z) if c == vec else b.column(c) for c in names], names=names)
 
     return run
 

@@ -102,7 +102,7 @@ def profile(queries: DataFrame) -> DataFrame:
 def hits(queries: DataFrame, bank: DataFrame, k: int | None = 25) -> DataFrame:
     """(query, rank, compound_id, cosine, moa, target, smiles): the k best of bank (cand, vec, moa, targets, smiles), or all."""
     asks = queries.select("query", F.lit(None).alias("truth"), "vec")
-    top = vectors.ranked(asks, bank.select("cand", "vec"), bank.count() if k is None else k).topk
+    top = vectors.ranked(asks, bank.select("cand", "vec"), bank.count() if k is None else k, once=True).topk
     named = top.join(bank.select("cand", "moa", "targets", "smiles"), "cand")
     return named.select("query", F.col("r").alias("rank"), F.col("cand").alias("compound_id"), (F.col("u") / vectors.UNIT).alias("cosine"), "moa", F.array_join("targets", ",").alias("target"), "smiles")
 

@@ -16,8 +16,16 @@ from tessera.operators import metrics, splits
 KIND = "trt_cp"  # fixed value: the type of a compound's signature
 
 
+def once(compounds: DataFrame) -> DataFrame:
+    """One row an id. Of repeated ids the row with a usable structure wins, then the least in the order of its columns; a
+    reader that knows the file's order has taken the first already (see sources/tables.py)."""
+    others = [c for c in compounds.columns if c != "pert_id"]
+    order = F.struct(ms.valued("smiles").isNull().alias("_none"), *[F.col(c).cast("string").alias(c) for c in others])
+    return compounds.groupBy("pert_id").agg(F.min_by(F.struct(*others), order).alias("one")).select("pert_id", "one.*")
+
+
 def stages(signatures: DataFrame, compounds: DataFrame, least_tas: float | None, exemplar: bool) -> tuple[DataFrame, list[tuple[str, Column | None]]]:
-    usable = compounds.where(ms.valued("smiles").isNotNull()).select("pert_id", F.lit(True).alias("usable"))
+    usable = once(compounds).where(ms.valued("smiles").isNotNull()).select("pert_id", F.lit(True).alias("usable"))
     rows = signatures.join(usable, "pert_id", "left")
     return rows, [
         ("type", F.col("pert_type") == KIND),
@@ -35,7 +43,7 @@ def census(signatures: DataFrame, compounds: DataFrame, least_tas: float | None
         keep = keep & F.coalesce(c, F.lit(False)) if c is not None else keep
     kept = storage.written(rows.where(keep).drop("usable"), "census")
     each = ms.depths(kept, "pert_id").where(F.col("n") >= least_rows)
-    bank = compounds.join(each.select("pert_id"), "pert_id", "left_semi")
+    bank = once(compounds).join(each.select("pert_id"), "pert_id", "left_semi")
     before = rows.where(F.coalesce(steps[0][1], F.lit(False)) & F.coalesce(steps[3][1], F.lit(False)))
     n = each.agg(F.count(F.lit(1)).alias("n"))
     return {
@@ -67,7 +75,7 @@ def prepare(signatures: DataFrame, compounds: DataFrame, genes: DataFrame, matri
     cells = storage.written(splits.codes(kept, "cell").withColumnRenamed("code", "cell_index"), "cells")
     vec = selected(matrix, kept.select("sig_id"), genes, robust)
     got = kept.join(places, "pert_id").join(cells, "cell", "left").join(vec, "sig_id")
-    bank = places.join(compounds, "pert_id").select("pos", F.col("pert_id").alias("compound_id"), "smiles", ms.valued("moa").alias("moa"), F.coalesce(F.transform(ms.many("target"), lambda x: F.trim(x)), F.array().cast("array<string>")).alias("targets"))
+    bank = places.join(once(compounds), "pert_id").select("pos", F.col("pert_id").alias("compound_id"), "smiles", ms.valued("moa").alias("moa"), F.coalesce(F.transform(ms.many("target"), lambda x: F.trim(x)), F.array().cast("array<string>")).alias("targets"))
     known = lambda t: F.filter(t, lambda x: ~F.lower(F.trim(x)).isin(ms.PLACEHOLDERS))
     return {
         "bank": bank.withColumn("targets", known(F.col("targets"))),
@@ -80,11 +88,13 @@ def prepare(signatures: DataFrame, compounds: DataFrame, genes: DataFrame, matri
 def selected(matrix: DataFrame, wanted: DataFrame, genes: DataFrame, robust: bool = False) -> DataFrame:
     """(sig_id, vec) of the wanted signatures and genes, in the genes' order; ids that the matrix lacks are left out.
 
-    Both selections reach the scan as semi-joins; neither id at all in the matrix is an error.
+    Both selections reach the scan as semi-joins; neither id at all in the matrix is an error. A cell that the matrix holds
+    more than once counts as the mean of its values.
     """
     order = genes.select("gene_id", "ord").dropDuplicates(["gene_id"])
     some = matrix.join(wanted.select("sig_id").distinct(), "sig_id", "left_semi").join(F.broadcast(order), "gene_id")
-    held = some.groupBy("sig_id").agg(F.map_from_entries(F.collect_list(F.struct("ord", F.col("value").cast("double")))).alias("held"))  # a value a gene
+    cells = some.groupBy("sig_id", "ord").agg(F.avg(F.col("value").cast("double")).alias("value"))
+    held = cells.groupBy("sig_id").agg(F.map_from_entries(F.collect_list(F.struct("ord", "value"))).alias("held"))  # a value a gene
     lists = order.agg(F.sort_array(F.collect_list("ord")).alias("order"))  # a row of all genes
     full = held.crossJoin(F.broadcast(lists)).select("sig_id", F.transform("order", lambda o: F.coalesce(F.try_element_at("held", o), F.lit(0e0))).alias("vec"))
     full = storage.written(full, "vectors")

@@ -3,7 +3,9 @@
 A candidate without training rows is absent from the bank, so its score is below every other's.
 """
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import storage
@@ -15,16 +17,30 @@ def cosine_consensus(train: DataFrame, group: str = "group") -> DataFrame:
     return vectors.consensus(train, group).select(F.col(group).alias("cand"), "vec")
 
 
-def signed(vec: str, n: int) -> Column:
-    """1 at the n largest components, -1 at the n smallest, which win where both claim one; ties go to the first place."""
-    pairs = lambda sign: F.array_sort(F.transform(vec, lambda x, i: F.struct((x * sign).alias("x"), i.alias("i"))))
-    top, low = (F.transform(F.slice(pairs(s), 1, n), lambda p: p["i"]) for s in (-1, 1))
-    return F.transform(vec, lambda x, i: F.when(F.array_contains(low, i), -1e0).when(F.array_contains(top, i), 1e0).otherwise(0e0))
+def _signs(names: list[str], vec: str, n: int):
+    def run(batches):
+        for b in batches:
+            v = vectors.matrix(b.column(vec))
+            out, rows = np.zeros(v.shape), np.arange(len(v))[:, None]
+            out[rows, np.argsort(-v, axis=1, kind="stable")[:, :n]] = 1
+            out[rows, np.argsort(v, axis=1, kind="stable")[:, :n]] = -1
+            yield pa.record_batch([vectors.listed(out) if c == vec else b.column(c) for c in names], names=names)
+
+    return run
+
+
+def signed(rows: DataFrame, n: int, vec: str = "vec") -> DataFrame:
+    """rows with vec as signs: 1 at the n largest components, -1 at the n smallest, which win where both claim one, else 0.
+
+    Ties go to the first place. Each vector is sorted twice, whatever n. Rows without a whole vector stay out.
+    """
+    good = rows.where(vectors.whole(vec)).withColumn(vec, F.col(vec).cast("array<double>"))
+    return good.mapInArrow(_signs(good.columns, vec, n), good.schema)
 
 
 def gene_set_overlap(train: DataFrame, group: str = "group", n: int = 100) -> DataFrame:
     """(cand, vec): signed indicators of the mean vectors. Against signed queries, n times the score is 2 n times the cosine."""
-    return cosine_consensus(train, group).select("cand", signed("vec", n).alias("vec"))
+    return signed(cosine_consensus(train, group), n)
 
 
 def nearest_transfer(train: DataFrame, bits: DataFrame, group: str = "group", k: int = 1) -> DataFrame:
@@ -33,7 +49,7 @@ def nearest_transfer(train: DataFrame, bits: DataFrame, group: str = "group", k:
     own = storage.written(cosine_consensus(train, group), "consensus")
     donors = bits.join(own.select("cand"), "cand", "left_semi")
     needy = bits.join(own.select("cand"), "cand", "left_anti").select(F.col("cand").alias("query"), F.lit(None).alias("truth"), "vec")
-    near = vectors.ranked(needy, donors, k, measure="tanimoto").topk
+    near = vectors.ranked(needy, donors, k, measure="tanimoto", once=True).topk
     met = near.join(own, "cand").select("query", "r", "cand", (F.col("u") / vectors.UNIT).alias("s"), "vec")
     got = met.groupBy("query").agg(F.min_by("cand", "r").alias("donor"), F.max("s").alias("similarity"), F.sum("s").alias("total"), F.array_sort(F.collect_list(F.struct("r", "s", "vec"))).alias("lent"))  # k rows
     if k == 1:

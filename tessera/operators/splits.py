@@ -75,7 +75,7 @@ def group_split(items: DataFrame, group: str, key: str, weight: str | None = Non
     sums = rows.where("group is not null").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("weight"), F.min("key").alias("first"))
     sums = storage.written(sums, "groups")
     total = sums.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))
-    ordered = sums.crossJoin(F.broadcast(total)).orderBy(F.desc("weight"), F.desc("n"), "first").coalesce(1)
+    ordered = sums.crossJoin(F.broadcast(total)).repartition(1).sortWithinPartitions(F.desc("weight"), F.desc("n"), "first")
     kind = sums.schema["group"].dataType
     dealt = ordered.mapInArrow(_assign(shares), T.StructType([T.StructField("group", kind), T.StructField("at", T.IntegerType())]))
     full = rows.join(dealt, "group", "left")

@@ -23,7 +23,10 @@ SMALL = 32 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of one length, as doubles."""
+    """Rows as doubles, a null component as NaN. Rows of different lengths are an error, never mixed."""
+    size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), -1))
+    if len(size) and (size != size[0]).any():
+        raise ValueError(f"vectors of different lengths, among them {size[0]} and {size[size != size[0]][0]}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
@@ -42,67 +45,77 @@ def unit(vec: str, least: float = 1e-9) -> Column:
     return F.transform(vec, lambda x: x.cast("double") / n)
 
 
-def _sums(key: str, vec: str, counted: bool):
-    def run(batches):
-        held: dict = {}
-
-        def out():
-            keys = list(held)
-            rows = [held[k] for k in keys]
-            return pa.record_batch([pa.array(keys, kind), pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int64())], names=["key", "vec", "n"])
-
-        for b in batches:
-            kind = b.column(key).type
-            keys, v = b.column(key).to_pylist(), matrix(b.column(vec))
-            n = np.asarray(b.column("n")) if counted else np.ones(len(keys), np.int64)
-            for k in range(len(keys)):
-                mine = held.get(keys[k])
-                if mine is None:
-                    if len(held) >= KEYS:
-                        yield out()
-                        held.clear()
-                    held[keys[k]] = [v[k].copy(), int(n[k])]
-                else:
-                    mine[0] += v[k]
-                    mine[1] += int(n[k])
-        if held:
-            yield out()
+def _summed(keys: pa.Array, v: np.ndarray, n: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """One row a key, in the order in which keys appear."""
+    codes = pa.compute.dictionary_encode(keys)
+    code = np.asarray(codes.indices)
+    by = np.argsort(code, kind="stable")
+    first = np.searchsorted(code[by], np.arange(len(codes.dictionary)))
+    return codes.dictionary, np.add.reduceat(v[by], first, axis=0), np.add.reduceat(n[by], first)
 
-    return run
+
+def _sums(batches):
+    """Partial sums of the whole vectors, of up to KEYS keys at once."""
+    held: list = []
+
+    def out(parts):
+        if len({v.shape[1] for _, v, _ in parts}) > 1:
+            raise ValueError(f"vectors of different lengths: {sorted({v.shape[1] for _, v, _ in parts})}")
+        keys, v, n = _summed(pa.concat_arrays([k for k, *_ in parts]), np.concatenate([v for _, v, _ in parts]), np.concatenate([n for *_, n in parts]))
+        return keys, v, n
+
+    for b in batches:
+        v = matrix(b.column("vec"))
+        good = np.isfinite(v).all(1)
+        if good.any():
+            held.append(_summed(b.column("key").filter(pa.array(good)), v[good], np.ones(good.sum(), np.int64)))
+        if sum(len(k) for k, *_ in held) > KEYS:
+            held = [out(held)]
+            if len(held[0][0]) > KEYS // 2:
+                yield _rows(*held.pop())
+    if held:
+        yield _rows(*out(held))
 
 
 def consensus(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
-    """(key, vec, n): the plain mean of each key's vectors and their number. Null keys and vectors take no part.
+    """(key, vec, n): the plain mean of each key's vectors and their number. Null keys take no part, nor do vectors that are
+    null or hold a component that is null or not finite. Vectors of different lengths are an error.
 
-    Sums are formed in the scan first, so a key with a third of the rows sends one row a task.
+    Sums are formed in the scan first, so a key with a third of the rows sends a row or a few a task.
     """
     good = rows.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
     schema = T.StructType([T.StructField("key", good.schema["key"].dataType), T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
-    some = good.mapInArrow(_sums("key", "vec", False), schema).repartition(storage.partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    some = good.mapInArrow(_sums, schema).repartition(storage.partitions(rows.sparkSession), "key").sortWithinPartitions("key")
     full = some.mapInArrow(_merged, schema)
     return full.select(F.col("key").alias(key), F.transform("vec", lambda x: x / F.col("n")).alias(vec), "n")
 
 
 def _merged(batches):
-    """Partial sums in order of their key, to one sum a key."""
-    now, kind = None, None
+    """Partial sums in order of their key, to one sum a key. The last key of a batch waits for the next batch."""
+    wait = None
     for b in batches:
-        kind = b.column("key").type
-        keys, v, n, done = b.column("key").to_pylist(), matrix(b.column("vec")), np.asarray(b.column("n")), []
-        for k in range(len(keys)):
-            if now is not None and now[0] == keys[k]:
-                now = (keys[k], now[1] + v[k], now[2] + int(n[k]))
-            else:
-                done += [now] if now is not None else []
-                now = (keys[k], v[k].copy(), int(n[k]))
-        if done:
-            yield _rows(done, kind)
-    if now is not None:
-        yield _rows([now], kind)
+        if not b.num_rows:
+            continue
+        part = b.column("key"), matrix(b.column("vec")), np.asarray(b.column("n"))
+        if wait is not None:
+            if wait[1].shape[1] != part[1].shape[1]:
+                raise ValueError(f"vectors of different lengths: {wait[1].shape[1]} and {part[1].shape[1]}")
+            part = pa.concat_arrays([wait[0], part[0]]), np.concatenate((wait[1], part[1])), np.concatenate((wait[2], part[2]))
+        keys, v, n = _summed(*part)
+        wait = keys[-1:], v[-1:], n[-1:]
+        if len(keys) > 1:
+            yield _rows(keys[:-1], v[:-1], n[:-1])
+    if wait is not None:
+        yield _rows(*wait)
+
 
+def _rows(keys: pa.Array, v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([keys, listed(v), pa.array(n)], names=["key", "vec", "n"])
 
-def _rows(done, kind):
-    return pa.record_batch([pa.array([r[0] for r in done], kind), pa.array([r[1] for r in done], pa.list_(pa.float64())), pa.array([r[2] for r in done], pa.int64())], names=["key", "vec", "n"])
+
+def listed(v: np.ndarray) -> pa.ListArray:
+    """A matrix's rows as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(np.ascontiguousarray(v).ravel()))
 
 
 def _packed(batches):
@@ -131,15 +144,21 @@ def grid(queries: DataFrame, bank: DataFrame, work, schema: T.StructType | str,
     parts = storage.partitions(queries.sparkSession)
     across = max(1, math.ceil(n_queries / HELD), min(math.ceil(n_queries / BLOCK), math.ceil(math.sqrt(parts * n_queries / max(1, n_bank)))))
     down = max(1, min(math.ceil(n_bank / BLOCK), math.ceil(parts / across)))
+    return dealt(blocks(queries), blocks(bank), work, schema, across, down)
+
+
+def dealt(queries: DataFrame, bank: DataFrame, work, schema: T.StructType | str, across: int, down: int) -> DataFrame:
+    """work on the cells of a grid of so many parts of packed queries and so many of a packed bank (see grid)."""
+    parts = storage.partitions(queries.sparkSession)
     deal = lambda df, name, n: df.withColumn(name, F.pmod(F.xxhash64("block"), F.lit(n)).cast("int"))
     each = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     sides = []
     for kind, df in enumerate((queries, bank)):
-        df = blocks(df).withColumn("block", F.monotonically_increasing_id())
+        df = df.withColumn("block", F.monotonically_increasing_id())
         df = each(deal(df, "c", across), "r", down) if kind == 0 else each(deal(df, "r", down), "c", across)
         sides.append(df.select("r", "c", F.lit(kind).alias("kind"), *[F.col(c).alias(f"{'qb'[kind]}_{c}") for c in df.columns if c not in ("r", "c", "block")]))
-    dealt = sides[0].unionByName(sides[1], allowMissingColumns=True).repartition(parts, "r", "c").sortWithinPartitions("r", "c", "kind")
-    return dealt.mapInArrow(_cells(work), schema)
+    both = sides[0].unionByName(sides[1], allowMissingColumns=True).repartition(parts, "r", "c").sortWithinPartitions("r", "c", "kind")
+    return both.mapInArrow(_cells(work), schema)
 
 
 def _cells(work):
@@ -241,6 +260,12 @@ def _whole(bank, work):
     return run
 
 
+def whole(vec: str) -> Column:
+    """Whether a vector's length is a finite number, so that all its components are."""
+    n = norm(F.col(vec).cast("array<double>"))
+    return n.isNotNull() & ~F.isnan(n) & (n < float("inf"))
+
+
 class Ranking:
     """topk (query, r from 1, cand, u) and ranks (query, truth, rank0) of a set of queries against a bank."""
 
@@ -248,26 +273,31 @@ class Ranking:
         self.topk, self.ranks, self.n_bank = topk, ranks, n_bank
 
 
-def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = False, measure: str = "cosine") -> Ranking:
+def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = False, measure: str = "cosine", once: bool = False) -> Ranking:
     """Ranks bank (cand, vec; and penalty, if asked for) for queries (query, truth, vec) by the cosine.
 
     By the measure tanimoto, vec holds bits, 0 or 1; two empty sets score 0. rank0 counts the candidates whose score is above the truth's, which the bank may not hold: then all of it is above.
-    Queries have an id of their own each. With a penalty, the score is twice the cosine less the candidate's penalty. No queries, or an empty bank, give empty
-    tables; k may exceed the bank.
+    A repeated id of a query or a candidate is an error, raised where the result is read. With a penalty, the score is twice the
+    cosine less the candidate's penalty. Vectors that are null or not finite throughout take no part. No queries, or an empty
+    bank, give empty tables; k may exceed the bank. once says that either topk or ranks is read, a single time, so what the
+    tasks give need not be written.
     """
     if measure not in ("cosine", "tanimoto"):
         raise ValueError(f"unknown measure {measure!r}")
     ready = unit("vec") if measure == "cosine" else F.col("vec").cast("array<double>")
-    bank = storage.written(bank.where("cand is not null and vec is not null").select("cand", ready.alias("vec"), *(["penalty"] if penalty else [])), "bank")
-    asks = queries.where("query is not null and vec is not null").select("query", F.col("truth").cast(bank.schema["cand"].dataType).alias("truth"), ready.alias("vec"))
+    bank = storage.written(bank.where(F.col("cand").isNotNull() & whole("vec")).select("cand", ready.alias("vec"), *(["penalty"] if penalty else [])), "bank")
+    asks = queries.where(F.col("query").isNotNull() & whole("vec")).select("query", F.col("truth").cast(bank.schema["cand"].dataType).alias("truth"), ready.alias("vec"))
     kind, name = bank.schema["cand"].dataType, asks.schema["query"].dataType
     schema = T.StructType([T.StructField("query", name), T.StructField("cand", kind), T.StructField("u", T.LongType()), T.StructField("above", T.LongType())])
-    n_bank, width = bank.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    n_bank, width, names = bank.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.count_distinct("cand")).first()
+    if names < n_bank:
+        raise ValueError("candidates with the same id")
     asks = asks.withColumnRenamed("query", "id")
-    if n_bank and n_bank * width * 8 <= SMALL:  # its size is checked; a larger bank is dealt in blocks
+    small = n_bank and n_bank * width * 8 <= SMALL  # its size is checked; a larger bank is dealt in blocks
+    if small:
         table = bank.toArrow()
-        whole = {"id": table["cand"].combine_chunks(), "vec": matrix(table["vec"].combine_chunks())} | ({"penalty": table["penalty"].combine_chunks()} if penalty else {})
-        got = asks.mapInArrow(_whole(queries.sparkSession.sparkContext.broadcast(whole), _ranked(k, measure)), schema)
+        held = {"id": table["cand"].combine_chunks(), "vec": matrix(table["vec"].combine_chunks())} | ({"penalty": table["penalty"].combine_chunks()} if penalty else {})
+        got = asks.mapInArrow(_whole(queries.sparkSession.sparkContext.broadcast(held), _ranked(k, measure)), schema)
     else:
         known = bank.select(F.col("cand").alias("truth"), F.col("vec").alias("theirs"), *(["penalty"] if penalty else []))
         score = dot(F.col("vec"), F.col("theirs"))
@@ -275,11 +305,20 @@ def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = Fal
             score = score / F.greatest(dot(F.col("vec"), F.col("vec")) + dot(F.col("theirs"), F.col("theirs")) - score, F.lit(1e0))
         score = 2 * score - F.col("penalty") if penalty else score
         asks = storage.written(asks.join(known, "truth", "left").select("id", "truth", F.rint(score * UNIT).alias("own"), "vec"), "queries")
-        got = grid(asks, bank.withColumnRenamed("cand", "id"), _ranked(k, measure), schema, asks.count(), n_bank)
-    got = storage.written(got, "ranking")
-    r = F.row_number().over(W.partitionBy("query").orderBy(F.desc("u"), "cand"))
-    topk = got.where("above is null").withColumn("r", r).where(F.col("r") <= k).select("query", "r", "cand", "u")
-    ranks = got.where("above is not null").groupBy("query").agg(F.sum("above").alias("rank0"))
+        n_asks, names = asks.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+        if names < n_asks:
+            raise ValueError("queries with the same id")
+        got = grid(asks, bank.withColumnRenamed("cand", "id"), _ranked(k, measure), schema, n_asks, n_bank)
+    got = got if once else storage.written(got, "ranking")
+    by = W.partitionBy("query")
+    topk, ranks = got.where("above is null"), got.where("above is not null")
+    rank0 = F.sum("above")
+    if small:  # a query gives as many rows as it has best candidates, and one count, but for one that stands there twice
+        twice = F.raise_error(F.concat(F.lit("queries with the same id: "), F.col("query").cast("string")))
+        topk = topk.withColumn("u", F.when(F.count(F.lit(1)).over(by) > min(k, n_bank), twice.cast("long")).otherwise(F.col("u")))
+        rank0 = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("queries with the same id: "), F.max(F.col("query").cast("string")))).cast("long")).otherwise(rank0)
+    topk = topk.withColumn("r", F.row_number().over(by.orderBy(F.desc("u"), "cand"))).where(F.col("r") <= k).select("query", "r", "cand", "u")
+    ranks = ranks.groupBy("query").agg(rank0.alias("rank0"))
     ranks = queries.where("query is not null").select("query", F.col("truth").cast(kind).alias("truth")).join(ranks, "query").select("query", "truth", "rank0")
     return Ranking(topk, ranks, n_bank)
 
@@ -288,6 +327,6 @@ def hub_penalty(queries: DataFrame, bank: DataFrame, r: int = 10) -> DataFrame:
     """bank with penalty: each candidate's mean cosine, in whole millionths before the mean, to its r nearest queries."""
     bank = storage.written(bank.select("cand", "vec"), "bank")  # read as queries and again with the penalty: aggregated once
     asked = bank.select(F.col("cand").alias("query"), F.lit(None).cast(queries.schema["query"].dataType).alias("truth"), "vec")
-    near = ranked(asked, queries.select(F.col("query").alias("cand"), "vec"), r).topk
+    near = ranked(asked, queries.select(F.col("query").alias("cand"), "vec"), r, once=True).topk
     mean = near.groupBy(F.col("query").alias("cand")).agg((F.sum("u") / F.count("u") / UNIT).alias("penalty"))
     return bank.join(mean, "cand", "left").select("cand", "vec", F.coalesce("penalty", F.lit(0e0)).alias("penalty"))

@@ -41,13 +41,13 @@ def notes(bank_: DataFrame, divisor: int, none: int) -> DataFrame:
     return bank_.select("cand", F.when(F.col("cand") % divisor != none, (F.col("cand") % divisor).cast("string")).alias("label"))
 
 
-def ranking(spark, sf_dir, k: int = 50, known: DataFrame | None = None) -> vectors.Ranking:
-    return vectors.ranked(asks(spark, sf_dir), known or bank(spark, sf_dir), k)
+def ranking(spark, sf_dir, k: int = 50, known: DataFrame | None = None, once: bool = True) -> vectors.Ranking:
+    return vectors.ranked(asks(spark, sf_dir), known or bank(spark, sf_dir), k, once=once)
 
 
-def csls(spark, sf_dir, k: int = 50, known: DataFrame | None = None) -> vectors.Ranking:
+def csls(spark, sf_dir, k: int = 50, known: DataFrame | None = None, once: bool = True) -> vectors.Ranking:
     q = asks(spark, sf_dir)
-    return vectors.ranked(q, vectors.hub_penalty(q, known or bank(spark, sf_dir), 10), k, penalty=True)
+    return vectors.ranked(q, vectors.hub_penalty(q, known or bank(spark, sf_dir), 10), k, penalty=True, once=once)
 
 
 def bits(spark, sf_dir) -> DataFrame:
@@ -56,8 +56,8 @@ def bits(spark, sf_dir) -> DataFrame:
 
 
 def overlap(spark, sf_dir, n: int = 10, k: int = 50) -> vectors.Ranking:
-    q = asks(spark, sf_dir).withColumn("vec", scorers.signed("vec", n))
-    return vectors.ranked(q, scorers.gene_set_overlap(rows(spark, sf_dir).where("not asked"), n=n), k)
+    q = scorers.signed(asks(spark, sf_dir), n)
+    return vectors.ranked(q, scorers.gene_set_overlap(rows(spark, sf_dir).where("not asked"), n=n), k, once=True)
 
 
 def transfer(spark, sf_dir, k: int = 1) -> DataFrame:
@@ -88,13 +88,13 @@ def per_compound_recall(spark, sf_dir):
 
 def group_hit(spark, sf_dir):
     b = written_bank(spark, sf_dir)
-    got = ranking(spark, sf_dir, known=b)
+    got = ranking(spark, sf_dir, known=b, once=False)
     return metrics.group_hit(got.topk, got.ranks, notes(b, 7, 6), prefix="moa")
 
 
 def metric_bundle(spark, sf_dir):
     b = written_bank(spark, sf_dir)
-    return metrics.bundle(ranking(spark, sf_dir, known=b), notes(b, 7, 6), notes(b, 5, 4), prefix="test_")
+    return metrics.bundle(ranking(spark, sf_dir, known=b, once=False), notes(b, 7, 6), notes(b, 5, 4), prefix="test_")
 
 
 def comparison_table(spark, sf_dir):
@@ -117,7 +117,7 @@ def hub_occupancy(spark, sf_dir):
 def hubness_report(spark, sf_dir):
     """The counts and the macro recall at 10, with the penalty and without."""
     out, b = None, written_bank(spark, sf_dir)
-    for arm, got in (("cosine", ranking(spark, sf_dir, 10, b)), ("csls", csls(spark, sf_dir, 10, b))):
+    for arm, got in (("cosine", ranking(spark, sf_dir, 10, b, False)), ("csls", csls(spark, sf_dir, 10, b, False))):
         one = metrics.hubness(got.topk, b, 10).crossJoin(metrics.macro_recall(got.ranks, (10,)).select("macro_recall_10"))
         one = one.select(F.lit(arm).alias("arm"), *one.columns)
         out = one if out is None else out.unionByName(one)
@@ -152,7 +152,7 @@ def restricted_bank(spark, sf_dir):
     deep = depth.join(F.broadcast(depth.agg(F.avg("n").alias("mean")))).where("n >= mean").select("group")
     b = scorers.cosine_consensus(splits.subset(train, deep, "group"))
     q = splits.subset(asks(spark, sf_dir).withColumnRenamed("truth", "group"), deep, "group").withColumnRenamed("group", "truth")
-    got = vectors.ranked(q, b, 1)
+    got = vectors.ranked(q, b, 1, once=True)
     return got.ranks.select(F.col("query").alias("vec_id"), "truth", "rank0", F.lit(got.n_bank).cast("long").alias("bank"), F.round(F.least(F.lit(10), F.lit(got.n_bank)) / F.lit(max(1, got.n_bank)), 6).alias("chance_10"))
 
 
@@ -169,7 +169,7 @@ def transfer_ranks(spark, sf_dir, lent: DataFrame | None = None):
     """Vectors of compounds without training rows, ranked against a bank that borrows their vectors."""
     held = splits.hashed("group", "c") < "4"
     q = rows(spark, sf_dir).where(held).select(F.col("key").alias("query"), F.col("group").alias("truth"), "vec")
-    return vectors.ranked(q, lent or transfer(spark, sf_dir), 1).ranks.select(F.col("query").alias("vec_id"), "truth", "rank0")
+    return vectors.ranked(q, lent or transfer(spark, sf_dir), 1, once=True).ranks.select(F.col("query").alias("vec_id"), "truth", "rank0")
 
 
 def transfer_weighted(spark, sf_dir):

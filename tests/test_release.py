@@ -166,3 +166,15 @@ def test_attach_and_reports(spark):
     assert release.filter_tag() == "" and release.filter_tag(1, 24, 0.25, 20) == "dose1_time24_loo0.25_depth20"
     with pytest.raises(ValueError):
         release.spaces("Z9")
+
+
+def test_repeated_compounds_and_cells(spark):
+    sigs = spark.createDataFrame([(f"s{k}", "P1", "trt_cp", 0.5, "1", "C0", 1.0, 6.0) for k in range(3)], "sig_id string, pert_id string, pert_type string, tas double, is_exemplar string, cell string, dose double, time double")
+    mol = spark.createDataFrame([("P1", "restricted", "m0", "T0"), ("P1", "CC", "m1", "T1"), ("P1", "CC", "m1", "T1"), ("P1", "CCC", "m2", "T2")], "pert_id string, smiles string, moa string, target string")
+    genes = spark.createDataFrame([("g0", 0), ("g1", 1), ("g1", 1)], "gene_id string, ord long")
+    cells = spark.createDataFrame([("s0", "g0", 1.0), ("s0", "g0", 3.0), ("s1", "g1", 4.0)], "sig_id string, gene_id string, value double")
+    got = release.census(sigs, mol)
+    assert [(r["rows"], r["items"]) for r in got["cascade"].orderBy("stage_no").collect()] == [(3, 1)] * 4 and got["groups"].first().groups == 1
+    made = release.prepare(sigs, mol, genes, cells)
+    assert [(r.pos, r.smiles, r.moa) for r in made["bank"].collect()] == [(0, "CC", "m1")]
+    assert {r.sig_id: r.vec for r in made["signatures"].collect()} == {"s0": [2.0, 0.0], "s1": [0.0, 4.0]}

@@ -198,7 +198,8 @@ def test_breakdown_and_edges(spark):
     assert np.isnan(got[0].ratio) and got[1].ratio == float("inf") and got[2].n == 0 and got[2].ratio is None and got[3].ratio == 2
     none = spark.createDataFrame([], "query long, truth long, rank0 long")
     assert metrics.recall(none).first().n_queries == 0 and metrics.macro_recall(none).first().macro_mrr is None
-    signed = spark.createDataFrame([([3.0, 1.0, 2.0, 0.0],)], "vec array<double>").select(scorers.signed("vec", 3).alias("s")).first().s
+    signed = spark.createDataFrame([([3.0, 1.0, 2.0, 0.0],)], "vec array<double>")
+    signed = scorers.signed(signed, 3).first().vec
     assert signed == [1, -1, -1, -1]  # where both claim a place, the low set has it
     zero = spark.createDataFrame([(1, [0.0, 0.0])], "cand long, vec array<double>")
     asks = spark.createDataFrame([(5, 1, [0.0, 0.0])], "query long, truth long, vec array<double>")

@@ -60,3 +60,29 @@ def test_empty(spark):
     assert ve.ranked(queries.limit(0), bank).topk.count() == 0
     got = ve.ranked(queries, bank.limit(0))
     assert got.topk.count() == 0 and all(r.rank0 == 0 for r in got.ranks.collect())
+
+
+def test_odd_vectors_are_refused_or_left_out(spark):
+    kind = "key string, vec array<double>"
+    ragged = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("a", [0.0, 1.0, 0.0, 5.0, 6.0])], kind)
+    for df in (ragged.coalesce(1), ragged.repartition(2)):
+        with pytest.raises(Exception, match="different lengths"):
+            ve.consensus(df, "key").collect()
+    odd = spark.createDataFrame([("a", [1.0, 3.0]), ("a", [None, 1.0]), ("a", [float("nan"), 1.0]), ("a", [float("inf"), 1.0]), ("b", [None, None])], kind)
+    assert [(r.key, r.vec, r.n) for r in ve.consensus(odd, "key").collect()] == [("a", [1.0, 3.0], 1)]
+    asks = odd.withColumnRenamed("key", "query").withColumn("truth", ve.F.lit(None))
+    got = ve.ranked(asks, odd.limit(1).withColumnRenamed("key", "cand"))
+    assert [(r["query"], r.cand) for r in got.topk.collect()] == [("a", "a")]
+
+
+@pytest.mark.parametrize("small", [0, 32 << 20])
+def test_repeated_ids_are_refused(spark, monkeypatch, small):
+    monkeypatch.setattr(ve, "SMALL", small)
+    bank = spark.createDataFrame([(k, [1.0 * k, 1.0]) for k in range(5)], "cand long, vec array<double>")
+    twice = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0])], "query long, truth long, vec array<double>")
+    with pytest.raises(Exception, match="same id"):
+        ve.ranked(twice, bank, 2).topk.collect()
+    with pytest.raises(Exception, match="same id"):
+        ve.ranked(twice, bank, 2).ranks.collect()
+    with pytest.raises(ValueError, match="same id"):
+        ve.ranked(twice.limit(1), bank.unionByName(bank), 2)
