@@ -86,12 +86,11 @@ def consensus(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     good = rows.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
     schema = T.StructType([T.StructField("key", good.schema["key"].dataType), T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
     some = good.mapInArrow(_sums, schema).repartition(storage.partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    full = some.mapInArrow(_merged, schema)
-    return full.select(F.col("key").alias(key), F.transform("vec", lambda x: x / F.col("n")).alias(vec), "n")
+    return some.mapInArrow(_means, schema).toDF(key, vec, "n")
 
 
-def _merged(batches):
-    """Partial sums in order of their key, to one sum a key. The last key of a batch waits for the next batch."""
+def _means(batches):
+    """Partial sums in order of their key, to one mean a key. The last key of a batch waits for the next batch."""
     wait = None
     for b in batches:
         if not b.num_rows:
@@ -104,9 +103,9 @@ def _merged(batches):
         keys, v, n = _summed(*part)
         wait = keys[-1:], v[-1:], n[-1:]
         if len(keys) > 1:
-            yield _rows(keys[:-1], v[:-1], n[:-1])
+            yield _rows(keys[:-1], v[:-1] / n[:-1, None], n[:-1])
     if wait is not None:
-        yield _rows(*wait)
+        yield _rows(wait[0], wait[1] / wait[2][:, None], wait[2])
 
 
 def _rows(keys: pa.Array, v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -199,7 +198,7 @@ def _cells(work):
 
 
 def _ranked(k: int, measure: str):
-    """Of each query and cell: the k best candidates, and one row with the number above the truth's score."""
+    """Of each query and cell: the k best candidates, and one row with the truth as cand and the number above its score."""
 
     def work(queries, bank):
         ids = pa.concat_arrays([q["id"] for q in queries])
@@ -236,7 +235,7 @@ def _ranked(k: int, measure: str):
         if best is not None:
             best = _best(best, k)
             yield from pa.table({"query": ids.take(best["row"].combine_chunks()), "cand": best["cand"], "u": best["u"], "above": pa.nulls(len(best), pa.int64())}).combine_chunks().to_batches()
-        yield pa.record_batch([ids, pa.nulls(len(ids), truth.type), pa.nulls(len(ids), pa.int64()), pa.array(above)], names=["query", "cand", "u", "above"])
+        yield pa.record_batch([ids, truth, pa.nulls(len(ids), pa.int64()), pa.array(above)], names=["query", "cand", "u", "above"])
 
     return work
 
@@ -248,14 +247,26 @@ def _best(rows: pa.Table, k: int) -> pa.Table:
     return rows.filter(pa.array(np.arange(len(row)) - first < k))
 
 
-def _whole(bank, work):
+def units(v: np.ndarray, least: float = 1e-9) -> np.ndarray:
+    """What unit gives, of a matrix's rows."""
+    return v / (np.sqrt((v * v).sum(1, keepdims=True)) + least) if v.size else v
+
+
+def _ready(table, measure: str):
+    """Rows of (id, ..., vec) whose vectors are finite throughout, as columns, and their vectors made ready for the measure."""
+    v = matrix(table["vec"])
+    good = np.isfinite(v).all(1)
+    cols = {c: table[c].filter(pa.array(good)) for c in table.schema.names if c != "vec"}
+    return cols | {"vec": units(v[good]) if measure == "cosine" else v[good]}
+
+
+def _whole(bank, work, measure: str):
     """Every query against a bank that fits a task."""
 
     def run(rows):
         for b in rows:
             for lo in range(0, b.num_rows, BLOCK):
-                part = b.slice(lo, BLOCK)
-                yield from work([{"id": part.column("id"), "truth": part.column("truth"), "vec": matrix(part.column("vec"))}], [bank.value])
+                yield from work([_ready(b.slice(lo, BLOCK), measure)], [bank.value])
 
     return run
 
@@ -276,7 +287,8 @@ class Ranking:
 def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = False, measure: str = "cosine", once: bool = False) -> Ranking:
     """Ranks bank (cand, vec; and penalty, if asked for) for queries (query, truth, vec) by the cosine.
 
-    By the measure tanimoto, vec holds bits, 0 or 1; two empty sets score 0. rank0 counts the candidates whose score is above the truth's, which the bank may not hold: then all of it is above.
+    By the measure tanimoto, vec holds bits, 0 or 1; two empty sets score 0. rank0 counts the candidates whose score is above
+    the truth's, which the bank may not hold: then all of it is above.
     A repeated id of a query or a candidate is an error, raised where the result is read. With a penalty, the score is twice the
     cosine less the candidate's penalty. Vectors that are null or not finite throughout take no part. No queries, or an empty
     bank, give empty tables; k may exceed the bank. once says that either topk or ranks is read, a single time, so what the
@@ -284,21 +296,26 @@ def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = Fal
     """
     if measure not in ("cosine", "tanimoto"):
         raise ValueError(f"unknown measure {measure!r}")
-    ready = unit("vec") if measure == "cosine" else F.col("vec").cast("array<double>")
-    bank = storage.written(bank.where(F.col("cand").isNotNull() & whole("vec")).select("cand", ready.alias("vec"), *(["penalty"] if penalty else [])), "bank")
-    asks = queries.where(F.col("query").isNotNull() & whole("vec")).select("query", F.col("truth").cast(bank.schema["cand"].dataType).alias("truth"), ready.alias("vec"))
-    kind, name = bank.schema["cand"].dataType, asks.schema["query"].dataType
-    schema = T.StructType([T.StructField("query", name), T.StructField("cand", kind), T.StructField("u", T.LongType()), T.StructField("above", T.LongType())])
-    n_bank, width, names = bank.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.count_distinct("cand")).first()
-    if names < n_bank:
-        raise ValueError("candidates with the same id")
+    real = lambda df, *cols: df.where(F.col(cols[0]).isNotNull() & F.col("vec").isNotNull()).select(*cols, F.col("vec").cast("array<double>").alias("vec"))
+    bank = storage.written(real(bank, "cand", *(["penalty"] if penalty else [])), "bank")
+    kind = bank.schema["cand"].dataType
+    asks = real(queries.withColumn("truth", F.col("truth").cast(kind)), "query", "truth")
+    schema = T.StructType([T.StructField("query", asks.schema["query"].dataType), T.StructField("cand", kind), T.StructField("u", T.LongType()), T.StructField("above", T.LongType())])
+    n_bank, width = bank.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     asks = asks.withColumnRenamed("query", "id")
     small = n_bank and n_bank * width * 8 <= SMALL  # its size is checked; a larger bank is dealt in blocks
     if small:
-        table = bank.toArrow()
-        held = {"id": table["cand"].combine_chunks(), "vec": matrix(table["vec"].combine_chunks())} | ({"penalty": table["penalty"].combine_chunks()} if penalty else {})
-        got = asks.mapInArrow(_whole(queries.sparkSession.sparkContext.broadcast(held), _ranked(k, measure)), schema)
+        held = _ready(bank.withColumnRenamed("cand", "id").toArrow().combine_chunks().to_batches()[0], measure)
+        n_bank = len(held["id"])
+        if len(pa.compute.unique(held["id"])) < n_bank:
+            raise ValueError("candidates with the same id")
+        got = asks.mapInArrow(_whole(queries.sparkSession.sparkContext.broadcast(held), _ranked(k, measure), measure), schema)
     else:
+        ready = unit("vec") if measure == "cosine" else F.col("vec")
+        bank, asks = bank.where(whole("vec")).withColumn("vec", ready), asks.where(whole("vec")).withColumn("vec", ready)
+        n_bank, names = bank.agg(F.count(F.lit(1)), F.count_distinct("cand")).first()
+        if names < n_bank:
+            raise ValueError("candidates with the same id")
         known = bank.select(F.col("cand").alias("truth"), F.col("vec").alias("theirs"), *(["penalty"] if penalty else []))
         score = dot(F.col("vec"), F.col("theirs"))
         if measure == "tanimoto":
@@ -318,8 +335,7 @@ def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = Fal
         topk = topk.withColumn("u", F.when(F.count(F.lit(1)).over(by) > min(k, n_bank), twice.cast("long")).otherwise(F.col("u")))
         rank0 = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("queries with the same id: "), F.max(F.col("query").cast("string")))).cast("long")).otherwise(rank0)
     topk = topk.withColumn("r", F.row_number().over(by.orderBy(F.desc("u"), "cand"))).where(F.col("r") <= k).select("query", "r", "cand", "u")
-    ranks = ranks.groupBy("query").agg(rank0.alias("rank0"))
-    ranks = queries.where("query is not null").select("query", F.col("truth").cast(kind).alias("truth")).join(ranks, "query").select("query", "truth", "rank0")
+    ranks = ranks.groupBy("query").agg(F.max("cand").alias("truth"), rank0.alias("rank0"))
     return Ranking(topk, ranks, n_bank)
 
 
