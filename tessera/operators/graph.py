@@ -1,13 +1,10 @@
 """Near-equal vectors as connected components, and groups of equal values."""
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import storage
-from tessera.operators import vectors
+from tessera.operators import metric, vectors
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,31 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def _near(least: int):
-    """Links of equal or near vectors: of each query, one to its smallest near candidate of every block."""
-
-    def work(queries, bank):
-        ids = pa.concat_arrays([q["id"] for q in queries]).to_numpy(zero_copy_only=False)
-        v = np.concatenate([q["vec"] for q in queries])
-        for b in bank:
-            theirs = b["id"].to_numpy(zero_copy_only=False)
-            near = np.rint(v @ b["vec"].T * vectors.UNIT) >= least
-            near &= ids[:, None] != theirs[None, :]
-            i, j = np.nonzero(near)
-            if len(i):
-                yield pa.record_batch([pa.array(ids[i]), pa.array(theirs[j])], names=["a", "b"])
-
-    return work
-
-
 def near_groups(rows: DataFrame, key: str, vec: str = "vec", tolerance: float = 1e-6, standardise: bool = True) -> DataFrame:
     """(key, group): components of vectors whose cosine, after each column is standardised, is at least 1 - tolerance.
 
     group is the smallest key of the component, or null for a vector alone. Equal vectors are one node before any pair is
-    formed, so copies cost no pairs. A column without spread is left at zero.
+    formed, so copies cost no pairs; near vectors are linked as in metric.near_links. A column without spread is left at
+    zero. A vector that is null or not finite throughout is alone.
     """
-    spark = rows.sparkSession
-    good = rows.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec"))
+    good = rows.where(F.col(key).isNotNull() & vectors.whole(vec)).select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec"))
     nodes = storage.written(good.groupBy("vec").agg(F.min("key").alias("node")), "nodes")
     used = nodes
     if standardise:
@@ -66,9 +46,7 @@ def near_groups(rows: DataFrame, key: str, vec: str = "vec", tolerance: float =
         stats = column.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m", "s"))), lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"))).alias("stats"))  # a row a column
         used = nodes.crossJoin(F.broadcast(stats)).select("node", F.zip_with("vec", "stats", lambda x, s: F.when(s["s"] > 1e-9, (x - s["m"]) / s["s"]).otherwise(F.lit(0e0))).alias("vec"))
     unit = storage.written(used.select(F.col("node").alias("id"), vectors.unit("vec").alias("vec")), "unit")
-    n = unit.count()
-    edges = vectors.grid(unit, unit, _near(round((1 - tolerance) * vectors.UNIT)), "a long, b long", n, n).where("a < b") if n else spark.createDataFrame([], "a long, b long")
-    comp = components(edges)
+    comp = components(metric.near_links(unit, round((1 - tolerance) * vectors.UNIT)))
     group = nodes.join(comp, "node", "left").select("vec", F.coalesce("comp", "node").alias("group"))
     full = good.join(group, "vec").select("key", "group")
     sizes = full.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
