@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import storage
-from tessera.operators import vectors
+from tessera.operators import fingerprints, vectors
 
 
 def cosine_consensus(train: DataFrame, group: str = "group") -> DataFrame:
@@ -47,9 +47,9 @@ def nearest_transfer(train: DataFrame, bits: DataFrame, group: str = "group", k:
     """(cand, vec, donor, similarity): means of the groups that have rows, and for each other candidate of bits (cand, vec of
     0 and 1) that of the most similar one that has, or of the k most similar, weighted by their similarity."""
     own = storage.written(cosine_consensus(train, group), "consensus")
-    donors = bits.join(own.select("cand"), "cand", "left_semi")
-    needy = bits.join(own.select("cand"), "cand", "left_anti").select(F.col("cand").alias("query"), F.lit(None).alias("truth"), "vec")
-    near = vectors.ranked(needy, donors, k, measure="tanimoto", once=True).topk
+    sets = bits.select("cand", fingerprints.packed("vec").alias("words"))
+    donors, needy = (sets.join(own.select("cand"), "cand", f"left_{how}") for how in ("semi", "anti"))
+    near = fingerprints.nearest(needy.withColumnRenamed("cand", "query"), donors, k)
     met = near.join(own, "cand").select("query", "r", "cand", (F.col("u") / vectors.UNIT).alias("s"), "vec")
     got = met.groupBy("query").agg(F.min_by("cand", "r").alias("donor"), F.max("s").alias("similarity"), F.sum("s").alias("total"), F.array_sort(F.collect_list(F.struct("r", "s", "vec"))).alias("lent"))  # k rows
     if k == 1:
