@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera import storage
+from tessera.operators import order
 from tessera.operators.vectors import listed, matrix
 
 # What stands for no value, what stands for true, and the factor that makes a MAD a standard deviation.
@@ -112,23 +113,18 @@ def aliases(*kinds: tuple[DataFrame, str, str]) -> DataFrame:
 
 
 def medians(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    """(key..., median), exact. A key's values are spread over tasks by their range, so a key with most rows is no bottleneck."""
-    good = rows.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("x"))
-    dealt = good.repartitionByRange(storage.partitions(rows.sparkSession), *key, "x").withColumn("part", F.spark_partition_id())
-    table = storage.written(dealt, "ranges")
-    counts = table.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("c"))  # a row a key and range
-    by = W.partitionBy(*key)
-    counts = counts.select(*key, "part", F.coalesce(F.sum("c").over(by.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(by).alias("n"))
-    at = F.row_number().over(W.partitionBy(*key, "part").orderBy("x")) - 1 + F.col("before")
-    middle = table.join(counts, [*key, "part"]).withColumn("at", at).where((F.col("at") == F.floor((F.col("n") - 1) / 2)) | (F.col("at") == F.floor(F.col("n") / 2)))
-    return middle.groupBy(*key).agg(F.avg("x").alias("median"))
+    """(key..., median), exact, from counts of values (see order.cumulative): neither a key nor a value with most rows is a
+    bottleneck."""
+    return order.quantile(rows, key, value, 0.5, "median")
 
 
 def spread(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    """(key..., median, mad) of each key."""
-    mid = storage.written(medians(rows, key, value), "medians")
-    off = rows.join(mid, key).withColumn("off", F.abs(F.col(value) - F.col("median")))
-    return mid.join(medians(off, key, "off").withColumnRenamed("median", "mad"), key)
+    """(key..., median, mad) of each key. The distances from the median are taken of the different values, with their counts."""
+    counts = order.cumulative(rows, key, value)
+    mid = storage.written(order.quantile_of(counts, key, value, 0.5, "median"), "medians")
+    off = counts.join(mid, key).withColumn("off", F.abs(F.col(value) - F.col("median"))) if key else counts.crossJoin(mid).withColumn("off", F.abs(F.col(value) - F.col("median")))
+    mad = order.quantile_of(order.cumulative(off, key, "off", "c"), key, "off", 0.5, "mad")
+    return mid.join(mad, key) if key else mid.crossJoin(mad)
 
 
 def robust_z(x: Column, median: Column, mad: Column, least: float = 1e-9) -> Column:
@@ -186,9 +182,8 @@ def average_rank(by: list[str], value: str) -> Column:
 
 
 def spearman(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    """(by, rho) with average ranks for ties; null where a side doesn't vary."""
-    ranks = rows.select(by, average_rank([by], a).alias("a"), average_rank([by], b).alias("b"))
-    return ranks.groupBy(by).agg(correlation("a", "b").alias("rho"))
+    """(by, rho) with average ranks for ties; null where a side doesn't vary. See order.spearman."""
+    return order.spearman(rows, by, a, b)
 
 
 def reliability(cells: DataFrame, most: int = 5000) -> DataFrame:

@@ -1,6 +1,8 @@
-"""Places in a total order of a whole table, without a task that sees all rows."""
+"""Places in a total order of a whole table, and ranks, medians and quantiles of keys of any size, without a task that sees
+all rows or all of a key."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.storage import partitions, written
@@ -27,3 +29,67 @@ def ranked_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     starts = F.broadcast(counts.select("_part", before.alias("_before")))
     out = rows.withColumn("_part", part).join(starts, "_part")
     return out.withColumn(name, F.col("_before") + F.col("_place") - F.shiftleft(F.col("_part"), PART) + 1).drop("_place", "_part", "_before")
+
+
+def cumulative(rows: DataFrame, key: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """A written table (key..., value, c, rows, below, n): of every different value of each key how many rows have it (or the
+    sum of their weights, and how many there are), how many of the key's rows have a smaller one, and how many there are.
+
+    Rows are counted by value first, so one value that most rows have is one row; then values are dealt by range, so the
+    many values of one key lie in many tasks. What goes from range to range is one number a key. Null keys and values take
+    no part.
+    """
+    spark, every = rows.sparkSession, [*key, value]
+    known = rows.where(" and ".join(f"`{c}` is not null" for c in every))
+    counts = known.groupBy(*every).agg((F.sum(weight) if weight else F.count("*")).alias("c"), F.count("*").alias("rows"))
+    dealt = counts.repartitionByRange(partitions(spark), *every).sortWithinPartitions(*every)
+    table = written(dealt.withColumn("_part", F.spark_partition_id()), "values")
+    sums = table.groupBy(*key, "_part").agg(F.sum("c").alias("_sum"))
+    by = W.partitionBy(*key) if key else W.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_sum").over(by.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a key and range
+    sums = sums.select(*key, "_part", before.alias("_before"), F.sum("_sum").over(by).alias("n"))
+    within = F.coalesce(F.sum("c").over(W.partitionBy(*key, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    full = table.withColumn("_within", within).join(sums, [*key, "_part"])
+    return full.select(*every, "c", "rows", (F.col("_within") + F.col("_before")).alias("below"), "n")
+
+
+def quantile_of(table: DataFrame, key: list[str], value: str, q: float, name: str) -> DataFrame:
+    """(key..., name): the quantile, interpolated between neighbours, of a table that cumulative gives."""
+    place = F.lit(float(q)) * (F.col("n") - 1)
+    at = lambda p: F.max(F.when((F.col("below") <= p) & (p < F.col("below") + F.col("c")), F.col(value).cast("double")))
+    ends = table.groupBy(*key).agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"), F.max(place - F.floor(place)).alias("f"))
+    return ends.select(*key, (F.col("a") + F.col("f") * (F.col("b") - F.col("a"))).alias(name))
+
+
+def quantile(rows: DataFrame, key: list[str], value: str, q: float, name: str = "q") -> DataFrame:
+    """(key..., name): exact quantiles, of a key whose rows no task could hold too. Without a key, one row, null if empty."""
+    return quantile_of(cumulative(rows, key, value), key, value, q, name)
+
+
+HEAVY = 1000
+
+
+def beside(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """rows with the columns of table, one row for each `on`, whose column rows tells how many of rows it will meet.
+
+    The HEAVY rows of table that meet most are broadcast, so that rows of one value needn't come together; no other meets more
+    than a HEAVYth of all.
+    """
+    often = F.broadcast(table.orderBy(F.desc("rows"), *on).limit(HEAVY).drop("rows"))
+    many = rows.join(often, on)
+    return many.unionByName(rows.join(often.select(*on), on, "left_anti").join(table.drop("rows"), on))
+
+
+def spearman(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """(by, rho): rank correlation with average ranks for ties; null where a side doesn't vary. Rows that lack a side take
+    no part. Equal pairs are counted first, and ranks come from counts, so neither a large group nor a common value is one
+    task's work."""
+    pairs = written(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(by).alias("g"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("w")).where("g is not null"), "pairs")
+    full, mid = pairs, (F.col("n") + 1) / 2
+    for side in "ab":
+        table = cumulative(pairs, ["g"], side, "w")
+        rank = (F.col("below") + (F.col("c") + 1) / F.lit(2e0) - mid).alias(f"r{side}")
+        full = beside(full, table.select("g", side, rank, "rows"), ["g", side])
+    sums = full.groupBy("g").agg(*[F.sum(F.col("w") * F.col(x) * F.col(y)).alias(x + y) for x, y in (("ra", "ra"), ("rb", "rb"), ("ra", "rb"))])
+    rho = F.when((F.col("rara") > 0) & (F.col("rbrb") > 0), F.col("rarb") / F.sqrt(F.nullif(F.col("rara"), F.lit(0e0))) / F.sqrt(F.nullif(F.col("rbrb"), F.lit(0e0))))
+    return sums.select(F.col("g").alias(by), rho.alias("rho"))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera import storage
-from tessera.operators import vectors
+from tessera.operators import order, vectors
 from tessera.operators.vectors import dot, norm
 
 #: Depths, as first and one past the last.
@@ -53,7 +53,7 @@ def quality_filter(rows: DataFrame, min_depth: int | None = None, min_dose: floa
         keep = keep & F.coalesce(F.col("time") >= min_time, F.lit(False))
     if drop_outliers > 0:
         pool = F.col("eligible") & (F.col("n") >= 2) & ~F.isnan("loo")
-        cut = known.agg(F.percentile(F.when(pool, F.col("loo")), F.lit(drop_outliers)).alias("cut"))
+        cut = order.quantile(known.where(pool), [], "loo", drop_outliers, "cut")
         known = known.crossJoin(F.broadcast(cut))  # one row
         keep = keep & (~pool | F.coalesce(F.col("loo") >= F.col("cut"), F.lit(True)))
         return known.withColumn("keep", keep | ~F.col("eligible")).drop("cut")
@@ -70,7 +70,7 @@ def masks() -> dict[str, Column]:
 def arms(rows: DataFrame, names: list[str] | None = None, quantile: float = 0.25) -> DataFrame:
     """(arm, name, key, group, vec): the rows that each named filter keeps. rows need dose and time."""
     known = storage.written(quality(rows), "quality")
-    cuts = known.agg(F.percentile("norm", F.lit(quantile)).alias("q_norm"), F.percentile(F.expr("nullif(loo, double('NaN'))"), F.lit(quantile)).alias("q_loo"))
+    cuts = order.quantile(known, [], "norm", quantile, "q_norm").crossJoin(order.quantile(known.where(~F.isnan("loo")), [], "loo", quantile, "q_loo"))
     full = known.crossJoin(F.broadcast(cuts))  # one row
     kinds = [(n, c) for n, c in masks().items() if names is None or n in names]
     flags = F.array(*[F.when(c, F.struct(F.lit(k).alias("arm"), F.lit(n).alias("name"))) for k, (n, c) in enumerate(kinds)])

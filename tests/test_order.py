@@ -1,6 +1,7 @@
+import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import order
+from tessera.operators import measures, order
 
 
 def test_ranks_are_gapless_and_follow_the_order(spark):
@@ -14,3 +15,48 @@ def test_ranks_are_gapless_and_follow_the_order(spark):
 def test_places_grow_by_one_within_a_partition(spark):
     rows = order.placed(spark.range(1000), [F.asc("id")]).orderBy("id").collect()
     assert all(b.place == a.place + 1 or (b.place >> order.PART) == (a.place >> order.PART) + 1 for a, b in zip(rows, rows[1:]))
+
+
+def rows(seed, n):
+    r = np.random.default_rng(seed)
+    return [(str(k), 0.0 if u < 0.9 else float(x), float(y) if k else 1.0) for k, u, x, y in zip(r.choice([0, 1, 2, 3], n, p=[0.01, 0.9, 0.05, 0.04]), r.random(n), r.normal(size=n).round(1), r.normal(size=n).round(2))]
+
+
+def test_quantiles_and_medians(spark):
+    some = rows(1, 3000)
+    df = spark.createDataFrame(some + [("9", None, 1.0), (None, 1.0, 1.0), ("8", 5.0, 1.0)], "k string, v double, w double").repartition(3)
+    for q in (0.0, 0.25, 0.5, 0.77, 1.0):
+        got = {r.k: r.q for r in order.quantile(df, ["k"], "w", q).collect()}
+        for k in "123":
+            assert abs(got[k] - np.quantile([w for a, _, w in some if a == k], q)) < 1e-9
+    one = order.quantile(df, [], "v", 0.97).first().q
+    assert abs(one - np.quantile([v for _, v, _ in some] + [1.0, 5.0], 0.97)) < 1e-9 or abs(one - np.quantile([v for _, v, _ in some] + [5.0, 1.0], 0.97)) < 1e-9
+    assert order.quantile(df.limit(0), [], "v", 0.5).first().q is None and order.quantile(df.limit(0), ["k"], "v", 0.5).count() == 0
+    got = {r.k: (r.median, r.mad) for r in measures.spread(df, ["k"], "w").collect()}
+    for k in "123":
+        v = np.array([w for a, _, w in some if a == k])
+        assert np.allclose(got[k], (np.median(v), np.median(abs(v - np.median(v)))))
+
+
+def test_spearman_with_a_common_value(spark, monkeypatch):
+    monkeypatch.setattr(order, "HEAVY", 3)
+    some = rows(2, 2500)
+    df = spark.createDataFrame(some + [("1", None, 1.0), (None, 1.0, 1.0)], "k string, a double, b double").repartition(3)
+    got = {r.k: r.rho for r in order.spearman(df, "k", "a", "b").collect()}
+
+    def rank(x):
+        return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+
+    for k in "123":
+        a, b = (np.array([r[i] for r in some if r[0] == k]) for i in (1, 2))
+        assert abs(got[k] - np.corrcoef(rank(a), rank(b))[0, 1]) < 1e-9
+    assert got["0"] is None  # one side doesn't vary
+
+
+def test_no_task_has_most_of_a_hot_key(spark):
+    df = spark.range(40_000).select(F.lit("hot").alias("k"), F.when(F.col("id") % 10 < 9, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    table = order.cumulative(df, ["k"], "v")
+    assert table.agg(F.max("c")).first()[0] == 36_000 and table.count() == 4001
+    files = table.groupBy(F.spark_partition_id()).count()
+    largest = max(r["count"] for r in order.written(df.groupBy("k", "v").count().repartitionByRange(4, "k", "v").withColumn("p", F.spark_partition_id()), "x").groupBy("p").count().collect())
+    assert largest < 2000 and files.count() >= 1
