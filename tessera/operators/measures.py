@@ -3,6 +3,9 @@
 Nulls are no measurement and are skipped; a measure without any is null. Divisions by nothing give null, never an error.
 """
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -186,33 +189,56 @@ def spearman(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
     return order.spearman(rows, by, a, b)
 
 
+def pairing(m: int, k: int) -> tuple[int, int, int, int]:
+    """The m-th pairing (i, a, j, b) of k replicates a side: i < j among the treated, a and b different among the controls."""
+    p, o = divmod(m, k * (k - 1))
+    j = (1 + math.isqrt(1 + 8 * p)) // 2
+    a, b = divmod(o, k - 1)
+    return p - j * (j - 1) // 2, a, j, b + (b >= a)
+
+
+def pairings(k: int, most: int, seed: int = 0) -> list[tuple[int, int, int, int]]:
+    """All pairings, or `most` different ones where there are more: the numbers that a keyed permutation takes the first to."""
+    full = k * k * (k - 1) * (k - 1) // 2
+    if full <= most:
+        return [pairing(m, k) for m in range(full)]
+    key = int.from_bytes(hashlib.sha256(f"pairings:{seed}".encode()).digest()[:16])
+    step, shift = key % full, (key >> 64) % full
+    while math.gcd(step, full) != 1:
+        step = (step + 1) % full
+    return [pairing((step * m + shift) % full, k) for m in range(most)]
+
+
 def reliability(cells: DataFrame, most: int = 5000) -> DataFrame:
     """One row: k, pairings, single, stepped, verdict: how well contrasts of disjoint replicates agree.
 
-    cells (gene, side: treated or control, rep, v). Each pairing compares treated i less control a with treated j less
-    control b, i < j and a <> b, by Spearman over genes that all replicates have; above `most` pairings, those of the
-    smallest hashes. Under two replicates on a side there is no reliability.
+    cells (gene, side: treated or control, rep, v). k is the smaller side's replicates, and of each side the first k in
+    order are used. Each pairing compares treated i less control a with treated j less control b, i < j and a <> b, by
+    Spearman over genes that all replicates have; of more than `most` pairings as many are drawn, without listing the
+    others. Those without a correlation don't count. Under two replicates on a side there is no reliability.
     """
-    reps = cells.groupBy("side").agg(F.count_distinct("rep").alias("n"))
-    k = reps.agg(F.count_if(F.col("side") == "treated").alias("t"), F.count_if(F.col("side") == "control").alias("c"), F.min("n").alias("n"), F.sum("n").alias("all")).first()
-    n = k.n if k.t and k.c else 0
-    if n < 2:
-        return cells.sparkSession.createDataFrame([(n, 0, None, None, None)], "k long, pairings long, single double, stepped double, verdict string")
-    ok = cells.where("v is not null").groupBy("gene").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == k.all).select("gene")
-    some = cells.join(ok, "gene")
-    t, c = (some.where(F.col("side") == s).select("gene", F.col("rep").alias(r), F.col("v").alias(f"v{r}")) for s, r in (("treated", "t"), ("control", "c")))
-    delta = storage.written(t.join(c, "gene").select("gene", "t", "c", (F.col("vt") - F.col("vc")).alias("v")), "contrasts")
-    ranks = delta.select("gene", "t", "c", average_rank(["t", "c"], "v").alias("r"))
-    sides = delta.select("t", "c").distinct()
-    a, b = (sides.select(F.col("t").alias(f"t{x}"), F.col("c").alias(f"c{x}")) for x in "12")
-    pairs = a.join(b, (F.col("t1") < F.col("t2")) & (F.col("c1") != F.col("c2")))
-    pairs = F.broadcast(pairs.orderBy(F.xxhash64("t1", "c1", "t2", "c2"), "t1", "c1", "t2", "c2").limit(most))  # `most` rows
+    spark = cells.sparkSession
+    schema = "k long, pairings long, single double, stepped double, verdict string"
+    reps = cells.where("side in ('treated', 'control')").groupBy("side").agg(F.count_distinct("rep").alias("n")).collect()  # two rows
+    k, every = min((r.n for r in reps), default=0) if len(reps) == 2 else 0, sum(r.n for r in reps)
+    if k < 2:
+        return spark.createDataFrame([(k, 0, None, None, None)], schema)
+    ok = cells.where("v is not null").groupBy("gene").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == every).select("gene")
+    drawn = pairings(k, most)
+    pairs = F.broadcast(spark.createDataFrame(drawn, "t1 long, c1 long, t2 long, c2 long"))  # `most` rows
+    contrasts = F.broadcast(spark.createDataFrame(sorted({x for t1, c1, t2, c2 in drawn for x in ((t1, c1), (t2, c2))}), "t long, c long"))
+    names = cells.select("side", "rep").distinct()
+    names = names.withColumn("at", (F.row_number().over(W.partitionBy("side").orderBy("rep")) - 1).cast("long")).where(F.col("at") < k)
+    some = cells.join(ok, "gene").join(F.broadcast(names), ["side", "rep"])  # a row a replicate
+    t, c = (some.where(F.col("side") == s).select("gene", F.col("at").alias(r), F.col("v").alias(f"v{r}")) for s, r in (("treated", "t"), ("control", "c")))
+    delta = t.join(contrasts, "t").join(c, ["gene", "c"]).select("gene", "t", "c", (F.col("vt") - F.col("vc")).alias("v"))
+    ranks = storage.written(delta.select("gene", "t", "c", average_rank(["t", "c"], "v").alias("r")), "ranks")
     one = ranks.select(F.col("t").alias("t1"), F.col("c").alias("c1"), "gene", F.col("r").alias("a"))
     two = ranks.select(F.col("t").alias("t2"), F.col("c").alias("c2"), "gene", F.col("r").alias("b"))
     rho = one.join(pairs, ["t1", "c1"]).join(two, ["t2", "c2", "gene"]).groupBy("t1", "c1", "t2", "c2").agg(correlation("a", "b").alias("rho"))
-    mean = rho.agg(F.count(F.lit(1)).alias("pairings"), F.avg("rho").alias("single"))
-    stepped = F.when(F.col("single") > -1 / (n - 1), n * F.col("single") / (1 + (n - 1) * F.col("single")))
-    return mean.select(F.lit(n).cast("long").alias("k"), "pairings", "single", stepped.alias("stepped")).withColumn("verdict", verdict(F.col("stepped")))
+    mean = rho.agg(F.count("rho").alias("pairings"), F.avg("rho").alias("single"))
+    stepped = F.when(F.col("single") > -1 / (k - 1), k * F.col("single") / (1 + (k - 1) * F.col("single")))
+    return mean.select(F.lit(k).cast("long").alias("k"), "pairings", "single", stepped.alias("stepped")).withColumn("verdict", verdict(F.col("stepped")))
 
 
 def verdict(c: Column) -> Column:

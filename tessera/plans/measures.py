@@ -140,6 +140,13 @@ def contrast_reliability(spark, sf_dir):
     return ms.reliability(got).select("k", "pairings", r6(F.col("single"), "single"), r6(F.col("stepped"), "spearman_brown"), "verdict")
 
 
+def contrast_reliability_unequal(spark, sf_dir):
+    """Four treated replicates against three controls: the first three of each side are used, genes must be in all seven."""
+    treated = F.col("event_type") == "purchase"
+    got = table(spark, sf_dir, "events").where("event_type in ('purchase', 'view')").groupBy((F.col("user_id") % 40).alias("gene"), F.when(treated, "treated").otherwise("control").alias("side"), F.when(treated, F.col("event_id") % 4).otherwise(F.col("event_id") % 3).alias("rep")).agg(F.avg("value").alias("v"))
+    return ms.reliability(got).select("k", "pairings", r6(F.col("single"), "single"), r6(F.col("stepped"), "spearman_brown"), "verdict")
+
+
 def group_statistics(spark, sf_dir):
     return ms.group_statistics(table(spark, sf_dir, "part"), "p_name")
 
@@ -200,7 +207,7 @@ def finite_vectors(spark, sf_dir):
 
 NAMES = """filter_cascade tas_sweep min_group_size profile_depth_stats capped_depth annotation_coverage placeholder_nulling
 alias_resolution dose_parse log_dose_round_trip truthy_filter multi_value_split robust_z_pooled robust_z_per_gene robust_z_rows
-reindex_fill zscore_rows query_profile coverage_guard contrast_log2 spearman_by_group contrast_reliability group_statistics
+reindex_fill zscore_rows query_profile coverage_guard contrast_log2 spearman_by_group contrast_reliability contrast_reliability_unequal group_statistics
 uncovered_compounds standard_scaler annotation_pairs shared_targets eligible_intersection learning_rate size_estimate human_sizes
 first_seen_codes filter_by_split finite_vectors""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
@@ -239,6 +246,12 @@ d AS (SELECT t.gene, t.rep AS tr, c.rep AS cr, t.v - c.v AS v FROM x t JOIN x c
 r AS (SELECT gene, tr, cr, rank() OVER (PARTITION BY tr, cr ORDER BY v) + (count(*) OVER (PARTITION BY tr, cr, v) - 1) / 2.0 AS r FROM d),
 p AS (SELECT corr(a.r::DOUBLE, b.r::DOUBLE) AS rho FROM r a JOIN r b ON a.gene = b.gene AND a.tr < b.tr AND a.cr <> b.cr GROUP BY a.tr, a.cr, b.tr, b.cr), m AS (SELECT count(*) AS n, avg(rho) AS r FROM p)
 SELECT 3::BIGINT AS k, n AS pairings, round(r, 6) AS single, round(3 * r / (1 + 2 * r), 6) AS spearman_brown, CASE WHEN 3 * r / (1 + 2 * r) >= 0.4 THEN 'high' WHEN 3 * r / (1 + 2 * r) >= 0.15 THEN 'moderate' ELSE 'low' END AS verdict FROM m""",
+    "contrast_reliability_unequal": """WITH g AS (SELECT user_id % 40 AS gene, event_type AS side, CASE WHEN event_type = 'purchase' THEN event_id % 4 ELSE event_id % 3 END AS rep, avg(value) AS v FROM events WHERE event_type IN ('purchase', 'view') GROUP BY ALL),
+x AS (SELECT * FROM g WHERE gene IN (SELECT gene FROM g GROUP BY gene HAVING count(*) = 7)),
+d AS (SELECT t.gene, t.rep AS tr, c.rep AS cr, t.v - c.v AS v FROM x t JOIN x c ON t.gene = c.gene AND t.side = 'purchase' AND c.side = 'view' AND t.rep < 3),
+r AS (SELECT gene, tr, cr, rank() OVER (PARTITION BY tr, cr ORDER BY v) + (count(*) OVER (PARTITION BY tr, cr, v) - 1) / 2.0 AS r FROM d),
+p AS (SELECT corr(a.r::DOUBLE, b.r::DOUBLE) AS rho FROM r a JOIN r b ON a.gene = b.gene AND a.tr < b.tr AND a.cr <> b.cr GROUP BY a.tr, a.cr, b.tr, b.cr), m AS (SELECT count(*) AS n, avg(rho) AS r FROM p)
+SELECT 3::BIGINT AS k, n AS pairings, round(r, 6) AS single, CASE WHEN r > -0.5 THEN round(3 * r / (1 + 2 * r), 6) END AS spearman_brown, CASE WHEN r <= -0.5 THEN NULL WHEN 3 * r / (1 + 2 * r) >= 0.4 THEN 'high' WHEN 3 * r / (1 + 2 * r) >= 0.15 THEN 'moderate' ELSE 'low' END AS verdict FROM m""",
     "group_statistics": "WITH g AS (SELECT count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY p_name) SELECT count(*) AS groups, round(count(*) FILTER (n = 1) / count(*)::DOUBLE, 6) AS singletons, max(n) AS largest FROM g",
     "uncovered_compounds": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)",
     "standard_scaler": "WITH t AS (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s, avg(p_retailprice) AS pm, stddev_pop(p_retailprice) AS ps FROM part WHERE md5(CAST(p_partkey AS VARCHAR)) < 'c') SELECT p_partkey, round(greatest(least((p_size - m) / s, 10), -10), 6) AS size, round(greatest(least((p_retailprice - pm) / ps, 10), -10), 6) AS price FROM part, t",

@@ -127,7 +127,7 @@ def test_contrast(spark, parts, tmp_path, pooled):
     assert np.allclose(vec.first().vec[:18], want, atol=1e-6) and vec.first().vec[18:] == [0.0, 0.0]
     one = rel.first()
     rank = lambda x: np.argsort(np.argsort(x)).astype(float)
-    rho = [np.corrcoef(rank(a[:, i] - b[:, x]), rank(a[:, j] - b[:, y]))[0, 1] for i in range(3) for j in range(i + 1, 3) for x in range(4) for y in range(4) if x != y]
+    rho = [np.corrcoef(rank(a[:, i] - b[:, x]), rank(a[:, j] - b[:, y]))[0, 1] for i in range(3) for j in range(i + 1, 3) for x in range(3) for y in range(3) if x != y]
     assert one.k == 3 and one.pairings == len(rho) and abs(one.single - np.mean(rho)) < 1e-6 and abs(one.stepped - 3 * one.single / (1 + 2 * one.single)) < 1e-9
     with pytest.raises(ValueError):
         querying.contrast(spark, write(tmp_path / "n.csv", names, -t), write(tmp_path / "c.csv", names, c), genes, log=True)
