@@ -5,9 +5,11 @@ Signatures have sig_id, pert_id, pert_type, tas, is_exemplar, cell, dose and tim
 """
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import storage
 from tessera.operators import measures as ms
@@ -103,34 +105,71 @@ def selected(matrix: DataFrame, wanted: DataFrame, genes: DataFrame, robust: boo
     return ms.robust_rows(full) if robust else full
 
 
-def save(tables: dict[str, DataFrame], path: str) -> None:
-    """A bundle: one folder a table, and meta, a row of what it holds."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    counts = [(name, spark.read.parquet(f"{path}/{name}").count(), json.dumps(df.schema.jsonValue())) for name, df in tables.items()]
-    spark.createDataFrame(counts, "name string, n long, schema string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+def digest(df: DataFrame) -> tuple[int, str]:
+    """Rows and a hash of what they hold, whatever their order and partitions. One pass; repeated rows count."""
+    each = F.xxhash64(F.to_json(F.struct(*[storage.named(c).alias(f"c{k}") for k, c in enumerate(df.columns)]), {"ignoreNullFields": "false"}))
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.sum(each.cast("decimal(38,0)")).alias("s"), F.bit_xor(each).alias("x")).first()
+    return one.n, f"{one.s}:{one.x}"
+
+
+CURRENT = "CURRENT"
 
 
-def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a bundle; one that holds other rows than meta says is an error."""
+def save(tables: dict[str, DataFrame], path: str) -> str:
+    """A bundle as a snapshot: tables in a folder of their own, a manifest of rows, hashes and schemas, and last the pointer
+    CURRENT, which one rename publishes. Whatever fails before that leaves the bundle as it was. Returns the snapshot's name.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    name = f"snapshot-{uuid.uuid4().hex}"
+    notes = []
+    for table, df in tables.items():
+        df.write.parquet(f"{path}/{name}/{table}")
+        n, found = digest(spark.read.parquet(f"{path}/{name}/{table}"))
+        notes.append({"name": table, "n": n, "hash": found, "schema": df.schema.jsonValue()})
+    storage.write_text(spark, f"{path}/{name}/manifest.json", json.dumps(notes))
+    storage.write_text(spark, f"{path}/{CURRENT}", name)
+    return name
+
+
+def load(spark: SparkSession, path: str, check: bool = True) -> dict[str, DataFrame]:
+    """The tables of a bundle's published snapshot. A table with other rows than its manifest says is an error; the check
+    reads each table once and may be left out."""
+    name = storage.read_text(spark, f"{path}/{CURRENT}")
+    if name is None:
+        raise ValueError(f"{path}: no bundle is published")
     out = {}
-    for r in spark.read.schema("name string, n long, schema string").json(f"{path}/meta").collect():  # a row a table
-        out[r.name] = spark.read.parquet(f"{path}/{r.name}")
-        if out[r.name].count() != r.n:
-            raise ValueError(f"{path}/{r.name}: not the {r.n} rows that were written")
+    for r in json.loads(storage.read_text(spark, f"{path}/{name}/manifest.json")):
+        out[r["name"]] = spark.read.schema(T.StructType.fromJson(r["schema"])).parquet(f"{path}/{name}/{r['name']}")
+        if check and digest(out[r["name"]]) != (r["n"], r["hash"]):
+            raise ValueError(f"{path}/{r['name']}: not the {r['n']} rows that were written")
     return out
 
 
+def snapshots(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in storage.names(spark, path) if n.startswith("snapshot-")]
+
+
+def tidy(spark: SparkSession, path: str) -> None:
+    """Deletes snapshots that are not the published one, as failed saves and later ones leave them."""
+    kept = storage.read_text(spark, f"{path}/{CURRENT}")
+    for n in snapshots(spark, path):
+        if n != kept:
+            storage.delete(spark, f"{path}/{n}")
+
+
 def cached_split(items: DataFrame, path: str, kind: str, key: str, group: str | None = None, weight: str | None = None) -> DataFrame:
-    """The split, from a folder named by its parameters and a hash of the items, or made and kept there."""
+    """The split, from a bundle named by its parameters and a hash of the items, or made and kept there. A kept one whose
+    rows were changed, or are not the items', is an error. Items have a key of their own each."""
     used = [c for c in (key, group, weight) if c]
     sums = items.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*used)).alias("h")).first()
     at = f"{path}/{kind}-{'-'.join(used)}-{sums.n}-{sums.h}"
-    where, files = storage._files(items.sparkSession, f"{at}/_SUCCESS")
-    if not files.exists(where):
-        splits.split(items, kind, key, group, weight).write.mode("overwrite").parquet(at)
-    return items.sparkSession.read.parquet(at)
+    spark = items.sparkSession
+    if storage.read_text(spark, f"{at}/{CURRENT}") is None:
+        save({"split": splits.split(items, kind, key, group, weight)}, at)
+    got = load(spark, at)["split"]
+    if got.count() != sums.n:
+        raise ValueError(f"{at}: a split of other items")
+    return got
 
 
 def landmark_aliases(genes: DataFrame) -> DataFrame:

@@ -51,8 +51,45 @@ def release(spark, since: int, keep: int = 0) -> None:
     gone = _tables[since : len(_tables) - keep]
     del _tables[since : len(_tables) - keep]
     for path in gone:
-        where, files = _files(spark, path)
-        files.delete(where, True)
+        delete(spark, path)
+
+
+def write_text(spark, path: str, text: str) -> None:
+    """A small file, which is there whole or not at all: written beside its place and renamed over what is there."""
+    at, files = _files(spark, path)
+    beside = at.suffix(f".{uuid.uuid4().hex}")
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(files.makeQualified(beside), files.makeQualified(at), how)
+
+
+def read_text(spark, path: str) -> str | None:
+    """A small file's text, None if it isn't there."""
+    at, files = _files(spark, path)
+    if not files.exists(at):
+        return None
+    found = files.open(at)
+    try:
+        return bytes(found.readAllBytes()).decode()
+    finally:
+        found.close()
+
+
+def names(spark, path: str) -> list[str]:
+    at, files = _files(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
+
+
+def delete(spark, path: str) -> None:
+    at, files = _files(spark, path)
+    files.delete(at, True)
 
 
 def named(name: str) -> Column:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.models import two_tower as tt
 from tessera.operators import querying, release, vectors
 from tessera.sources import tables
@@ -71,8 +72,10 @@ def test_prepare_save_load(spark, files, parts, tmp_path):
     assert bank["P2"].moa is None and bank["P0"].smiles == "C" and bank["P1"].targets == ["T1", "T2"] and bank["P0"].targets == []
     with pytest.raises(ValueError):
         release.prepare(parts[0], parts[1], parts[2], parts[3], least_tas=9.0)
-    spark.createDataFrame([("x", 1)], "cell string, cell_index long").write.mode("append").parquet(f"{tmp_path}/b/cells")
-    with pytest.raises(ValueError):
+    name = storage.read_text(spark, f"{tmp_path}/b/CURRENT")
+    cells = back["cells"].withColumn("cell", F.reverse("cell")).collect()
+    spark.createDataFrame(cells, "cell string, cell_index long").write.mode("overwrite").parquet(f"{tmp_path}/b/{name}/cells")  # as many rows
+    with pytest.raises(ValueError, match="cells"):
         release.load(spark, f"{tmp_path}/b")
     one = release.cached_split(back["bank"], f"{tmp_path}/s", "random", "compound_id").collect()
     assert sorted(one) == sorted(release.cached_split(back["bank"], f"{tmp_path}/s", "random", "compound_id").collect())
@@ -178,3 +181,19 @@ def test_repeated_compounds_and_cells(spark):
     made = release.prepare(sigs, mol, genes, cells)
     assert [(r.pos, r.smiles, r.moa) for r in made["bank"].collect()] == [(0, "CC", "m1")]
     assert {r.sig_id: r.vec for r in made["signatures"].collect()} == {"s0": [2.0, 0.0], "s1": [0.0, 4.0]}
+
+
+def test_a_failed_save_leaves_the_old_bundle(spark, tmp_path):
+    at = f"{tmp_path}/bundle"
+    good = spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")
+    with pytest.raises(ValueError, match="no bundle"):
+        release.load(spark, at)
+    release.save({"one": good, "two": good}, at)
+    broken = good.select("id", F.raise_error(F.lit("lost")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        release.save({"one": good.limit(1), "two": broken}, at)
+    assert {n: sorted(map(tuple, df.collect()), key=str) for n, df in release.load(spark, at).items()} == {"one": [(1, "a"), (2, None)], "two": [(1, "a"), (2, None)]}
+    assert len(release.snapshots(spark, at)) == 2
+    last = release.save({"one": good.limit(1)}, at)
+    release.tidy(spark, at)
+    assert release.snapshots(spark, at) == [last] and release.load(spark, at)["one"].count() == 1 and set(release.load(spark, at)) == {"one"}
