@@ -115,6 +115,26 @@ def breakdown(rows: DataFrame, value: str, edges: list[float], model: str = "mod
     return full.select("bin", "label", F.coalesce("n", F.lit(0)).alias("n"), F.round("m", PLACES).alias("model"), F.round("b", PLACES).alias("baseline"), ratio.alias("ratio"))
 
 
+# The bins of donors' similarities and of depths.
+SIMILARITIES, DEPTHS = (0, 0.4, 0.5, 0.6, 0.7, 0.8, 1), (1, 2, 4, 8, 20, 60)
+
+
+def _two(model: DataFrame, baseline: DataFrame, k: int) -> DataFrame:
+    """(truth, model, baseline): recall at k of each true candidate by two rankings' ranks."""
+    a, b = (per_truth(r, (k,)).select("truth", F.col(f"recall_{k}").alias(n)) for r, n in ((model, "model"), (baseline, "baseline")))
+    return a.join(b, "truth")
+
+
+def by_similarity(model: DataFrame, baseline: DataFrame, donors: DataFrame, k: int = 10) -> DataFrame:
+    """breakdown of two rankings' recall at k by how similar the nearest donor is. donors (truth, similarity)."""
+    return breakdown(_two(model, baseline, k).join(donors.select("truth", "similarity"), "truth"), "similarity", list(SIMILARITIES))
+
+
+def by_depth(model: DataFrame, baseline: DataFrame, depths: DataFrame, k: int = 10, most: float = 1_000_000) -> DataFrame:
+    """breakdown of two rankings' recall at k by the rows that a candidate was fitted on. depths (truth, n). The bank is whole."""
+    return breakdown(_two(model, baseline, k).join(depths.select("truth", "n"), "truth"), "n", [*DEPTHS, most])
+
+
 def modal_label(topk: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
     """(query, label, n): the commonest label of the k best; equally common ones go to the first in order."""
     met = topk.where(F.col("r") <= k).join(labels.where("label is not null and label <> ''"), "cand").groupBy("query", "label").agg(F.count(F.lit(1)).alias("n"))

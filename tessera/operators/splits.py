@@ -138,3 +138,12 @@ def split(items: DataFrame, kind: str, key: str, group: str | None = None, weigh
 def subset(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """rows whose key is among the wanted ones, which may hold keys that no row has."""
     return rows.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def deep_bank(train: DataFrame, queries: DataFrame, group: str = "group", truth: str = "truth", least: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """train and queries without groups that have fewer than `least` rows of train, or than the mean of all groups."""
+    depth = train.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    floor = depth.agg(F.avg("_n").alias("_least")) if least is None else None
+    deep = depth.join(F.broadcast(floor)).where("_n >= _least") if floor is not None else depth.where(F.col("_n") >= least)
+    deep = storage.written(deep.select(group), "deep")
+    return subset(train, deep, group), subset(queries, deep.withColumnRenamed(group, truth), truth)

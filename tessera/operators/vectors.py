@@ -277,6 +277,11 @@ def whole(vec: str) -> Column:
     return n.isNotNull() & ~F.isnan(n) & (n < float("inf"))
 
 
+def real(df: DataFrame, *cols: str) -> DataFrame:
+    """The columns and vec as doubles, of rows that have the first column and a vector."""
+    return df.where(F.col(cols[0]).isNotNull() & F.col("vec").isNotNull()).select(*cols, F.col("vec").cast("array<double>").alias("vec"))
+
+
 class Ranking:
     """topk (query, r from 1, cand, u) and ranks (query, truth, rank0) of a set of queries against a bank."""
 
@@ -296,7 +301,6 @@ def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = Fal
     """
     if measure not in ("cosine", "tanimoto"):
         raise ValueError(f"unknown measure {measure!r}")
-    real = lambda df, *cols: df.where(F.col(cols[0]).isNotNull() & F.col("vec").isNotNull()).select(*cols, F.col("vec").cast("array<double>").alias("vec"))
     bank = storage.written(real(bank, "cand", *(["penalty"] if penalty else [])), "bank")
     kind = bank.schema["cand"].dataType
     asks = real(queries.withColumn("truth", F.col("truth").cast(kind)), "query", "truth")

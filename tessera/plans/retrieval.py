@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import storage
-from tessera.operators import graph, metrics, scorers, signal, splits, vectors
+from tessera.operators import graph, hubs, metrics, scorers, signal, splits, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +45,8 @@ def ranking(spark, sf_dir, k: int = 50, known: DataFrame | None = None, once: bo
     return vectors.ranked(asks(spark, sf_dir), known or bank(spark, sf_dir), k, once=once)
 
 
-def csls(spark, sf_dir, k: int = 50, known: DataFrame | None = None, once: bool = True) -> vectors.Ranking:
-    q = asks(spark, sf_dir)
-    return vectors.ranked(q, vectors.hub_penalty(q, known or bank(spark, sf_dir), 10), k, penalty=True, once=once)
+def both(spark, sf_dir, k: int = 50, known: DataFrame | None = None) -> hubs.Both:
+    return hubs.ranked(asks(spark, sf_dir), known or bank(spark, sf_dir), k, 10)
 
 
 def bits(spark, sf_dir) -> DataFrame:
@@ -101,12 +100,13 @@ def comparison_table(spark, sf_dir):
     b = written_bank(spark, sf_dir)
     n = b.agg(F.count(F.lit(1)).alias("n"))
     wide = metrics.chance(n).agg(*[F.max(F.when(F.col("k") == k, F.col("recall"))).alias(f"macro_recall_{k}") for k in metrics.KS])
-    got = {"cosine consensus": ranking(spark, sf_dir, 1, b), "hub penalty": csls(spark, sf_dir, 1, b), "gene sets": overlap(spark, sf_dir, k=1)}
+    two = both(spark, sf_dir, 1, b)
+    got = {"cosine consensus": two.plain, "hub penalty": two.corrected, "gene sets": overlap(spark, sf_dir, k=1)}
     return metrics.comparison({n: metrics.macro_recall(r.ranks) for n, r in got.items()} | {"chance": wide, "no macro metric": wide.select(F.lit(1).alias("recall_1"))})
 
 
 def csls_rank(spark, sf_dir):
-    return csls(spark, sf_dir, 1).topk.select(F.col("query").alias("vec_id"), F.col("cand").alias("compound"), F.col("u").alias("csls"))
+    return both(spark, sf_dir, 1).corrected.topk.select(F.col("query").alias("vec_id"), F.col("cand").alias("compound"), F.col("u").alias("csls"))
 
 
 def hub_occupancy(spark, sf_dir):
@@ -115,10 +115,13 @@ def hub_occupancy(spark, sf_dir):
 
 
 def hubness_report(spark, sf_dir):
-    """The counts and the macro recall at 10, with the penalty and without."""
+    """The counts and the macro recall at 10, with the penalty and without, from one pass; and the largest difference of ranks
+    counted anew."""
     out, b = None, written_bank(spark, sf_dir)
-    for arm, got in (("cosine", ranking(spark, sf_dir, 10, b, False)), ("csls", csls(spark, sf_dir, 10, b, False))):
-        one = metrics.hubness(got.topk, b, 10).crossJoin(metrics.macro_recall(got.ranks, (10,)).select("macro_recall_10"))
+    two = both(spark, sf_dir, 10, b)
+    for arm, got, penalty in (("cosine", two.plain, None), ("csls", two.corrected, two.penalty)):
+        again = hubs.disagreement(asks(spark, sf_dir), b, got.ranks, penalty)
+        one = metrics.hubness(got.topk, b, 10).crossJoin(metrics.macro_recall(got.ranks, (10,)).select("macro_recall_10")).crossJoin(again)  # tables of one row
         one = one.select(F.lit(arm).alias("arm"), *one.columns)
         out = one if out is None else out.unionByName(one)
     return out
@@ -147,12 +150,8 @@ def hit_listing(spark, sf_dir):
 
 def restricted_bank(spark, sf_dir):
     """Only compounds with at least the mean number of training vectors, and only queries whose truth is among them."""
-    train = rows(spark, sf_dir).where("not asked")
-    depth = train.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    deep = depth.join(F.broadcast(depth.agg(F.avg("n").alias("mean")))).where("n >= mean").select("group")
-    b = scorers.cosine_consensus(splits.subset(train, deep, "group"))
-    q = splits.subset(asks(spark, sf_dir).withColumnRenamed("truth", "group"), deep, "group").withColumnRenamed("group", "truth")
-    got = vectors.ranked(q, b, 1, once=True)
+    train, q = splits.deep_bank(rows(spark, sf_dir).where("not asked"), asks(spark, sf_dir))
+    got = vectors.ranked(q, scorers.cosine_consensus(train), 1, once=True)
     return got.ranks.select(F.col("query").alias("vec_id"), "truth", "rank0", F.lit(got.n_bank).cast("long").alias("bank"), F.round(F.least(F.lit(10), F.lit(got.n_bank)) / F.lit(max(1, got.n_bank)), 6).alias("chance_10"))
 
 
@@ -165,11 +164,14 @@ def nearest_transfer(spark, sf_dir):
     return transfer(spark, sf_dir).where("donor is not null").select(F.col("cand").alias("compound"), "donor", "similarity")
 
 
+def held_asks(spark, sf_dir) -> DataFrame:
+    """Vectors of compounds without training rows."""
+    return rows(spark, sf_dir).where(splits.hashed("group", "c") < "4").select(F.col("key").alias("query"), F.col("group").alias("truth"), "vec")
+
+
 def transfer_ranks(spark, sf_dir, lent: DataFrame | None = None):
     """Vectors of compounds without training rows, ranked against a bank that borrows their vectors."""
-    held = splits.hashed("group", "c") < "4"
-    q = rows(spark, sf_dir).where(held).select(F.col("key").alias("query"), F.col("group").alias("truth"), "vec")
-    return vectors.ranked(q, lent or transfer(spark, sf_dir), 1, once=True).ranks.select(F.col("query").alias("vec_id"), "truth", "rank0")
+    return vectors.ranked(held_asks(spark, sf_dir), lent or transfer(spark, sf_dir), 1, once=True).ranks.select(F.col("query").alias("vec_id"), "truth", "rank0")
 
 
 def transfer_weighted(spark, sf_dir):
@@ -178,21 +180,18 @@ def transfer_weighted(spark, sf_dir):
 
 
 def similarity_breakdown(spark, sf_dir):
-    """Recall at 10 of borrowed vectors against chance, by the donor's similarity."""
+    """Recall at 10 of the hub penalty against that of plain cosines, both over borrowed vectors, by the donor's similarity."""
     lent = storage.written(transfer(spark, sf_dir), "transfer")
-    ranks = metrics.per_truth(transfer_ranks(spark, sf_dir, lent), (10,))
-    got = lent.where("donor is not null").join(ranks.withColumnRenamed("truth", "cand"), "cand").select("similarity", F.col("recall_10").alias("model"), F.lit(0.1).alias("baseline"))
-    # The bins' edges.
-    return metrics.breakdown(got, "similarity", [0, 0.4, 0.5, 0.6, 0.7, 0.8, 1])
+    two = hubs.ranked(held_asks(spark, sf_dir), lent, 10, 10)
+    donors = lent.where("donor is not null").select(F.col("cand").alias("truth"), "similarity")
+    return metrics.by_similarity(two.corrected.ranks, two.plain.ranks, donors)
 
 
 def depth_breakdown(spark, sf_dir):
     """Recall at 10 with the hub penalty against that without it, by the compound's training vectors."""
-    known = written_bank(spark, sf_dir)
     depth = rows(spark, sf_dir).where("not asked").groupBy(F.col("group").alias("truth")).agg(F.count(F.lit(1)).alias("n"))
-    a, b = (metrics.per_truth(f(spark, sf_dir, 1, known).ranks, (10,)).select("truth", F.col("recall_10").alias(n)) for f, n in ((csls, "model"), (ranking, "baseline")))
-    # The bins' edges.
-    return metrics.breakdown(depth.join(a, "truth").join(b, "truth"), "n", [1, 2, 4, 8, 20, 60, 1_000_000])
+    two = both(spark, sf_dir, 1)
+    return metrics.by_depth(two.corrected.ranks, two.plain.ranks, depth)
 
 
 def loo_agreement(spark, sf_dir):
@@ -365,6 +364,8 @@ LENT = TRANS + """, keys AS (SELECT g, p, m FROM own UNION ALL SELECT best.g, p,
 kn AS (SELECT g, sqrt(sum(m * m)) + 1e-9 AS n FROM keys GROUP BY g), q AS (SELECT vec_id, g AS truth, p, x FROM v WHERE md5('c|' || g) < '4'),
 qn AS (SELECT vec_id, sqrt(sum(x * x)) + 1e-9 AS n FROM q GROUP BY vec_id),
 s AS (SELECT q.vec_id, q.truth, c.g AS cand, CAST(round(1e6 * sum(q.x / qn.n * c.m / kn.n)) AS BIGINT) AS u FROM q JOIN qn ON q.vec_id = qn.vec_id JOIN keys c ON q.p = c.p JOIN kn ON c.g = kn.g GROUP BY ALL)"""
+LENT_COS = LENT[: LENT.index("s AS (SELECT q.vec_id")] + "cosine AS (SELECT q.vec_id, q.truth, c.g AS cand, sum(q.x / qn.n * c.m / kn.n) AS c FROM q JOIN qn ON q.vec_id = qn.vec_id JOIN keys c ON q.p = c.p JOIN kn ON c.g = kn.g GROUP BY ALL)"
+LENT_PEN = LENT_COS + PEN[PEN.index(", near AS") :]
 LOO = V + """, w AS (SELECT vec_id, g, p, x, asked, count(*) OVER (PARTITION BY g, p) AS n, sum(x) OVER (PARTITION BY g, p) - x AS rest FROM v),
 l AS (SELECT vec_id, g, asked, n, round(sqrt(sum(x * x)), 6) AS norm, CASE WHEN n < 2 THEN 0 ELSE round(sum(x * rest) / greatest(sqrt(sum(x * x)) * sqrt(sum(rest * rest)), 1e-9 * (n - 1)), 6) END AS loo FROM w GROUP BY vec_id, g, asked, n)"""
 HALF = lambda g: V.replace("CAST(label AS BIGINT) * 10 + vec_id % 10", g) + """, h AS (SELECT g, p, CASE WHEN md5('half' || vec_id) < '8' THEN 0 ELSE 1 END AS side, avg(x) AS m, count(*) AS n FROM v GROUP BY ALL),
@@ -420,7 +421,7 @@ ORACLES = {
     "comparison_table": " UNION ALL ".join(f"SELECT {k}::BIGINT AS place, '{n}' AS name, {', '.join(f'macro_recall_{x}' for x in KS)} FROM (WITH {cte}{RANK} SELECT {_macro('')})" for k, (n, cte) in enumerate((("cosine consensus", SCORE), ("hub penalty", PEN), ("gene sets", OVER)))) + f" UNION ALL SELECT 3, 'chance', {', '.join(f'round(least({k}, n) / n::DOUBLE, 10)' for k in KS)} FROM (WITH {V} SELECT count(DISTINCT g) AS n FROM v WHERE NOT asked)",
     "csls_rank": f"WITH {PEN}{RANK} SELECT vec_id, cand AS compound, u AS csls FROM topk WHERE r = 1",
     "hub_occupancy": f"WITH {SCORE}{RANK}{HUBS} SELECT * FROM hub",
-    "hubness_report": " UNION ALL ".join(f"SELECT '{arm}' AS arm, * FROM (WITH {cte}{RANK}{HUBS} SELECT hub.*, m.macro_recall_10 FROM hub, (SELECT {_macro('')}) m)" for arm, cte in (("cosine", SCORE), ("csls", PEN))),
+    "hubness_report": " UNION ALL ".join(f"SELECT '{arm}' AS arm, * FROM (WITH {cte}{RANK}{HUBS} SELECT hub.*, m.macro_recall_10, 0::BIGINT AS difference FROM hub, (SELECT {_macro('')}) m)" for arm, cte in (("cosine", SCORE), ("csls", PEN))),
     "modal_label": f"WITH {SCORE}{RANK}, c AS (SELECT vec_id, cand % 7 AS moa, count(*) AS n FROM topk WHERE r <= 10 AND cand % 7 <> 6 GROUP BY ALL) SELECT vec_id, CAST(moa AS VARCHAR) AS moa, n FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, moa) = 1",
     "ranking_beyond_truth": f"WITH {SCORE}{RANK} SELECT rank0, count(*) AS n FROM ranks GROUP BY rank0",
     "chance_recall": f"WITH {V} SELECT k::BIGINT AS k, round(least(k, n) / n::DOUBLE, 10) AS recall FROM (SELECT count(DISTINCT g) AS n FROM v WHERE NOT asked), (VALUES {', '.join(f'({k})' for k in KS)}) t(k)",
@@ -430,7 +431,7 @@ ORACLES = {
     "nearest_transfer": f"WITH {TRANS} SELECT g AS compound, donor, s AS similarity FROM best WHERE k = 1",
     "transfer_ranks": f"WITH {LENT}{RANK} SELECT vec_id, truth, rank0 FROM ranks",
     "transfer_weighted": f"WITH {TRANS}, t AS (SELECT g, p, sum(s * m) / (sum(s) + 1e-9) AS m FROM best JOIN own ON own.g = best.donor WHERE k <= 3 GROUP BY best.g, p) SELECT t.g AS compound, max(b.donor) AS donor, round(max(m) FILTER (p = 1), 6) AS first, round(sqrt(sum(m * m)), 6) AS norm FROM t JOIN best b ON b.g = t.g AND b.k = 1 GROUP BY t.g".replace("SELECT g, p, sum(s * m)", "SELECT best.g, p, sum(s * m)"),
-    "similarity_breakdown": BINS([0, 0.4, 0.5, 0.6, 0.7, 0.8, 1], f"WITH {LENT}{RANK}, z AS (SELECT best.s AS similarity, r.model, 0.1::DOUBLE AS baseline FROM best JOIN (SELECT truth, avg(CASE WHEN rank0 < 10 THEN 1 ELSE 0 END::DOUBLE) AS model FROM ranks GROUP BY truth) r ON r.truth = best.g WHERE best.k = 1)", "similarity", "z"),
+    "similarity_breakdown": BINS([0, 0.4, 0.5, 0.6, 0.7, 0.8, 1], f"WITH m AS (SELECT truth, avg(CASE WHEN rank0 < 10 THEN 1 ELSE 0 END::DOUBLE) AS model FROM (WITH {LENT_PEN}{RANK} SELECT * FROM ranks) GROUP BY truth), p AS (SELECT truth, avg(CASE WHEN rank0 < 10 THEN 1 ELSE 0 END::DOUBLE) AS baseline FROM (WITH {LENT}{RANK} SELECT * FROM ranks) GROUP BY truth), z AS (SELECT best.s AS similarity, model, baseline FROM (WITH {TRANS} SELECT * FROM best WHERE k = 1) best JOIN m ON m.truth = best.g JOIN p ON p.truth = best.g)", "similarity", "z"),
     "depth_breakdown": BINS([1, 2, 4, 8, 20, 60, 1_000_000], f"WITH m AS (SELECT truth, avg(CASE WHEN rank0 < 10 THEN 1 ELSE 0 END::DOUBLE) AS model FROM (WITH {PEN}{RANK} SELECT * FROM ranks) GROUP BY truth), b AS (SELECT truth, avg(CASE WHEN rank0 < 10 THEN 1 ELSE 0 END::DOUBLE) AS baseline FROM (WITH {SCORE}{RANK} SELECT * FROM ranks) GROUP BY truth), z AS (SELECT d.n, model, baseline FROM (WITH {V} SELECT g, count(DISTINCT vec_id) AS n FROM v WHERE NOT asked GROUP BY g) d JOIN m ON m.truth = d.g JOIN b ON b.truth = d.g)", "n", "z"),
     "loo_agreement": f"""WITH {LOO} SELECT vec_id, g AS "group", n, loo FROM l""",
     "quality_filter": f"WITH {LOO}, e AS (SELECT *, {DOSES} FROM l), cut AS (SELECT quantile_cont(loo, 0.25) AS cut FROM e WHERE NOT asked AND n >= 2) SELECT vec_id, asked OR (n >= 4 AND coalesce(dose >= 2, false) AND time >= 12 AND (n < 2 OR loo >= cut)) AS keep FROM e, cut",
