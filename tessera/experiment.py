@@ -44,7 +44,10 @@ def asks(rows: DataFrame) -> DataFrame:
 
 def evaluate(model: tt.TwoTower, rows: DataFrame, bank: DataFrame, prefix: str) -> DataFrame:
     """One row of metrics of rows against the bank (pos, features, moa, targets), their names prefixed."""
-    keys = tt.encoded(bank.select(F.col("pos").alias("cand"), F.col("features").alias("vec")), model.molecule)
+    if model.c.lookup:  # a free vector a compound, as large as the model
+        keys = rows.sparkSession.createDataFrame([(k, v.tolist()) for k, v in enumerate(model.keys(np.zeros((0, 0))))], "cand long, vec array<double>")
+    else:
+        keys = tt.encoded(bank.select(F.col("pos").alias("cand"), F.col("features").alias("vec")), model.molecule)
     got = vectors.ranked(tt.encoded(asks(rows), model.signature), keys)
     return metrics.bundle(got, bank.select(F.col("pos").alias("cand"), F.col("moa").alias("label")), bank.select(F.col("pos").alias("cand"), F.try_element_at("targets", F.lit(1)).alias("label")), prefix=prefix)
 
@@ -81,14 +84,16 @@ def run(signatures: DataFrame, bank: DataFrame, path: str, c: tt.Config, kind: s
         raise ValueError("no training rows are left")
     model = tt.TwoTower(x.shape[1], features.shape[1], len(features), c)
     history = tt.train(model, x, at, features, [label], valid if len(valid[0]) else None)
-    encoder = model if not c.lookup else None
     results = {}
     for name in ("valid", "test", "newsig"):
-        if encoder is not None and not part(name).isEmpty():
+        if not part(name).isEmpty():
             results |= {k: v for k, v in evaluate(model, part(name), ready, f"{name}_").first().asDict().items()}
     cand = bank.select(F.col("pos").alias("cand"))
     fitted = {"cosine consensus": (scorers.cosine_consensus(part("train"), "pos"), asks(part("test"))), "gene sets": (scorers.gene_set_overlap(part("train"), "pos", gene_set), scorers.signed(asks(part("test")), gene_set))}
     table = {"model": spark.createDataFrame([{k.removeprefix("test_"): v for k, v in results.items() if k.startswith("test_macro_recall")}])} if any(k.startswith("test_macro_recall") for k in results) else {}
+    if n_bits:
+        bits = bank.select(F.col("pos").alias("cand"), F.slice("features", 1, n_bits).alias("vec"))
+        fitted["nearest transfer"] = scorers.nearest_transfer(part("train").select(F.col("pos").alias("group"), "vec"), bits).select("cand", "vec"), asks(part("test"))
     table |= {n: metrics.macro_recall(vectors.ranked(q, b, 1, once=True).ranks) for n, (b, q) in fitted.items()}
     one = metrics.chance(cand.agg(F.count(F.lit(1)).alias("n")))
     table["chance"] = one.agg(*[F.max(F.when(F.col("k") == k, F.col("recall"))).alias(f"macro_recall_{k}") for k in metrics.KS])

@@ -4,6 +4,7 @@ Nulls are no measurement and are skipped; a measure without any is null. Divisio
 """
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -123,11 +124,12 @@ def medians(rows: DataFrame, key: list[str], value: str) -> DataFrame:
 
 def spread(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """(key..., median, mad) of each key. The distances from the median are taken of the different values, with their counts."""
-    counts = order.cumulative(rows, key, value)
-    mid = storage.written(order.quantile_of(counts, key, value, 0.5, "median"), "medians")
-    off = counts.join(mid, key).withColumn("off", F.abs(F.col(value) - F.col("median"))) if key else counts.crossJoin(mid).withColumn("off", F.abs(F.col(value) - F.col("median")))
-    mad = order.quantile_of(order.cumulative(off, key, "off", "c"), key, "off", 0.5, "mad")
-    return mid.join(mad, key) if key else mid.crossJoin(mad)
+    own = [f"_key{k}" for k in range(len(key))]  # whatever the columns are called
+    counts = order.cumulative(rows.select(*[storage.named(c).alias(o) for c, o in zip(key, own)], storage.named(value).alias("_value")), own, "_value")
+    mid = storage.written(order.quantile_of(counts, own, "_value", 0.5, "_median"), "medians")
+    off = (counts.join(mid, own) if key else counts.crossJoin(mid)).select(*own, F.abs(F.col("_value") - F.col("_median")).alias("_off"), F.col("c").alias("_weight"))
+    mad = order.quantile_of(order.cumulative(off, own, "_off", "_weight"), own, "_off", 0.5, "_mad")
+    return (mid.join(mad, own) if key else mid.crossJoin(mad)).toDF(*key, "median", "mad")
 
 
 def robust_z(x: Column, median: Column, mad: Column, least: float = 1e-9) -> Column:
@@ -264,6 +266,22 @@ def label_pairs(rows: DataFrame, item: str, labels: list[list[str]]) -> DataFram
     return out.distinct()
 
 
+def later_siblings(rows: DataFrame, item: str, labels: list[list[str]]) -> DataFrame:
+    """(item, siblings): how many items after it in order are alike in all columns of one of the lists; a null label is like
+    nothing. Counted class by class, no pair is formed: items alike by several lists are counted in each and taken off in
+    the classes of the lists together. Items without any are left out; items have a value of their own each.
+    """
+    out = None
+    for n in range(1, len(labels) + 1):
+        for some in itertools.combinations(labels, n):
+            cols = sorted({c for one in some for c in one})
+            own = [f"_label{k}" for k in range(len(cols))]
+            places = order.cumulative(rows.select(*[storage.named(c).alias(o) for c, o in zip(cols, own)], storage.named(item).alias("_item")), own, "_item")
+            one = places.select("_item", ((-1) ** (n + 1) * (F.col("n") - F.col("below") - 1)).alias("s"))
+            out = one if out is None else out.unionByName(one)
+    return out.groupBy(F.col("_item").alias(item)).agg(F.sum("s").cast("long").alias("siblings")).where("siblings > 0")
+
+
 def shared_values(rows: DataFrame, item: str, values: str) -> DataFrame:
     """(x, y, shared), x < y, of items whose arrays of values overlap, and by how many."""
     each = rows.select(F.col(item).alias("x"), F.explode(F.array_distinct(values)).alias("v")).where("v is not null")
@@ -300,3 +318,17 @@ def split_counts(rows: DataFrame, split: str, item: str, keep: Column) -> DataFr
     each = rows.groupBy(split, item).agg(F.count(F.lit(1)).alias("b"), F.sum(keep.cast("long")).alias("a"))
     got = each.groupBy(split).agg(F.sum("b").alias("before"), F.sum("a").alias("after"), F.count(F.lit(1)).alias("items_before"), F.sum((F.col("a") > 0).cast("long")).alias("items_after"))
     return got.withColumn("empty", F.col("after") == 0)
+
+
+def filtered_by_split(rows: DataFrame, split: str, item: str, keep: Column, only: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows that a filter leaves, counts by split as split_counts gives them, and (split, item) of items that lost all rows.
+
+    With only, rows of other splits stay as they are. A split that is left without rows is an error that names it.
+    """
+    holds = F.coalesce(keep, F.lit(False))
+    holds = holds if only is None else holds | (F.col(split) != only)
+    counts = storage.written(split_counts(rows, split, item, holds), "splits")
+    if empty := [str(r[0]) for r in counts.where("empty").select(split).orderBy(split).collect()]:  # a row a split
+        raise ValueError(f"no rows are left in {', '.join(empty)}")
+    lost = rows.groupBy(split, item).agg(F.max(holds.cast("int")).alias("_kept")).where("_kept = 0").select(split, item)
+    return rows.where(holds), counts, lost

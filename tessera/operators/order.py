@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.storage import partitions, written
+from tessera.storage import named, partitions, written
 
 PART = 33  # bits of a place that count rows within a partition
 
@@ -40,6 +40,8 @@ def cumulative(rows: DataFrame, key: list[str], value: str, weight: str | None =
     no part.
     """
     spark, every = rows.sparkSession, [*key, value]
+    if clash := {"c", "rows", "below", "n"} & set(every):
+        raise ValueError(f"columns of these names are made here: {', '.join(sorted(clash))}")
     known = rows.where(" and ".join(f"`{c}` is not null" for c in every))
     counts = known.groupBy(*every).agg((F.sum(weight) if weight else F.count("*")).alias("c"), F.count("*").alias("rows"))
     dealt = counts.repartitionByRange(partitions(spark), *every).sortWithinPartitions(*every)
@@ -63,7 +65,9 @@ def quantile_of(table: DataFrame, key: list[str], value: str, q: float, name: st
 
 def quantile(rows: DataFrame, key: list[str], value: str, q: float, name: str = "q") -> DataFrame:
     """(key..., name): exact quantiles, of a key whose rows no task could hold too. Without a key, one row, null if empty."""
-    return quantile_of(cumulative(rows, key, value), key, value, q, name)
+    own = [f"_key{k}" for k in range(len(key))]  # whatever the columns are called
+    some = rows.select(*[named(c).alias(o) for c, o in zip(key, own)], named(value).alias("_value"))
+    return quantile_of(cumulative(some, own, "_value"), own, "_value", q, "_q").toDF(*key, name)
 
 
 HEAVY = 1000

@@ -343,6 +343,24 @@ def ranked(queries: DataFrame, bank: DataFrame, k: int = 50, penalty: bool = Fal
     return Ranking(topk, ranks, n_bank)
 
 
+def from_scores(scores: DataFrame, truths: DataFrame, k: int = 50) -> Ranking:
+    """The ranking that a ready table of scores (query, cand, score) gives, with truths (query, truth), one for each query.
+
+    Scores count in whole millionths; null and NaN ones stand for a candidate that wasn't scored, and take no part. A truth
+    without a score has all scored candidates of its query above it. A pair that stands there twice is an error, raised
+    where the result is read. Queries without any score have rank 0 and no best candidates, as with an empty bank.
+    """
+    good = scores.where("query is not null and cand is not null and score is not null and not isnan(score)").select("query", "cand", F.rint(F.col("score").cast("double") * UNIT).cast("long").alias("u"), F.col("score").cast("double").alias("s"))
+    by = W.partitionBy("query").orderBy(F.desc("u"), "cand")
+    twice = F.raise_error(F.concat(F.lit("scored twice: "), F.col("query").cast("string"))).cast("long")
+    top = good.withColumn("u", F.when(F.lag("cand").over(W.partitionBy("query").orderBy("cand")) == F.col("cand"), twice).otherwise(F.col("u")))
+    topk = top.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).select("query", "r", "cand", "u")
+    asked = truths.where("query is not null").select("query", F.col("truth").cast(good.schema["cand"].dataType).alias("truth"))
+    own = asked.join(good.select("query", F.col("cand").alias("truth"), F.col("u").alias("own")), ["query", "truth"], "left")
+    above = own.join(good.select("query", "u"), "query", "left").groupBy("query", "truth").agg(F.count_if(F.col("u").isNotNull() & (F.col("own").isNull() | (F.col("u") > F.col("own")))).alias("rank0"))
+    return Ranking(topk, above, good.select("cand").distinct().count())
+
+
 def hub_penalty(queries: DataFrame, bank: DataFrame, r: int = 10) -> DataFrame:
     """bank with penalty: each candidate's mean cosine, in whole millionths before the mean, to its r nearest queries."""
     bank = storage.written(bank.select("cand", "vec"), "bank")  # read as queries and again with the penalty: aggregated once

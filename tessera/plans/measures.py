@@ -162,8 +162,8 @@ def standard_scaler(spark, sf_dir):
 
 
 def annotation_pairs(spark, sf_dir):
-    got = ms.label_pairs(table(spark, sf_dir, "part"), "p_partkey", [["p_brand", "p_type", "p_size"], ["p_name", "p_size"]])
-    return got.groupBy("x").agg(F.count(F.lit(1)).alias("siblings"))
+    got = ms.later_siblings(table(spark, sf_dir, "part"), "p_partkey", [["p_brand", "p_type", "p_size"], ["p_name", "p_size"]])
+    return got.select(F.col("p_partkey").alias("x"), "siblings")
 
 
 def shared_targets(spark, sf_dir):
@@ -197,7 +197,7 @@ def first_seen_codes(spark, sf_dir):
 
 def filter_by_split(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("split", F.when(F.md5(F.col("l_partkey").cast("string")) < "c", "train").otherwise("test"))
-    return ms.split_counts(rows, "split", "l_partkey", (F.col("l_quantity") > 40) | (F.col("split") == "test"))
+    return ms.filtered_by_split(rows, "split", "l_partkey", F.col("l_quantity") > 40, only="train")[1]
 
 
 def finite_vectors(spark, sf_dir):

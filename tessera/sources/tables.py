@@ -4,9 +4,13 @@ Metadata is read as strings and cast with try_cast, so odd values become null in
 wins" means first in the file: rows are ordered by file, by the split's start and by their place in the split.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import storage
+
 SIGNATURE_COLUMNS = {
     "sig_id": ["sig_id"],
     "pert_id": ["pert_id"],
@@ -88,17 +92,38 @@ def resolved(query: DataFrame, known: DataFrame) -> DataFrame:
     return found.where("gene_id is not null").groupBy("gene_id", "sample").agg(F.avg("value").alias("value"))
 
 
-def save_vectors(table: DataFrame, path: str) -> None:
+def save_vectors(table: DataFrame, path: str, blocks: list[str] | None = None) -> None:
+    """table (id, embedding), and the names of its equally wide blocks, if it has such."""
     table.select("id", "embedding").write.mode("overwrite").parquet(path)
+    storage.write_text(table.sparkSession, f"{path}/_blocks", json.dumps(blocks or []))
+
+
+def block_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of the blocks of stored vectors, in their order; none for vectors that were stored without."""
+    return json.loads(storage.read_text(spark, f"{path}/_blocks") or "[]")
 
 
-def load_vectors(spark: SparkSession, path: str, bank: DataFrame) -> DataFrame:
-    """bank (with a column id) and its vectors; an id without a vector is an error."""
+def load_vectors(spark: SparkSession, path: str, bank: DataFrame, order: str | None = None) -> DataFrame:
+    """bank (with a column id) and its vectors, in the order of one of its columns, if asked; an id without a vector is an
+    error, and so is one with several."""
     stored = spark.read.parquet(path)
     lost = bank.select("id").join(stored, "id", "left_anti").limit(3).collect()
     if lost:
         raise ValueError(f"no vector for {', '.join(str(r.id) for r in lost)}")
-    return bank.join(stored, "id")
+    many = bank.select("id").join(stored, "id").groupBy("id").count().join(bank.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id").where("count > own").limit(3).collect()
+    if many:
+        raise ValueError(f"several vectors for {', '.join(str(r.id) for r in many)}")
+    full = bank.join(stored, "id")
+    return full.orderBy(order) if order else full
+
+
+def load_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """Stored vectors that stand for the rows 0 to n - 1 of something, by their id as a number; others are an error."""
+    stored = spark.read.parquet(path).withColumn("id", F.col("id").try_cast("long"))
+    one = stored.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("id").alias("kinds"), F.min("id").alias("a"), F.max("id").alias("b")).first()
+    if (one["all"], one.kinds) != (n, n) or n and (one.a, one.b) != (0, n - 1):
+        raise ValueError(f"{path}: not the vectors of {n} rows")
+    return stored
 
 
 def select_blocks(table: DataFrame, names: list[str], wanted: list[str]) -> DataFrame:

@@ -86,3 +86,22 @@ def test_repeated_ids_are_refused(spark, monkeypatch, small):
         ve.ranked(twice, bank, 2).ranks.collect()
     with pytest.raises(ValueError, match="same id"):
         ve.ranked(twice.limit(1), bank.unionByName(bank), 2)
+
+
+def test_ready_scores(spark):
+    r = np.random.default_rng(8)
+    u = r.integers(0, 6, size=(20, 9)) / 4
+    rows = [(q, f"c{c}", float(u[q, c])) for q in range(20) for c in range(9) if (q, c) != (3, 4)] + [(3, "c4", None), (5, None, 9.0)]
+    truths = spark.createDataFrame([(q, f"c{q % 10}") for q in range(21)], "query long, truth string")
+    scores = spark.createDataFrame(rows, "query long, cand string, score double").repartition(3)
+    got = ve.from_scores(scores, truths, 4)
+    ranks = {x["query"]: x.rank0 for x in got.ranks.collect()}
+    for q in range(20):
+        have = {c: s for a, c, s in rows if a == q and c and s is not None}
+        own = have.get(f"c{q % 10}")
+        assert ranks[q] == sum(own is None or s > own for s in have.values())
+        best = sorted((-s, c) for c, s in have.items())[:4]
+        assert [(x.cand, x.u) for x in got.topk.where(f"query = {q}").orderBy("r").collect()] == [(c, round(-s * 1e6)) for s, c in best] if q < 2 else True
+    assert ranks[20] == 0 and got.n_bank == 9 and ve.from_scores(scores.limit(0), truths).topk.count() == 0
+    with pytest.raises(Exception, match="scored twice"):
+        ve.from_scores(scores.unionByName(scores), truths).topk.collect()
