@@ -179,7 +179,9 @@ def eligible_intersection(spark, sf_dir):
 
 
 def learning_rate(spark, sf_dir):
-    return ms.learning_rate(spark.range(220).toDF("step"), 20, 200).select("step", r6(F.col("scale"), "scale"))
+    """Every event is a step, of which the first 500 warm up."""
+    got = ms.learning_rate(table(spark, sf_dir, "events").select(F.col("event_id").alias("step")), 500, 5000)
+    return got.select("step", F.round("scale", 6).alias("scale"))
 
 
 def size_estimate(spark, sf_dir):
@@ -258,7 +260,7 @@ SELECT 3::BIGINT AS k, n AS pairings, round(r, 6) AS single, CASE WHEN r > -0.5
     "annotation_pairs": "SELECT a.p_partkey AS x, count(*) AS siblings FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_size = b.p_size AND (a.p_name = b.p_name OR (a.p_brand = b.p_brand AND a.p_type = b.p_type)) GROUP BY a.p_partkey",
     "shared_targets": "WITH s AS (SELECT c_nationkey, c_mktsegment FROM customer GROUP BY ALL HAVING count(*) >= 2) SELECT a.c_nationkey AS x, b.c_nationkey AS y, count(*) AS shared FROM s a JOIN s b ON a.c_mktsegment = b.c_mktsegment AND a.c_nationkey < b.c_nationkey GROUP BY ALL",
     "eligible_intersection": "SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) FILTER (l_quantity >= 10) >= 4 AND count(*) FILTER (l_discount >= 0.02) >= 4",
-    "learning_rate": "SELECT s::BIGINT AS step, round(CASE WHEN s < 20 THEN (s + 1) / 20.0 WHEN s < 200 THEN (1 + cos(pi() * (s - 20) / 180.0)) / 2 ELSE 0 END, 6) AS scale FROM range(220) r(s)",
+    "learning_rate": "SELECT event_id AS step, round(CASE WHEN event_id < 500 THEN (event_id + 1) / 500.0::DOUBLE WHEN event_id < 5000 THEN (1 + cos(pi() * (event_id - 500) / 4500.0::DOUBLE)) / 2 ELSE 0 END, 6) AS scale FROM events",
     "size_estimate": "SELECT count(*) AS n, round(count(*) * 978.0::DOUBLE * 4 / 1e9, 6) AS gb FROM lineitem",
     "human_sizes": "WITH x AS (SELECT o_orderkey, o_orderkey::BIGINT * o_orderkey * 977 AS n FROM orders) SELECT o_orderkey, CASE WHEN n < 1000 THEN n || ' B' WHEN n < 1000000 THEN printf('%.1f kB', floor(n / 1e2) / 10) WHEN n < 1000000000 THEN printf('%.1f MB', floor(n / 1e5) / 10) WHEN n < 1000000000000 THEN printf('%.1f GB', floor(n / 1e8) / 10) ELSE printf('%.1f TB', floor(n / 1e11) / 10) END AS size FROM x",
     "first_seen_codes": "SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM events WHERE event_type IS NOT NULL GROUP BY event_type",
