@@ -31,19 +31,30 @@ def ranked_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return out.withColumn(name, F.col("_before") + F.col("_place") - F.shiftleft(F.col("_part"), PART) + 1).drop("_place", "_part", "_before")
 
 
+LARGE = 250_000  # different values of a key that one task may hold
+
+
+def _largest(table: DataFrame, key: list[str]) -> int:
+    return table.groupBy(*key).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
 def cumulative(rows: DataFrame, key: list[str], value: str, weight: str | None = None) -> DataFrame:
-    """A written table (key..., value, c, rows, below, n): of every different value of each key how many rows have it (or the
+    """A table (key..., value, c, rows, below, n): of every different value of each key how many rows have it (or the
     sum of their weights, and how many there are), how many of the key's rows have a smaller one, and how many there are.
 
-    Rows are counted by value first, so one value that most rows have is one row; then values are dealt by range, so the
-    many values of one key lie in many tasks. What goes from range to range is one number a key. Null keys and values take
-    no part.
+    Rows are counted by value first, so one value that most rows have is one row. Where a key has more than LARGE different
+    values, values are dealt by range, so that they lie in many tasks, and what goes from range to range is one number a
+    key; where none has, a window over each key does. Null keys and values take no part.
     """
     spark, every = rows.sparkSession, [*key, value]
     if clash := {"c", "rows", "below", "n"} & set(every):
         raise ValueError(f"columns of these names are made here: {', '.join(sorted(clash))}")
     known = rows.where(" and ".join(f"`{c}` is not null" for c in every))
-    counts = known.groupBy(*every).agg((F.sum(weight) if weight else F.count("*")).alias("c"), F.count("*").alias("rows"))
+    counts = written(known.groupBy(*every).agg((F.sum(weight) if weight else F.count("*")).alias("c"), F.count("*").alias("rows")), "counts")
+    if _largest(counts, key) <= LARGE:
+        each = W.partitionBy(*(key or [F.lit(0)]))
+        below = F.coalesce(F.sum("c").over(each.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return counts.select(*every, "c", "rows", below.alias("below"), F.sum("c").over(each).alias("n"))
     dealt = counts.repartitionByRange(partitions(spark), *every).sortWithinPartitions(*every)
     table = written(dealt.withColumn("_part", F.spark_partition_id()), "values")
     sums = table.groupBy(*key, "_part").agg(F.sum("c").alias("_sum"))
@@ -90,7 +101,13 @@ def spearman(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
     task's work."""
     pairs = written(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(by).alias("g"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("w")).where("g is not null"), "pairs")
     full, mid = pairs, (F.col("n") + 1) / 2
-    for side in "ab":
+    small = _largest(pairs, ["g"]) <= LARGE
+    if small:
+        each = W.partitionBy("g")
+        mid = (F.sum("w").over(each) + 1) / 2
+        rank = lambda x: F.sum("w").over(each.orderBy(x)) - (F.sum("w").over(W.partitionBy("g", x)) - 1) / F.lit(2e0) - mid
+        full = pairs.withColumns({"ra": rank("a"), "rb": rank("b")})
+    for side in "" if small else "ab":
         table = cumulative(pairs, ["g"], side, "w")
         rank = (F.col("below") + (F.col("c") + 1) / F.lit(2e0) - mid).alias(f"r{side}")
         full = beside(full, table.select("g", side, rank, "rows"), ["g", side])

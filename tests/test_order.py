@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import measures, order
@@ -22,7 +23,9 @@ def rows(seed, n):
     return [(str(k), 0.0 if u < 0.9 else float(x), float(y) if k else 1.0) for k, u, x, y in zip(r.choice([0, 1, 2, 3], n, p=[0.01, 0.9, 0.05, 0.04]), r.random(n), r.normal(size=n).round(1), r.normal(size=n).round(2))]
 
 
-def test_quantiles_and_medians(spark):
+@pytest.mark.parametrize("large", [0, order.LARGE])
+def test_quantiles_and_medians(spark, monkeypatch, large):
+    monkeypatch.setattr(order, "LARGE", large)
     some = rows(1, 3000)
     df = spark.createDataFrame(some + [("9", None, 1.0), (None, 1.0, 1.0), ("8", 5.0, 1.0)], "k string, v double, w double").repartition(3)
     for q in (0.0, 0.25, 0.5, 0.77, 1.0):
@@ -38,7 +41,9 @@ def test_quantiles_and_medians(spark):
         assert np.allclose(got[k], (np.median(v), np.median(abs(v - np.median(v)))))
 
 
-def test_spearman_with_a_common_value(spark, monkeypatch):
+@pytest.mark.parametrize("large", [0, order.LARGE])
+def test_spearman_with_a_common_value(spark, monkeypatch, large):
+    monkeypatch.setattr(order, "LARGE", large)
     monkeypatch.setattr(order, "HEAVY", 3)
     some = rows(2, 2500)
     df = spark.createDataFrame(some + [("1", None, 1.0), (None, 1.0, 1.0)], "k string, a double, b double").repartition(3)
@@ -53,7 +58,8 @@ def test_spearman_with_a_common_value(spark, monkeypatch):
     assert got["0"] is None  # one side doesn't vary
 
 
-def test_no_task_has_most_of_a_hot_key(spark):
+def test_no_task_has_most_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(order, "LARGE", 0)
     df = spark.range(40_000).select(F.lit("hot").alias("k"), F.when(F.col("id") % 10 < 9, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
     table = order.cumulative(df, ["k"], "v")
     assert table.agg(F.max("c")).first()[0] == 36_000 and table.count() == 4001
