@@ -27,7 +27,7 @@ def test_run_and_rebuild(spark, tables, tmp_path, kind):
     got = ex.run(sig, bank, str(tmp_path), c, kind, n_bits=48, drop_outliers=0.1, gene_set=6)
     assert got["results"]["test_n_queries"] > 0 and 0 <= got["results"]["test_macro_recall_10"] <= 1
     rows = {r.name: r for r in spark.read.json(f"{tmp_path}/comparison").collect()}
-    assert set(rows) == {"model", "cosine consensus", "gene sets", "chance", "ceiling"} and rows["chance"].macro_recall_10 == 0.25
+    assert set(rows) == {"model", "cosine consensus", "gene sets", "nearest transfer", "chance", "ceiling"} and rows["chance"].macro_recall_10 == 0.25
     model, ready, split, notes = ex.rebuilt(spark, str(tmp_path), bank)
     by = {r.sig_id: r.split for r in split.collect()}
     assert len(by) == sig.count() and set(by.values()) >= {"train", "test"}
