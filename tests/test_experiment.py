@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import release
 from tessera import __main__ as cli
 from tessera import experiment as ex
 from tessera.models import two_tower as tt
@@ -88,7 +89,7 @@ def test_command_line(spark, tmp_path):
     cli.main(["census", *both, "--out", at("census")])
     assert spark.read.json(at("census/cascade")).count() == 4
     cli.main(["prepare", *both, "--genes", at("g.txt"), "--matrix", at("m"), "--out", at("bundle")])
-    assert spark.read.parquet(at("bundle/signatures")).first().vec == [2.0, -1.0]
+    assert release.load(spark, at("bundle"))["signatures"].first().vec == [2.0, -1.0]
     spark.createDataFrame([("P1", [1.0, -1.0], "m", ["T"], "CC")], "cand string, vec array<double>, moa string, targets array<string>, smiles string").write.parquet(at("bank"))
     (tmp_path / "q.csv").write_text("gene,s\nA,1.5\nB,-0.5\n")
     cli.main(["retrieve", "--query", at("q.csv"), "--genes", at("g.txt"), "--bank", at("bank"), "--out", at("out")])
