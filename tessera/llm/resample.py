@@ -1,7 +1,7 @@
 """Target-distribution importance resampling over hashed word features.
 
-Texts are counted once into a sparse document-by-bucket matrix, kept as a table of CSR blocks. The matrix's column sums
-give the corpus's and the target's distributions over buckets, their log ratios the gain of each bucket, and the product
+Texts are counted once into a sparse document-by-bucket matrix, kept as a table of a row a document; a batch of its rows is a
+CSR block. The matrix's column sums give the corpus's and the target's distributions over buckets, their log ratios the gain of each bucket, and the product
 of matrix and gains the weight of each document. Gumbel noise from a keyed hash of the id turns the highest scores into a
 draw without replacement in proportion to exp(weight / 1000).
 
@@ -34,7 +34,8 @@ SMALL = np.arange(256, dtype=np.uint8)
 SMALL[65:91] += 32
 LONG = 64  # longer words are hashed one by one
 
-MATRIX = "doc_id array<long>, words array<long>, features array<long>, start array<long>, bucket array<int>, n array<long>"
+MATRIX = "doc_id long, words long, features long, bucket array<int>, n array<int>"
+CELLS = 1 << 20  # counts of a block that are at work at once
 
 
 def _remainders() -> np.ndarray:
@@ -84,9 +85,9 @@ def features(body: np.ndarray, offs: np.ndarray, grams: int) -> tuple[np.ndarray
 
 
 def matrix(docs: DataFrame, buckets: int = BUCKETS, grams: int = 1) -> DataFrame:
-    """The count matrix as blocks of rows: doc_id, words and features of each document; start, bucket and n as in CSR.
+    """The count matrix by rows: doc_id, words, features, and the buckets of a document with what each holds.
 
-    A block holds about a megabyte of text, so its size is bounded but for a single longer document.
+    A row has a number a bucket at most, however long its text, so what readers hold of many rows is bounded too.
     """
 
     def count(batches):
@@ -95,30 +96,39 @@ def matrix(docs: DataFrame, buckets: int = BUCKETS, grams: int = 1) -> DataFrame
             for lo, hi, body, offs in tk.slices(b.column("text")):
                 row, crc, words = features(body, offs, grams)
                 cell, n = np.unique(row * buckets + crc % np.uint32(buckets), return_counts=True)
-                start = np.searchsorted(cell, np.arange(hi - lo + 1) * buckets)
-                cols = [ids.slice(lo, hi - lo), tk.i64(words), tk.i64(np.bincount(row, minlength=hi - lo)), tk.i64(start), pa.array(cell % buckets, pa.int32()), tk.i64(n)]
-                yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols], names=["doc_id", "words", "features", "start", "bucket", "n"])
+                size = np.diff(np.searchsorted(cell, np.arange(hi - lo + 1) * buckets))
+                cols = [ids.slice(lo, hi - lo), tk.i64(words), tk.i64(np.bincount(row, minlength=hi - lo)), tk.lists(size, pa.array(cell % buckets, pa.int32())), tk.lists(size, pa.array(n, pa.int32()))]
+                yield pa.record_batch(cols, names=["doc_id", "words", "features", "bucket", "n"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, MATRIX)
 
 
-def _values(batch, name: str, k: int) -> np.ndarray:
-    return batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+def csr(batch):
+    """(first row, end row, start, bucket, n) for stretches of the batch's rows of about CELLS counts."""
+    bucket, n = batch.column("bucket"), batch.column("n")
+    at = np.concatenate(([0], np.cumsum(np.asarray(bucket.value_lengths()).astype(np.int64))))
+    bucket, n = (c.flatten().to_numpy(zero_copy_only=False) for c in (bucket, n))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(max(int(np.searchsorted(at, at[lo] + CELLS, "right")) - 1, lo + 1), batch.num_rows)
+        own = slice(at[lo], at[hi])
+        yield lo, hi, at[lo : hi + 1] - at[lo], bucket[own], n[own].astype(np.int64)
+        lo = hi
 
 
-def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+def column_sums(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Features in each bucket. One partial sum a task is shuffled; the driver gets one number a bucket."""
 
     def total(batches):
         out = np.zeros(buckets, np.int64)
         for b in batches:
-            for k in range(b.num_rows):
-                np.add.at(out, _values(b, "bucket", k), _values(b, "n", k))
+            for *_, bucket, n in csr(b):
+                np.add.at(out, bucket, n)
         some = np.flatnonzero(out)
         yield pa.record_batch([pa.array(some, pa.int32()), tk.i64(out[some])], names=["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for r in blocks.select("bucket", "n").mapInArrow(total, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("bucket", "n").mapInArrow(total, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
     return out
 
@@ -129,18 +139,17 @@ def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((int(t) + 1) * (many + size) / ((int(s) + 1) * (few + size)))) for s, t in zip(corpus, target)], np.int64)
 
 
-def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
+def weights(rows: DataFrame, gain: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_features and weight of each document: the matrix times the gains."""
 
     def product(batches):
         for b in batches:
-            for k in range(b.num_rows):
-                start = _values(b, "start", k)
-                sums = np.concatenate(([0], np.cumsum(gain[_values(b, "bucket", k)] * _values(b, "n", k))))
-                cols = [b.column("doc_id")[k].values, b.column("words")[k].values, b.column("features")[k].values, tk.i64(sums[start[1:]] - sums[start[:-1]])]
+            for lo, hi, start, bucket, n in csr(b):
+                sums = np.concatenate(([0], np.cumsum(gain[bucket] * n)))
+                cols = [*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "words", "features")), tk.i64(sums[start[1:]] - sums[start[:-1]])]
                 yield pa.record_batch(cols, names=["doc_id", "n_words", "n_features", "weight"])
 
-    return blocks.select("doc_id", "words", "features", "start", "bucket", "n").mapInArrow(product, "doc_id long, n_words long, n_features long, weight long")
+    return rows.mapInArrow(product, "doc_id long, n_words long, n_features long, weight long")
 
 
 def noise(seed: int):
@@ -155,9 +164,9 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least:
 
     Drawn are percent of the documents of at least so many words, those of the highest scores, ties to the smaller id.
     """
-    blocks = tk.written(matrix(docs, buckets, grams), "counts")
-    gain = gains(column_sums(blocks, buckets), column_sums(matrix(target.withColumn("doc_id", F.lit(None)), buckets, grams), buckets))
-    scored = tk.written(weights(blocks, gain).withColumn("score", F.col("weight") + noise(seed)), "weights")
+    counts = tk.written(matrix(docs, buckets, grams), "counts")
+    gain = gains(column_sums(counts, buckets), column_sums(matrix(target.withColumn("doc_id", F.lit(None)), buckets, grams), buckets))
+    scored = tk.written(weights(counts, gain).withColumn("score", F.col("weight") + noise(seed)), "weights")
     able = scored.where(F.col("n_words") >= least)
     draw = able.count() * percent // 100
     ranked = order.ranked_rows(able.withColumn("_row", F.monotonically_increasing_id()), [F.desc("score"), F.asc("doc_id"), F.asc("_row")])

@@ -63,3 +63,17 @@ def test_query(spark):
     target = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = sorted((tuple(r) for r in queries.QUERIES["op12_importance_resampling"](spark, sf).collect()), key=str)
     assert got == brute(docs, target) and sum(r[4] is not None for r in got) > 5
+
+
+def test_a_row_of_the_matrix_is_one_document_and_no_longer_than_the_buckets(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").coalesce(1)
+    rows = resample.matrix(docs, buckets=50).collect()
+    assert len(rows) == len(ROWS) and max(len(r.bucket) for r in rows) <= 50  # a reader's batch is counted in rows
+    assert [sum(r.n) for r in rows] == [r.features for r in rows]
+    whole = resample.column_sums(resample.matrix(docs))
+    monkeypatch.setattr(resample, "CELLS", 7)  # stretches of a batch
+    batch = resample.matrix(docs).toArrow().combine_chunks().to_batches()[0]
+    parts = list(resample.csr(batch))
+    assert [p[0] for p in parts] == [0, *(p[1] for p in parts[:-1])] and parts[-1][1] == len(ROWS)
+    assert sum(int(p[4].sum()) for p in parts) == whole.sum()
+    assert all(p[1] - p[0] == 1 or len(p[3]) <= 7 for p in parts)
