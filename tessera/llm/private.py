@@ -11,27 +11,34 @@ probabilities, and the least score of probability 0.95 is the kind's threshold.
 are added, the highest first, as long as they don't overlap.
 
 One pass over the texts writes base spans and proposals with 24 characters on either side; training and choice read that
-table. The trees are trained on the driver from a bounded sample (SAMPLE documents, EACH proposals of each; what is equal is taken once).
+table. All proposals are learnt from, each with its context once. Lessons of equal numbers are one row with counts; bins follow
+from the counts of every feature's values, and the trees grow in a barrier stage, whose tasks hold a share of the rows each and
+sum what falls into each bin, in whole units, so that any number of tasks grows the same trees. Thresholds follow from counts by
+score, in thousandths. The driver gets the counts of the features' values, the trees, and the counts of scores.
 
-Defined cases: a null text is empty and holds nothing; repeated rows give the same rows; a kind of which the sample has no
+Defined cases: a null text is empty and holds nothing; repeated rows give the same rows; a kind of which the corpus has no
 right or no wrong proposal gets none added; an empty table gives an empty one. Offsets count code points. Columns other
 than doc_id and text take no part and are not returned.
 """
 
 import bisect
 import hashlib
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
+from tessera.models import spread
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-SAMPLE, EACH = 3000, 16
+ROWS = 200_000  # lessons of different numbers that are worth a task
+UNITS = 1 << 20  # of a sum, so that its parts add up to the same in any order
 AROUND = 24
 SURE = 0.95
 
@@ -181,24 +188,37 @@ class Trees:
         self.rounds, self.rate, self.bins = rounds, rate, bins
         self.start, self.feature, self.cut, self.leaf = 0.0, np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 8))
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
-        edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins), method="lower"))[:-1] for c in x.T]
-        binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], 1)  # c <= edges[b] stands in bin b or below
-        p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    def edges(self, values: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Quantiles of the values, of which there are n each, without the greatest."""
+        by = np.argsort(values, kind="stable")
+        upto = np.cumsum(n[by])
+        return np.unique(values[by][np.searchsorted(upto, np.floor(np.linspace(0, 1, self.bins) * (upto[-1] - 1)), "right")])[:-1]
+
+    def fit(self, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, edges: list[np.ndarray] | None = None, total=lambda a: a) -> "Trees":
+        """x: features of a row, y: how many of the n that it stands for are right; total adds up the parts of many tasks."""
+        n = np.ones(len(y)) if n is None else n
+        edges = [self.edges(c, np.ones(len(c), int)) for c in x.T] if edges is None else edges
+        binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], 1).astype(np.uint8)  # c <= edges[b] stands in bin b or below
+        right, every = total(np.array([y.sum(), n.sum()], float))
+        p = np.clip(right / every, 1e-3, 1 - 1e-3)
         self.start = float(np.log(p / (1 - p)))
         score, trees = np.full(len(y), self.start), []
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
-            g, h = y - p, p * (1 - p)
+            g, h = np.rint((y - n * p) * UNITS), np.rint(n * p * (1 - p) * UNITS)
             feature, cut, node = np.zeros(7, int), np.full(7, np.inf), np.zeros(len(y), int)
             for level in range(3):
                 first, many = 2**level - 1, 2**level
                 best = np.full(many, 1e-6)
+                sums = np.zeros((2, len(edges), many * self.bins))
+                for f in range(len(edges)):
+                    cell = (node - first) * self.bins + binned[:, f]
+                    sums[0, f], sums[1, f] = (np.bincount(cell, w, many * self.bins) for w in (g, h))
+                sums = total(sums).reshape(2, len(edges), many, self.bins) / UNITS
                 for f, e in enumerate(edges):
                     if not len(e):
                         continue
-                    cell = (node - first) * self.bins + binned[:, f]
-                    gs, hs = (np.bincount(cell, w, many * self.bins).reshape(many, -1) for w in (g, h))
+                    gs, hs = sums[:, f]
                     gl, hl = gs.cumsum(1)[:, : len(e)], hs.cumsum(1)[:, : len(e)]
                     ga, ha = gs.sum(1, keepdims=True), hs.sum(1, keepdims=True)
                     gain = gl**2 / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga**2 / (ha + 1)
@@ -207,7 +227,8 @@ class Trees:
                     best[won] = gain[np.arange(many), at][won]
                     feature[first : first + many][won], cut[first : first + many][won] = f, e[at[won]]
                 node = 2 * node + 1 + (x[np.arange(len(y)), feature[node]] > cut[node])
-            leaf = self.rate * np.bincount(node - 7, g, 8) / (np.bincount(node - 7, h, 8) + 1)
+            gs, hs = total(np.stack([np.bincount(node - 7, w, 8) for w in (g, h)])) / UNITS
+            leaf = self.rate * gs / (hs + 1)
             score += leaf[node - 7]
             trees.append((feature, cut, leaf))
         self.feature, self.cut, self.leaf = (np.stack(a) for a in zip(*trees))
@@ -223,17 +244,19 @@ class Trees:
         return out
 
 
-def monotone(score: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores in order, and the probability of being right at each by pooling of adjacent violators."""
+def monotone(score: np.ndarray, right: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores in order, and the probability of being right at each by pooling of adjacent violators. right: how many of the n
+    of a score."""
     turn = np.argsort(score, kind="stable")
     pools: list[list[float]] = []
-    for y in right[turn]:
-        pools.append([float(y), 1])
+    for y, m in zip(right[turn], np.ones(len(turn)) if n is None else n[turn]):
+        pools.append([float(y), float(m), 1])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            y, n = pools.pop()
+            y, m, k = pools.pop()
             pools[-1][0] += y
-            pools[-1][1] += n
-    return score[turn], np.repeat([y / n for y, n in pools], [int(n) for _, n in pools])
+            pools[-1][1] += m
+            pools[-1][2] += k
+    return score[turn], np.repeat([y / m for y, m, _ in pools], [k for _, _, k in pools])
 
 
 class Chooser:
@@ -287,32 +310,87 @@ def proposals(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_propose, PROPOSALS)
 
 
-def learn(table: DataFrame, sample: int = SAMPLE, each: int = EACH) -> Chooser:
-    """Trees and thresholds from a sample of documents with proposals, the lowest by hash; a third sets the thresholds."""
+TAUGHT = "seen boolean, x array<int>, y long"
+
+
+def _taught(batches):
+    for b in batches:
+        for lo in range(0, b.num_rows, 1000):
+            seen, x, y = [], [], []
+            for kind, before, span, after, known, own in zip(*b.slice(lo, 1000).to_pydict().values()):
+                for *row, right in lessons(kind, before, span, after) if known else [(kind, before, span, after, False)]:
+                    seen.append(own)
+                    x.append([int(v) for v in described(*row)])
+                    y.append(int(right))
+            yield pa.record_batch([pa.array(seen, pa.bool_()), pa.array(x, pa.list_(pa.int32())), pa.array(y, pa.int64())], names=["seen", "x", "y"])
+
+
+def taught(table: DataFrame) -> DataFrame:
+    """A written table (seen, x, y, n) of the lessons of all proposals: of those of equal features x how many there are and how
+    many are right. A proposal with its context counts once; a third of them, by hash, is not seen by the trees."""
     cols = ("kind", "before", "span", "after", "known")
-    cut = table.where("size(kind) > 0").select(*[F.slice(c, 1, each).alias(c) for c in cols]).withColumn("h", F.xxhash64(*cols))
-    x, y, told, seen = [], [], [], []
-    for r in cut.dropDuplicates(["h"]).orderBy("h").limit(sample).collect():
-        for kind, before, span, after, known in zip(*(r[c] for c in cols)):
-            if known < 0:
-                continue
-            for *row, right in lessons(kind, before, span, after) if known else [(kind, before, span, after, False)]:
-                x.append(described(*row))
-                y.append(right)
-                told.append(row[0])
-                seen.append(r.h % 3 != 0)
-    if not y or all(y) or not any(y):
-        return Chooser()
-    x, y, told, seen = np.array(x), np.array(y, float), np.array(told), np.array(seen)
-    if len(set(y[seen])) < 2 or seen.all():
+    each = table.where("size(kind) > 0").select(F.explode(F.arrays_zip(*cols)).alias("p")).select("p.*").where("known >= 0").distinct()
+    rows = each.withColumn("seen", F.pmod(F.xxhash64("kind", "before", "span", "after"), F.lit(3)) != 0).mapInArrow(_taught, TAUGHT)
+    return tk.written(rows.groupBy("seen", "x").agg(F.sum("y").alias("y"), F.count("*").alias("n")), "lessons")
+
+
+def _rows(batch, width: int) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(-1, width)
+
+
+def _grow(edges: list[np.ndarray]):
+    def run(batches):
+        parts = [(_rows(b, len(edges)), np.asarray(b.column("y")), np.asarray(b.column("n"))) for b in batches]
+        x, y, n = (np.concatenate(c) for c in zip((np.zeros((0, len(edges)), np.int32), np.zeros(0, int), np.zeros(0, int)), *parts))
+        ring = spread.Ring(BarrierTaskContext.get())
+        trees = Trees().fit(x, y, n, edges, lambda a: sum(part for part, in ring.gather(a)))
+        ring.close()
+        if ring.rank == 0:
+            cols = [[trees.start], *([a.ravel().tolist()] for a in (trees.feature, trees.cut, trees.leaf))]
+            kinds = (pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["start", "feature", "cut", "leaf"])
+
+    return run
+
+
+def grown(rows: DataFrame, edges: list[np.ndarray], tasks: int) -> Trees:
+    """Trees of all rows (x, y, n). All tasks must have a core at the same time."""
+    dealt = rows.select("x", "y", "n").repartition(tasks)  # any rows on any task
+    got = dealt.mapInArrow(_grow(edges), "start double, feature array<int>, cut array<double>, leaf array<double>", barrier=True).collect()
+    trees = Trees()
+    trees.start, trees.feature, trees.cut, trees.leaf = got[0].start, *(np.array(got[0][c]).reshape(-1, k) for c, k in (("feature", 7), ("cut", 7), ("leaf", 8)))
+    return trees
+
+
+def _scored(trees: Trees, width: int):
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 10_000):
+                part = b.slice(lo, 10_000)
+                x = _rows(part, width)
+                yield pa.record_batch([pa.array(x[:, :4].argmax(1), pa.int32()), tk.i64(np.floor(trees.score(x) * 1000)), part.column("y"), part.column("n")], names=["kind", "score", "y", "n"])
+
+    return run
+
+
+def learn(table: DataFrame) -> Chooser:
+    """Trees and thresholds from the proposals of all documents; a third sets the thresholds."""
+    spark, rows = table.sparkSession, taught(table)
+    sizes = {r.seen: r for r in rows.groupBy("seen").agg(F.count("*").alias("rows"), F.sum("y").alias("y"), F.sum("n").alias("n")).collect()}
+    if len(sizes) < 2 or not 0 < sizes[True].y < sizes[True].n:
         return Chooser()
-    trees = Trees().fit(x[seen], y[seen])
+    held = rows.where("seen").select("n", F.posexplode("x").alias("f", "v")).groupBy("f", "v").agg(F.sum("n").alias("n")).toPandas()  # features have few values each
+    edges = [Trees().edges(one["v"].to_numpy(), one["n"].to_numpy()) for _, one in held.groupby("f")]
+    tasks = min(spark.sparkContext.defaultParallelism, math.ceil(sizes[True].rows / ROWS))
+    trees = grown(rows.where("seen"), edges, tasks)
+    counts = rows.where("not seen").mapInArrow(_scored(trees, len(edges)), "kind int, score long, y long, n long").groupBy("kind", "score").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).toPandas()
     least = []
     for kind in range(4):
-        rows = ~seen & (told == kind)
-        s, p = monotone(trees.score(x[rows]), y[rows]) if len(set(y[rows])) == 2 else (np.zeros(0), np.zeros(0))
+        one = counts[counts["kind"] == kind]
+        both = 0 < one["y"].sum() < one["n"].sum()
+        s, p = monotone(*(one[c].to_numpy() for c in ("score", "y", "n"))) if both else (np.zeros(0), np.zeros(0))
         sure = np.flatnonzero(p >= SURE)
-        least.append(float(s[sure[0]]) if len(sure) else np.inf)
+        least.append(float(s[sure[0]] / 1000) if len(sure) else np.inf)
     return Chooser(trees, tuple(least))
 
 

@@ -117,3 +117,24 @@ def test_query(spark):
     for r in out:
         assert r.base_sha256 == hashlib.sha256(",".join(brute(texts[r.doc_id])).encode()).hexdigest()
     assert not any(r.spans for r in out if not re.search(r"[0-9@]", texts[r.doc_id] or ""))
+
+
+def test_all_proposals_are_learnt_from_by_any_number_of_tasks(spark):
+    rng, (rows, _, card) = random.Random(11), corpus()
+    wrong = lambda: f"{rng.randint(10**6, 10**7)}-{rng.randint(10**6, 10**7)}"
+    late = [(k, " no. ".join([wrong() for _ in range(20)] + [card() for _ in range(4)])) for k in range(60)]  # right ones stand after twenty others
+    table = private.proposals(spark.createDataFrame(late, "doc_id long, text string"))
+    assert private.learn(table).trees is not None
+
+    table = private.proposals(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    lessons = private.taught(table)
+    distinct = {(k, b, s, a, n) for r in table.collect() for k, b, s, a, n in zip(r.kind, r.before, r.span, r.after, r.known) if n >= 0}
+    assert lessons.agg(private.F.sum("n")).first()[0] == sum(len(list(private.lessons(*d[:4]))) if d[4] else 1 for d in distinct)
+    x, y, n = (np.array(c) for c in zip(*((r.x, r.y, r.n) for r in lessons.where("seen").collect())))
+    edges = [private.Trees().edges(c, n) for c in x.T]
+    whole = np.repeat(x, n, 0)
+    assert all((e == np.unique(np.quantile(c, np.linspace(0, 1, 32), method="lower"))[:-1]).all() for e, c in zip(edges, whole.T))
+    here = private.Trees().fit(x, y, n, edges)
+    for tasks in (1, 3):
+        there = private.grown(lessons.where("seen"), edges, tasks)
+        assert there.start == here.start and all((getattr(there, c) == getattr(here, c)).all() for c in ("feature", "cut", "leaf"))
