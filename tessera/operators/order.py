@@ -1,6 +1,8 @@
 """Places in a total order of a whole table, and ranks, medians and quantiles of keys of any size, without a task that sees
 all rows or all of a key."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,8 +36,14 @@ def ranked_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
 LARGE = 250_000  # different values of a key that one task may hold
 
 
-def _largest(table: DataFrame, key: list[str]) -> int:
-    return table.groupBy(*key).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+def _sizes(table: DataFrame, key: list[str]) -> tuple[int, int]:
+    """Rows in all, and of the largest key."""
+    return tuple(n or 0 for n in table.groupBy(*key).agg(F.count("*").alias("_n")).agg(F.sum("_n"), F.max("_n")).first())
+
+
+def _together(table: DataFrame, key: list[str], n: int) -> DataFrame:
+    """table, of n rows, dealt by key to so many tasks that each holds about LARGE rows or fewer, which windows sort."""
+    return table.repartition(partitions(table.sparkSession, math.ceil(n / max(1, LARGE))), *key) if key else table
 
 
 def cumulative(rows: DataFrame, key: list[str], value: str, weight: str | None = None) -> DataFrame:
@@ -51,10 +59,11 @@ def cumulative(rows: DataFrame, key: list[str], value: str, weight: str | None =
         raise ValueError(f"columns of these names are made here: {', '.join(sorted(clash))}")
     known = rows.where(" and ".join(f"`{c}` is not null" for c in every))
     counts = written(known.groupBy(*every).agg((F.sum(weight) if weight else F.count("*")).alias("c"), F.count("*").alias("rows")), "counts")
-    if _largest(counts, key) <= LARGE:
+    n, largest = _sizes(counts, key)
+    if largest <= LARGE:
         each = W.partitionBy(*(key or [F.lit(0)]))
         below = F.coalesce(F.sum("c").over(each.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(*every, "c", "rows", below.alias("below"), F.sum("c").over(each).alias("n"))
+        return _together(counts, key, n).select(*every, "c", "rows", below.alias("below"), F.sum("c").over(each).alias("n"))
     dealt = counts.repartitionByRange(partitions(spark), *every).sortWithinPartitions(*every)
     table = written(dealt.withColumn("_part", F.spark_partition_id()), "values")
     sums = table.groupBy(*key, "_part").agg(F.sum("c").alias("_sum"))
@@ -97,16 +106,20 @@ def beside(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
 
 def spearman(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
     """(by, rho): rank correlation with average ranks for ties; null where a side doesn't vary. Rows that lack a side take
-    no part. Equal pairs are counted first, and ranks come from counts, so neither a large group nor a common value is one
-    task's work."""
-    pairs = written(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(by).alias("g"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("w")).where("g is not null"), "pairs")
+    no part. Where a group has more than LARGE rows, equal pairs are counted first, and where it has more different pairs,
+    ranks come from counts of values, so neither a large group nor a common value is one task's work."""
+    known = rows.select(F.col(by).alias("g"), F.col(a).alias("a"), F.col(b).alias("b")).where("g is not null and a is not null and b is not null")
+    pairs, (n, largest) = known.withColumn("w", F.lit(1)), _sizes(known, ["g"])
+    if largest > LARGE:
+        pairs = written(known.groupBy("g", "a", "b").agg(F.count("*").alias("w")), "pairs")
+        n, largest = _sizes(pairs, ["g"])
     full, mid = pairs, (F.col("n") + 1) / 2
-    small = _largest(pairs, ["g"]) <= LARGE
+    small = largest <= LARGE
     if small:
         each = W.partitionBy("g")
         mid = (F.sum("w").over(each) + 1) / 2
         rank = lambda x: F.sum("w").over(each.orderBy(x)) - (F.sum("w").over(W.partitionBy("g", x)) - 1) / F.lit(2e0) - mid
-        full = pairs.withColumns({"ra": rank("a"), "rb": rank("b")})
+        full = _together(pairs, ["g"], n).withColumns({"ra": rank("a"), "rb": rank("b")})
     for side in "" if small else "ab":
         table = cumulative(pairs, ["g"], side, "w")
         rank = (F.col("below") + (F.col("c") + 1) / F.lit(2e0) - mid).alias(f"r{side}")

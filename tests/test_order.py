@@ -66,3 +66,13 @@ def test_no_task_has_most_of_a_hot_key(spark, monkeypatch):
     files = table.groupBy(F.spark_partition_id()).count()
     largest = max(r["count"] for r in order.written(df.groupBy("k", "v").count().repartitionByRange(4, "k", "v").withColumn("p", F.spark_partition_id()), "x").groupBy("p").count().collect())
     assert largest < 2000 and files.count() >= 1
+
+
+def test_windows_over_many_small_keys_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(order, "LARGE", 50)
+    df = spark.range(1600).select((F.col("id") % 40).alias("k"), (F.col("id") * 7919 % 1601).cast("double").alias("v"), (F.col("id") * 31 % 97).cast("double").alias("w"))
+    table = order.cumulative(df, ["k"], "v")
+    assert max(r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()) < 400  # 32 tasks for 1,600 rows
+    got = order.spearman(df, "k", "v", "w")
+    assert ", 32), REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
+    assert got.count() == 40
