@@ -4,7 +4,9 @@ Vectors are dealt to pivots, each to its nearest one's cell. A vector visits ano
 lets a member of that cell lie within the radius: its distance to the plane between the two pivots, and its distance to the
 other pivot less the cell's reach, are at most the radius. So cells that can't hold a pair never meet. What lies within half
 the radius of its pivot (the core) is near to all of the core: a star links it, and no pair of it is formed. Large cells are
-dealt in chunks, and pairs of chunks are tasks' work. A task gives links that join what it finds near, fewer than it
+dealt in chunks, and pairs of chunks are tasks' work. Where the radius is so large that a vector would visit more than COPIES
+cells, all vectors are one cell instead, whose chunks grow with it, so that there are about COPIES copies of a vector up to
+half a million vectors, and one more for every 32,768 beyond. A task gives links that join what it finds near, fewer than it
 has vectors, however many pairs are near.
 """
 
@@ -19,6 +21,8 @@ from tessera import storage
 from tessera.operators import vectors
 
 PIVOTS, CELL, CHUNK = 4096, 1024, 4096
+COPIES, WIDEST = 16, 8  # of a vector; most chunks of the usual size in one
+VALUES, PAIRS = 1 << 23, 1 << 22  # numbers that a task holds, pairs that it weighs at once
 UNIT = vectors.UNIT
 SLACK = 1e-6
 DEALT = "id long, vec array<double>, home int, far double, core boolean"
@@ -54,6 +58,28 @@ def _homes(pivots: np.ndarray, radius: float):
     return run
 
 
+def _guests(v: np.ndarray, home: np.ndarray, pivots: np.ndarray, between: np.ndarray, reach: np.ndarray, radius: float) -> np.ndarray:
+    """Which cells, all of greater number than its own, each vector visits."""
+    d = distances(v, pivots)
+    own = d[np.arange(len(v)), home][:, None]
+    plane = (d * d - own * own) / (2 * np.maximum(between[home], 1e-12))
+    return (plane <= radius + SLACK) & (d <= reach + radius + SLACK) & (np.arange(len(pivots))[None, :] > home[:, None])
+
+
+def _copies(pivots: np.ndarray, reach: np.ndarray, chunks: np.ndarray, radius: float):
+    """How many rows _visits gives, in parts."""
+    between = distances(pivots, pivots)
+
+    def run(batches):
+        for b in batches:
+            v, home = vectors.matrix(b.column("vec")), np.asarray(b.column("home"))
+            if len(v):
+                n = (chunks[home] + 1).sum() + (_guests(v, home, pivots, between, reach, radius) * chunks[None, :]).sum()
+                yield pa.record_batch([pa.array([int(n)], pa.int64())], names=["n"])
+
+    return run
+
+
 def _visits(pivots: np.ndarray, reach: np.ndarray, chunks: np.ndarray, radius: float):
     """Rows (cell, left, right, side, chunk, core, id, vec): who meets whom. Side 0 is held in a task, 1 and 2 stream past it.
 
@@ -68,10 +94,7 @@ def _visits(pivots: np.ndarray, reach: np.ndarray, chunks: np.ndarray, radius: f
             home, core = np.asarray(b.column("home")), np.asarray(b.column("core"))
             if not len(v):
                 continue
-            d = distances(v, pivots)
-            own = d[np.arange(len(v)), home][:, None]
-            plane = (d * d - own * own) / (2 * np.maximum(between[home], 1e-12))
-            goes = (plane <= radius + SLACK) & (d <= reach + radius + SLACK) & (np.arange(len(pivots))[None, :] > home[:, None])
+            goes = _guests(v, home, pivots, between, reach, radius)
             part = (vectors_hash(ids) % chunks[home].astype(np.uint64)).astype(np.int64)
             guests, cells = np.nonzero(goes)
             who = np.concatenate((np.arange(len(v)), guests))
@@ -159,13 +182,20 @@ def _links(least: int):
                         continue
                     forest = Forest(*(np.concatenate(x) for x in zip(*held)))
                 if not part[2].all() or not forest.core.all():
-                    yield out(forest.meet(*part, least))
+                    step = max(1, PAIRS // len(forest.ids))
+                    for at in range(0, hi - lo, step):
+                        yield out(forest.meet(*(x[at : at + step] for x in part), least))
         if forest is not None:
             yield out(forest.links())
 
     return run
 
 
+def widest(n: int, dims: int) -> int:
+    """Vectors of a chunk where all n are one cell."""
+    return max(CHUNK, min(math.ceil(n / COPIES), WIDEST * CHUNK, VALUES // max(1, dims)))
+
+
 def near_links(items: DataFrame, least: int, pivots: int = PIVOTS) -> DataFrame:
     """(a, b), a < b: links whose components are those of all pairs of items (id, vec: unit vectors) whose cosine is, in whole
     millionths, at least `least`. Ids are their own each. The driver gets the pivots, and a row a cell."""
@@ -176,13 +206,22 @@ def near_links(items: DataFrame, least: int, pivots: int = PIVOTS) -> DataFrame:
     radius = math.sqrt(max(0.0, 2 * (1 - (least - 0.5) / UNIT)))
     some = items.orderBy(F.xxhash64("id"), "id").limit(min(pivots, math.ceil(n / CELL))).select("vec").toArrow()
     centres = apart(vectors.matrix(some["vec"].combine_chunks()), radius)
-    homes = storage.written(items.select("id", "vec").mapInArrow(_homes(centres, radius), DEALT), "homes")
-    cells = homes.groupBy("home").agg(F.max("far").alias("reach"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("core"), F.col("id"))).alias("star")).collect()
-    reach, chunks = np.full(len(centres), -np.inf), np.ones(len(centres), np.int64)
-    for c in cells:
-        reach[c.home], chunks[c.home] = c.reach, max(1, math.ceil(c.n / CHUNK))
+
+    def dealt_to(centres, chunk):
+        homes = storage.written(items.select("id", "vec").mapInArrow(_homes(centres, radius), DEALT), "homes")
+        cells = homes.groupBy("home").agg(F.max("far").alias("reach"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("core"), F.col("id"))).alias("star")).collect()
+        reach, chunks = np.full(len(centres), -np.inf), np.ones(len(centres), np.int64)
+        for c in cells:
+            reach[c.home], chunks[c.home] = c.reach, max(1, math.ceil(c.n / chunk))
+        return homes, cells, (centres, reach, chunks, radius)
+
+    homes, cells, grid = dealt_to(centres, CHUNK)
+    wide = widest(n, centres.shape[1])
+    copies = homes.mapInArrow(_copies(*grid), "n long").agg(F.sum("n")).first()[0]
+    if copies > max(COPIES, math.ceil(n / wide) + 1) * n:
+        homes, cells, grid = dealt_to(centres[:1], wide)
     stars = F.broadcast(spark.createDataFrame([(c.home, c.star) for c in cells], "home int, star long"))  # a row a pivot
     core = homes.where("core").join(stars, "home").where("id > star").select(F.col("star").alias("a"), F.col("id").alias("b"))
-    met = homes.mapInArrow(_visits(centres, reach, chunks, radius), "cell int, l int, r int, side int, core boolean, id long, vec array<double>")
+    met = homes.mapInArrow(_visits(*grid), "cell int, l int, r int, side int, core boolean, id long, vec array<double>")
     dealt = met.repartition(storage.partitions(spark), "cell", "l", "r").sortWithinPartitions("cell", "l", "r", "side")
     return core.unionByName(dealt.mapInArrow(_links(least), "a long, b long"))

@@ -68,3 +68,17 @@ def test_near_groups(spark):
     assert all(got[k] == (want[k] if size[want[k]] > 1 or k == 7 else None) for k in range(len(v)))
     assert got[900] == want[7] and got[901] is None and got[902] is None
     assert graph.near_groups(rows.where(F.lit(False)), "key").count() == 0
+
+
+@pytest.mark.parametrize("tolerance", [0.4, 1.2])
+def test_a_wide_radius_copies_vectors_a_bounded_number_of_times(spark, monkeypatch, tolerance):
+    for name, value in (("CELL", 10), ("CHUNK", 60), ("COPIES", 4), ("PAIRS", 1000)):
+        monkeypatch.setattr(metric, name, value, raising=False)
+    v, least, grids, visits = clouds(4), round((1 - tolerance) * 1e6), [], metric._visits
+    monkeypatch.setattr(metric, "_visits", lambda *grid: grids.append(grid) or visits(*grid))
+    near = np.rint(v @ v.T * 1e6) >= least
+    items = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, vec array<double>").repartition(4)
+    links = [tuple(r) for r in metric.near_links(items, least).collect()]
+    assert roots(len(v), links) == roots(len(v), list(zip(*np.nonzero(np.triu(near, 1)))))
+    (centres, _, chunks, _), = grids
+    assert len(centres) == 1 and 1 < chunks[0] <= 4
